@@ -30,6 +30,10 @@ def r6(name: str | Column) -> Column:
     return F.round(column, 6) + F.lit(0.0)
 
 
+def r4(name: str) -> Column:
+    return F.round(name, 4) + F.lit(0.0)
+
+
 # --- search ------------------------------------------------------------------------------------
 
 
@@ -419,13 +423,13 @@ def price_recommendation(spark, sf):
         "optimal_price", "optimal_quantity", "optimal_revenue", "optimal_profit", "price_change_pct",
         "profit_uplift_pct",
     ]
-    return _priced(spark, sf).select("product_id", "recommendation", *[r6(c).alias(c) for c in figures])
+    return _priced(spark, sf).select("product_id", "recommendation", *[r4(c).alias(c) for c in figures])
 
 
 @query
 def price_curve(spark, sf):
     points = pricing.price_curve(_priced(spark, sf))
-    return points.select("product_id", *[r6(c).alias(c) for c in points.columns if c != "product_id"])
+    return points.select("product_id", *[r4(c).alias(c) for c in points.columns if c != "product_id"])
 
 
 @query
