@@ -80,6 +80,10 @@ def sql(body: str, *extra: tuple[str, str], needs: str = "", recursive: bool = F
     return (head + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def r9(expression: str) -> str:
+    return f"round({expression}, 9) + 0.0e0"
+
+
 def r6(expression: str) -> str:
     return f"round({expression}, 6) + 0.0e0"
 
@@ -92,8 +96,8 @@ def exact(expression: str, digits: int) -> str:
     return f"(printf('%.{digits}f', {expression})::DOUBLE + 0.0e0)"
 
 
-def r6_columns(*names: str) -> str:
-    return ", ".join(f"{r6(n)} AS {n}" for n in names)
+def r9_columns(*names: str) -> str:
+    return ", ".join(f"{r9(n)} AS {n}" for n in names)
 
 
 SEARCH = "docs lens tfs totals dfs"
@@ -208,8 +212,8 @@ SUMMARY_STEPS = [
 
 def evaluation(source: str, flag: str, truth: str) -> str:
     return f"""SELECT true_positives, false_positives, false_negatives, true_negatives,
-        {r6("p")} AS precision, {r6("r")} AS recall,
-        {r6("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END")} AS f1
+        {r9("p")} AS precision, {r9("r")} AS recall,
+        {r9("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END")} AS f1
         FROM (SELECT *, CASE WHEN true_positives + false_positives > 0
                 THEN true_positives / (true_positives + false_positives) ELSE 0.0e0 END AS p,
             CASE WHEN true_positives + false_negatives > 0
@@ -224,7 +228,7 @@ PAIRS = (
     "pairs",
     """SELECT q.qid, d.vec_id AS id, coalesce(h.score, 0.0e0) AS kw,
         list_dot_product(d.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cs
-        FROM queries q JOIN embeddings e ON e.vec_id = q.qid, embeddings d
+        FROM queries q JOIN embeddings e ON e.vec_id = q.qid, lens JOIN embeddings d ON d.vec_id = lens.id
         LEFT JOIN hits h ON h.qid = q.qid AND h.id = d.vec_id""",
 )
 # the search corpus is what both documents and embeddings know
@@ -441,7 +445,7 @@ PHRASE_TERMS = sorted(set(SEARCH_PHRASE.split()))
 
 ORACLES: dict[str, str] = {
     "bm25_topk": sql(
-        f"""SELECT id AS doc_id, {r6("score")} AS score FROM (
+        f"""SELECT id AS doc_id, {r9("score")} AS score FROM (
             SELECT l.id, round(coalesce(score, 0), 9) AS score FROM lens l LEFT JOIN hits h ON h.id = l.id)
         ORDER BY score DESC, id LIMIT 20""",
         ("query_terms", f"SELECT 0 AS qid, unnest([{listed(PHRASE_TERMS)}]) AS term"),
@@ -456,12 +460,12 @@ ORACLES: dict[str, str] = {
         "SELECT term, id AS doc_id, tf, dl AS length FROM tfs JOIN lens USING (id)", needs="docs lens tfs"
     ),
     "term_statistics": sql(
-        f"SELECT term, df, {r6('ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0))')} AS idf FROM dfs, totals",
+        f"SELECT term, df, {r9('ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0))')} AS idf FROM dfs, totals",
         needs=SEARCH,
     ),
-    "corpus_totals": sql(f"SELECT n_docs, {r6('avgdl')} AS avg_length FROM totals", needs="docs lens totals"),
+    "corpus_totals": sql(f"SELECT n_docs, {r9('avgdl')} AS avg_length FROM totals", needs="docs lens totals"),
     "bm25_batch": sql(
-        f"""SELECT qid, id AS doc_id, {r6("score")} AS score, rank FROM (
+        f"""SELECT qid, id AS doc_id, {r9("score")} AS score, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
                 SELECT q.qid, l.id, round(coalesce(h.score, 0), 9) AS score FROM queries q JOIN lens l ON true
                 LEFT JOIN hits h ON h.qid = q.qid AND h.id = l.id)) WHERE rank <= 5""",
@@ -469,7 +473,7 @@ ORACLES: dict[str, str] = {
     ),
     "hybrid_search": hybrid(
         ", ".join(
-            f"{r6(e)} AS {n}"
+            f"{r9(e)} AS {n}"
             for e, n in [
                 ("kw", "bm25_raw"), ("kn", "bm25_normalized"), ("cs", "semantic_raw_cosine"),
                 ("cn", "semantic_normalized"), ("fused", "fused"),
@@ -480,27 +484,27 @@ ORACLES: dict[str, str] = {
         12,
         0.5,
     ),
-    "hybrid_keyword_only": hybrid(r6_columns("fused"), 10, 1.0),
-    "hybrid_semantic_only": hybrid(r6_columns("fused"), 10, 0.0),
+    "hybrid_keyword_only": hybrid(r9_columns("fused"), 10, 1.0),
+    "hybrid_semantic_only": hybrid(r9_columns("fused"), 10, 0.0),
     "minmax_normalize": f"""SELECT event_id, event_type,
-        {r6("CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (value - lo) / (hi - lo) END")} AS normalized
+        {r9("CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (value - lo) / (hi - lo) END")} AS normalized
         FROM events JOIN (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
         USING (event_type)""",
     "embed_documents": f"""WITH tok AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h
         FROM documents), place AS (SELECT doc_id, CAST('0x' || h[1:8] AS BIGINT) % 64 AS place,
             sum(CASE WHEN CAST('0x' || h[9:9] AS BIGINT) < 8 THEN 1.0e0 ELSE -1.0e0 END) AS x FROM tok GROUP BY ALL),
-        scaled AS (SELECT doc_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM place)
+        scaled AS (SELECT doc_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM place WHERE x <> 0)
         SELECT doc_id, place, {r6("weight")} AS weight FROM scaled WHERE round(weight, 6) <> 0""",
-    "knn_cosine": f"""SELECT qid, id AS vec_id, rank, {r6("score")} AS score FROM (
+    "knn_cosine": f"""SELECT qid, id AS vec_id, rank, {r9("score")} AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
             SELECT a.vec_id AS qid, b.vec_id AS id,
             round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
             FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 12""",
     "align_embeddings": f"""SELECT p_partkey AS id, p_name AS title,
-        {r6("list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])")} AS squared_norm
+        {r9("list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])")} AS squared_norm
         FROM part JOIN embeddings ON vec_id = p_partkey""",
     "similar_products": sql(
-        f"SELECT qid, id, rank, {r6_columns('base_score', 'diversity_penalty', 'adjusted_score')} FROM reranked",
+        f"SELECT qid, id, rank, {r9_columns('base_score', 'diversity_penalty', 'adjusted_score')} FROM reranked",
         (
             "near",
             """SELECT a.vec_id AS qid, b.vec_id AS id,
@@ -518,7 +522,7 @@ ORACLES: dict[str, str] = {
     ),
     "rerank_diverse": sql(
         "SELECT qid, id, rank, "
-        + r6_columns(
+        + r9_columns(
             "base_score", "rating_boost", "popularity_boost", "diversity_penalty", "final_score", "adjusted_score"
         )
         + " FROM reranked",
@@ -526,13 +530,13 @@ ORACLES: dict[str, str] = {
         needs="products",
     ),
     "search_page": sql(
-        f"""SELECT qid, id, rank, price, {r6("rating")} AS rating FROM reranked
+        f"""SELECT qid, id, rank, price, {r9("rating")} AS rating FROM reranked
         WHERE rating >= 2.9e0 AND price <= 2500""",
         *CATEGORY_POOL,
         needs="products",
     ),
     "category_page": sql(
-        f"""SELECT id, title, brand, price, {r6("rating")} AS rating FROM products
+        f"""SELECT id, title, brand, price, {r9("rating")} AS rating FROM products
         WHERE category = 'STANDARD' AND rating >= 2.5e0
         AND brand IN ({listed([f"Brand#{n}" for n in range(1, 16)])})""",
         needs="products",
@@ -540,7 +544,7 @@ ORACLES: dict[str, str] = {
     "category_slugs": """SELECT label, trim(regexp_replace(replace(lower(label), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '-')
         AS slug FROM (SELECT DISTINCT p_type || ' & ' || p_brand AS label FROM part)""",
     "faceted_filter": sql(
-        f"""SELECT id, material, price, {r6("rating")} AS rating FROM products
+        f"""SELECT id, material, price, {r9("rating")} AS rating FROM products
         WHERE rating >= 3.0e0 AND price <= 1000 AND material IN ('ring', 'bolt', 'rod')""",
         needs="products",
     ),
@@ -551,7 +555,7 @@ ORACLES: dict[str, str] = {
     ),
     "price_ceiling": "SELECT ceil(max(p_retailprice))::BIGINT AS price_max FROM part",
     "top_rated": sql(
-        f"""SELECT id, rating_count, {r6("rating")} AS rating FROM products
+        f"""SELECT id, rating_count, {r9("rating")} AS rating FROM products
         ORDER BY products.rating * rating_count DESC, id LIMIT 10""",
         needs="products",
     ),
@@ -561,13 +565,13 @@ ORACLES: dict[str, str] = {
     ),
     "product_detail": sql("SELECT id, title, category, brand, price FROM products WHERE id = 7", needs="products"),
     "sentiment": sql(
-        f"""SELECT doc_id, {r6("coalesce(a.score, 0)")} AS default_score, {r6("coalesce(b.score, 0)")} AS custom_score
+        f"""SELECT doc_id, {r9("coalesce(a.score, 0)")} AS default_score, {r9("coalesce(b.score, 0)")} AS custom_score
         FROM documents LEFT JOIN plain a ON a.key = doc_id LEFT JOIN custom b ON b.key = doc_id""",
         *sentiment_steps("(SELECT doc_id AS key, text AS body FROM documents)", Lexicon(), "plain"),
         *sentiment_steps("(SELECT doc_id AS key, text AS body FROM documents)", views.LEXICON, "custom"),
     ),
     "aspects": sql(
-        f"SELECT id AS doc_id, aspect, {r6('score')} AS score FROM opinions",
+        f"SELECT id AS doc_id, aspect, {r9('score')} AS score FROM opinions",
         *aspect_steps(
             "(SELECT doc_id AS id, lang AS category, text AS body FROM documents)", views.LEXICON, views.ASPECTS
         ),
@@ -579,13 +583,13 @@ ORACLES: dict[str, str] = {
         date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS span_days
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)""",
     "fake_score": sql(
-        f"""SELECT review_id, product_id, {r6("sentiment_score")} AS sentiment_score, n_aspects, generic_text,
+        f"""SELECT review_id, product_id, {r9("sentiment_score")} AS sentiment_score, n_aspects, generic_text,
         duplicate_text, author_burst, fake_score, likely_fake FROM analysis""",
         *analysis_steps(3),
         needs="reviews",
     ),
     "review_summary": sql(
-        f"""SELECT product_id, review_count, {r6("mean")} AS avg_sentiment, likely_fake_count,
+        f"""SELECT product_id, review_count, {r9("mean")} AS avg_sentiment, likely_fake_count,
         coalesce(n, 0) AS n_aspects FROM (SELECT product_id, count(*) AS review_count,
             count(*) FILTER (likely_fake) AS likely_fake_count FROM analysis GROUP BY 1)
         JOIN (SELECT product_id, avg(sentiment_score) AS mean FROM pool GROUP BY 1) USING (product_id)
@@ -595,7 +599,7 @@ ORACLES: dict[str, str] = {
     ),
     "aspect_summary": sql(
         f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY mentions DESC, aspect) - 1 AS position,
-        aspect, {r6("mean")} AS avg_sentiment, mentions,
+        aspect, {r9("mean")} AS avg_sentiment, mentions,
         CASE WHEN mean > 0.3e0 THEN 'positive' WHEN mean < -0.3e0 THEN 'negative' ELSE 'neutral' END AS polarity
         FROM badges""",
         *SUMMARY_STEPS,
@@ -632,7 +636,7 @@ ORACLES: dict[str, str] = {
     ),
     "fraud_evaluation": sql(evaluation("scored", "likely_fraud", "is_fraud"), *FRAUD_STEPS, needs="transactions"),
     "seasonal_index": sql(
-        f"SELECT product_id, wd AS weekday, {r6('factor')} AS factor FROM season", *SEASON_STEPS, needs="history"
+        f"SELECT product_id, wd AS weekday, {r9('factor')} AS factor FROM season", *SEASON_STEPS, needs="history"
     ),
     "holt_state": sql(
         f"SELECT product_id, {r6('level')} AS level, {r6('trend')} AS trend FROM state",
@@ -720,15 +724,15 @@ ORACLES: dict[str, str] = {
     ),
     "cart_state": sql("SELECT cart_id, product_id, quantity FROM lines", *CART_STEPS, needs="cart_events", recursive=True),
     "cart_totals": sql(
-        f"""SELECT cart_id, sum(quantity)::BIGINT AS item_count, {r6("sum(quantity * price)")} AS subtotal
+        f"""SELECT cart_id, sum(quantity)::BIGINT AS item_count, {r9("sum(quantity * price)")} AS subtotal
         FROM lines JOIN products ON id = product_id GROUP BY 1""",
         *CART_STEPS,
         needs="cart_events products",
         recursive=True,
     ),
     "published_inputs": sql(
-        f"""SELECT CAST(product_id AS VARCHAR) AS product_id, q0 AS reference_quantity, {r6("e")} AS elasticity,
-        {r6("c")} AS marginal_cost, {r6("p0")} AS reference_price FROM pricing""",
+        f"""SELECT CAST(product_id AS VARCHAR) AS product_id, q0 AS reference_quantity, {r9("e")} AS elasticity,
+        {r9("c")} AS marginal_cost, {r9("p0")} AS reference_price FROM pricing""",
         needs="pricing",
     ),
 }

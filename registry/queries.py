@@ -25,9 +25,12 @@ def query(run: Query) -> Query:
     return run
 
 
-def r6(name: str | Column) -> Column:
-    column = F.col(name) if isinstance(name, str) else name
-    return F.round(column, 6) + F.lit(0.0)
+def r9(name: str) -> Column:
+    return F.round(name, 9) + F.lit(0.0)
+
+
+def r6(name: str) -> Column:
+    return F.round(name, 6) + F.lit(0.0)
 
 
 def r4(name: str) -> Column:
@@ -40,7 +43,7 @@ def r4(name: str) -> Column:
 @query
 def bm25_topk(spark, sf):
     best = bm25.search_text(views.documents(spark, sf), SEARCH_PHRASE, limit=20)
-    return best.select(F.col("id").alias("doc_id"), r6("score").alias("score"))
+    return best.select(F.col("id").alias("doc_id"), r9("score").alias("score"))
 
 
 @query
@@ -63,20 +66,20 @@ def postings(spark, sf):
 @query
 def term_statistics(spark, sf):
     indexed = bm25.index_documents(views.documents(spark, sf))
-    return bm25.term_statistics(indexed).select("term", "df", r6("idf").alias("idf"))
+    return bm25.term_statistics(indexed).select("term", "df", r9("idf").alias("idf"))
 
 
 @query
 def corpus_totals(spark, sf):
-    totals = bm25.corpus_totals(bm25.index_documents(views.documents(spark, sf)))
-    return totals.select("n_docs", r6("avg_length").alias("avg_length"))
+    totals = bm25.corpus_totals(bm25.index_documents(views.documents(spark, sf), only_terms=[]))
+    return totals.select("n_docs", r9("avg_length").alias("avg_length"))
 
 
 @query
 def bm25_batch(spark, sf):
     index = search.build_index(views.documents(spark, sf))
     found = search.bm25_batch(index, views.search_queries(spark, sf), limit=5)
-    return found.select("qid", F.col("id").alias("doc_id"), r6("score").alias("score"), "rank")
+    return found.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank")
 
 
 def _hybrid(spark, sf, limit, alpha=fixed.FUSION_ALPHA):
@@ -94,7 +97,7 @@ def hybrid_search(spark, sf):
         F.col("id").alias("doc_id"),
         "rank",
         *[
-            r6(c).alias(c)
+            r9(c).alias(c)
             for c in [
                 "bm25_raw", "bm25_normalized", "semantic_raw_cosine", "semantic_normalized", "fused",
                 "keyword_share",
@@ -105,19 +108,19 @@ def hybrid_search(spark, sf):
 
 @query
 def hybrid_keyword_only(spark, sf):
-    return _hybrid(spark, sf, 10, alpha=1.0).select("qid", F.col("id").alias("doc_id"), "rank", r6("fused").alias("fused"))
+    return _hybrid(spark, sf, 10, alpha=1.0).select("qid", F.col("id").alias("doc_id"), "rank", r9("fused").alias("fused"))
 
 
 @query
 def hybrid_semantic_only(spark, sf):
-    return _hybrid(spark, sf, 10, alpha=0.0).select("qid", F.col("id").alias("doc_id"), "rank", r6("fused").alias("fused"))
+    return _hybrid(spark, sf, 10, alpha=0.0).select("qid", F.col("id").alias("doc_id"), "rank", r9("fused").alias("fused"))
 
 
 @query
 def minmax_normalize(spark, sf):
     events = views.table(spark, sf, "events").select("event_id", "event_type", "value")
     scaled = vectors.min_max_normalize(events, ["event_type"], "value", "normalized")
-    return scaled.select("event_id", "event_type", r6("normalized").alias("normalized"))
+    return scaled.select("event_id", "event_type", r9("normalized").alias("normalized"))
 
 
 @query
@@ -131,7 +134,7 @@ def embed_documents(spark, sf):
 @query
 def knn_cosine(spark, sf):
     near = vectors.similar_items(views.vectors(spark, sf), limit=fixed.NEIGHBOUR_POOL)
-    return near.select("qid", F.col("id").alias("vec_id"), "rank", r6("score").alias("score"))
+    return near.select("qid", F.col("id").alias("vec_id"), "rank", r9("score").alias("score"))
 
 
 # --- ranking -----------------------------------------------------------------------------------
@@ -141,7 +144,7 @@ def knn_cosine(spark, sf):
 def align_embeddings(spark, sf):
     both = vectors.align(views.products(spark, sf), views.vectors(spark, sf))
     norm = vectors.dot(F.col("vector"), F.col("vector"))
-    return both.select("id", "title", r6(norm).alias("squared_norm"))
+    return both.select("id", "title", r9(norm).alias("squared_norm"))
 
 
 @query
@@ -153,8 +156,8 @@ def similar_products(spark, sf):
     candidates = near.drop("rank").join(products, "id")
     ranked = ranking.rerank(candidates, fixed.NEIGHBOUR_LIMIT, fixed.RECOMMENDATION_WEIGHTS)
     return ranked.select(
-        "qid", "id", "rank", r6("base_score").alias("base_score"), r6("diversity_penalty").alias("diversity_penalty"),
-        r6("adjusted_score").alias("adjusted_score"),
+        "qid", "id", "rank", r9("base_score").alias("base_score"), r9("diversity_penalty").alias("diversity_penalty"),
+        r9("adjusted_score").alias("adjusted_score"),
     )
 
 
@@ -172,7 +175,7 @@ def rerank_diverse(spark, sf):
         "id",
         "rank",
         *[
-            r6(c).alias(c)
+            r9(c).alias(c)
             for c in [
                 "base_score", "rating_boost", "popularity_boost", "diversity_penalty", "final_score", "adjusted_score",
             ]
@@ -184,7 +187,7 @@ def rerank_diverse(spark, sf):
 def search_page(spark, sf):
     """Ranked rows filtered and sorted for display; the rank stays the one of the ranking."""
     shown = browse.filter_products(_ranked_products(spark, sf), min_rating=2.9, max_price=2500.0)
-    return browse.sort_products(shown, "price-asc").select("qid", "id", "rank", "price", r6("rating").alias("rating"))
+    return browse.sort_products(shown, "price-asc").select("qid", "id", "rank", "price", r9("rating").alias("rating"))
 
 
 # --- browsing ----------------------------------------------------------------------------------
@@ -195,7 +198,7 @@ def category_page(spark, sf):
     page = browse.browse(
         views.products(spark, sf), "standard", "rating", min_rating=2.5, brands=[f"Brand#{n}" for n in range(1, 16)]
     )
-    return page.select("id", "title", "brand", "price", r6("rating").alias("rating"))
+    return page.select("id", "title", "brand", "price", r9("rating").alias("rating"))
 
 
 @query
@@ -209,7 +212,7 @@ def faceted_filter(spark, sf):
     kept = browse.filter_products(
         views.products(spark, sf), min_rating=3.0, max_price=1000.0, materials=["ring", "bolt", "rod"]
     )
-    return kept.select("id", "material", "price", r6("rating").alias("rating"))
+    return kept.select("id", "material", "price", r9("rating").alias("rating"))
 
 
 @query
@@ -225,7 +228,7 @@ def price_ceiling(spark, sf):
 @query
 def top_rated(spark, sf):
     best = browse.top_rated(views.products(spark, sf))
-    return best.select("id", "rating_count", r6("rating").alias("rating"))
+    return best.select("id", "rating_count", r9("rating").alias("rating"))
 
 
 @query
@@ -257,8 +260,8 @@ def sentiment(spark, sf):
     doc = F.col("text")
     return views.documents(spark, sf).select(
         F.col("id").alias("doc_id"),
-        r6(text.sentiment(doc)).alias("default_score"),
-        r6(text.sentiment(doc, views.LEXICON)).alias("custom_score"),
+        r9(text.sentiment(doc)).alias("default_score"),
+        r9(text.sentiment(doc, views.LEXICON)).alias("custom_score"),
     )
 
 
@@ -267,7 +270,7 @@ def aspects(spark, sf):
     opinions = text.aspect_opinions(F.col("text"), F.col("lang"), views.ASPECTS, views.LEXICON, digits=None)
     docs = views.table(spark, sf, "documents")
     return docs.select("doc_id", F.explode(opinions).alias("aspect", "score")).select(
-        "doc_id", "aspect", r6("score").alias("score")
+        "doc_id", "aspect", r9("score").alias("score")
     )
 
 
@@ -288,7 +291,7 @@ def author_burst(spark, sf):
 @query
 def fake_score(spark, sf):
     return _analysis(spark, sf).select(
-        "review_id", "product_id", r6("sentiment_score").alias("sentiment_score"), F.size("aspects").alias("n_aspects"),
+        "review_id", "product_id", r9("sentiment_score").alias("sentiment_score"), F.size("aspects").alias("n_aspects"),
         "generic_text", "duplicate_text", "author_burst", "fake_score", "likely_fake",
     )
 
@@ -296,7 +299,7 @@ def fake_score(spark, sf):
 @query
 def review_summary(spark, sf):
     return reviews.summarize_products(_analysis(spark, sf, None), digits=None).select(
-        "product_id", "review_count", r6("avg_sentiment").alias("avg_sentiment"), "likely_fake_count",
+        "product_id", "review_count", r9("avg_sentiment").alias("avg_sentiment"), "likely_fake_count",
         F.size("aspects").alias("n_aspects"),
     )
 
@@ -304,13 +307,13 @@ def review_summary(spark, sf):
 @query
 def aspect_summary(spark, sf):
     badges = reviews.aspect_badges(reviews.summarize_products(_analysis(spark, sf, None), digits=None))
-    return badges.withColumn("avg_sentiment", r6("avg_sentiment"))
+    return badges.withColumn("avg_sentiment", r9("avg_sentiment"))
 
 
 @query
 def review_evaluation(spark, sf):
     labelled = _analysis(spark, sf).where(F.col("is_fake").isNotNull())
-    return evaluate.evaluate_flags(labelled, "likely_fake", "is_fake", digits=6)
+    return evaluate.evaluate_flags(labelled, "likely_fake", "is_fake", digits=9)
 
 
 @query
@@ -364,7 +367,7 @@ def fraud_report(spark, sf):
 
 @query
 def fraud_evaluation(spark, sf):
-    return evaluate.evaluate_flags(_fraud(spark, sf), "likely_fraud", "is_fraud", digits=6)
+    return evaluate.evaluate_flags(_fraud(spark, sf), "likely_fraud", "is_fraud", digits=9)
 
 
 # --- inventory ---------------------------------------------------------------------------------
@@ -381,7 +384,7 @@ def _forecasts(spark, sf, rounded: bool = True):
 @query
 def seasonal_index(spark, sf):
     factors = F.posexplode("seasonal_index").alias("weekday", "factor")
-    return _series(spark, sf).select("product_id", factors).select("product_id", "weekday", r6("factor").alias("factor"))
+    return _series(spark, sf).select("product_id", factors).select("product_id", "weekday", r9("factor").alias("factor"))
 
 
 @query
@@ -524,7 +527,7 @@ def cart_state(spark, sf):
 @query
 def cart_totals(spark, sf):
     totals = cart.cart_totals(cart.cart_state(views.cart_events(spark, sf)), views.products(spark, sf))
-    return totals.select("cart_id", "item_count", r6("subtotal").alias("subtotal"))
+    return totals.select("cart_id", "item_count", r9("subtotal").alias("subtotal"))
 
 
 # --- sources and sinks -------------------------------------------------------------------------
@@ -537,5 +540,5 @@ def published_inputs(spark, sf):
     tables.write_table(views.pricing_inputs(spark, sf), f"{folder}/stored")
     tables.publish(spark, {"pricing_inputs": f"{folder}/stored"}, f"{folder}/out", fmt="json")
     return tables.read_table(spark, "pricing_inputs", f"{folder}/out/pricing_inputs", fmt="jsonl").select(
-        "product_id", "reference_quantity", *[r6(c).alias(c) for c in ["elasticity", "marginal_cost", "reference_price"]]
+        "product_id", "reference_quantity", *[r9(c).alias(c) for c in ["elasticity", "marginal_cost", "reference_price"]]
     )

@@ -194,26 +194,38 @@ def aspect_opinions(
         ]
     )
 
-    def opinions(found: Column) -> Column:
-        def one(entry: Column) -> Column:
-            mentions = F.filter(
-                found, lambda s: F.exists(entry["triggers"], lambda t: F.contains(s["lowered"], t))
+    def judged(wanted: Column) -> Column:
+        """Which aspects each sentence mentions, and its score if it mentions any."""
+
+        def hits(lowered: Column) -> Column:
+            return F.transform(
+                wanted, lambda a: F.exists(a["triggers"], lambda t: F.contains(lowered, t))
             )
-            scores = F.transform(mentions, lambda s: sentiment(s["sentence"], lexicon))
-            return F.struct(entry["aspect"].alias("key"), bind(scores, mean_of).alias("value"))
-
-        per_aspect = F.transform(F.try_element_at(table, category), one)
-        mentioned = F.filter(per_aspect, lambda e: e["value"].isNotNull())
-        return F.transform(
-            mentioned,
-            lambda e: F.struct(e["key"].alias("key"), round_exact(e["value"], digits).alias("value")),
-        )
 
-    split = F.transform(
-        sentences(body), lambda s: F.struct(F.lower(s).alias("lowered"), s.alias("sentence"))
-    )
+        def judge(sentence: Column) -> Column:
+            return bind(
+                bind(F.lower(sentence), hits),
+                lambda hit: F.struct(
+                    hit.alias("hit"), F.when(F.exists(hit, lambda h: h), sentiment(sentence, lexicon)).alias("score")
+                ),
+            )
+
+        return F.transform(sentences(body), judge)
+
+    def opinions(wanted: Column) -> Column:
+        def per_aspect(found: Column) -> Column:
+            def one(aspect: Column, k: Column) -> Column:
+                scores = F.transform(F.filter(found, lambda s: F.get(s["hit"], k)), lambda s: s["score"])
+                return F.struct(
+                    aspect["aspect"].alias("key"), round_exact(bind(scores, mean_of), digits).alias("value")
+                )
+
+            return F.filter(F.transform(wanted, one), lambda e: e["value"].isNotNull())
+
+        return bind(judged(wanted), per_aspect)
+
     no_opinions = F.array().cast("array<struct<key:string,value:double>>")
-    return F.map_from_entries(F.coalesce(bind(split, opinions), no_opinions))
+    return F.map_from_entries(F.coalesce(bind(F.try_element_at(table, category), opinions), no_opinions))
 
 
 def generic_text_score(body: Column, has_aspect: Column, max_tokens: int = 12, min_exclamations: int = 2) -> Column:

@@ -22,7 +22,12 @@ def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) ->
     length still counts every token."""
 
     def counted(tokens: Column) -> Column:
-        kept = tokens if only_terms is None else F.filter(tokens, lambda t: t.isin(list(only_terms)))
+        if only_terms is None:
+            kept = tokens
+        elif only_terms:
+            kept = F.filter(tokens, lambda t: t.isin(list(only_terms)))
+        else:
+            kept = F.array().cast("array<string>")
         return F.struct(F.size(tokens).alias("length"), term_counts(kept).alias("terms"))
 
     entry = bind(search_tokens(F.coalesce(F.col("text"), F.lit(""))), counted)
