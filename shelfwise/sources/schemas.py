@@ -1,8 +1,6 @@
-"""Schemas of the domain tables."""
+"""Schemas of the domain tables, as DDL strings that ``spark.read.schema`` takes."""
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+SCHEMAS = {
     "products": "id string, title string, description string, category string, brand string, "
     "seller_id string, price double, currency string, rating double, rating_count int, "
     "tags array<string>, material string, created_at date",
@@ -37,5 +35,3 @@ ATTRIBUTION_MAP = (
     "map<string, struct<commons_title:string, source_url:string, artist:string, license:string, "
     "license_url:string, extension:string, product_ids:array<string>>>"
 )
-
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
