@@ -268,8 +268,9 @@ def sentiment(spark, sf):
 @query
 def aspects(spark, sf):
     opinions = text.aspect_opinions(F.col("text"), F.col("lang"), views.ASPECTS, views.LEXICON, digits=None)
-    docs = views.table(spark, sf, "documents")
-    return docs.select("doc_id", F.explode(opinions).alias("aspect", "score")).select(
+    docs = views.long_texts(spark, sf)
+    listed = docs.select("doc_id", F.explode_outer(opinions).alias("aspect", "score"))
+    return listed.where("aspect is not null").select(
         "doc_id", "aspect", r9("score").alias("score")
     )
 
@@ -383,7 +384,7 @@ def _forecasts(spark, sf, rounded: bool = True):
 
 @query
 def seasonal_index(spark, sf):
-    factors = F.posexplode("seasonal_index").alias("weekday", "factor")
+    factors = F.posexplode_outer("seasonal_index").alias("weekday", "factor")
     return _series(spark, sf).select("product_id", factors).select("product_id", "weekday", r9("factor").alias("factor"))
 
 

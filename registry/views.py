@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import Lexicon, search_tokens
+from shelfwise.sources.tables import spread
 
 # A lexicon and aspect triggers of words that are frequent in the generated prose.
 LEXICON = Lexicon(
@@ -35,8 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def long_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents``, whose texts take far longer to score than to read."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return long_texts(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +85,7 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("is_fake"))
-    return table(spark, sf, "documents").join(labels, "doc_id", "left").select(
+    return long_texts(spark, sf).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.concat_ws("-", "lang", "source").alias("product_id"),
         F.floor(F.col("doc_id") / 5).alias("author"),

@@ -35,7 +35,13 @@ def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) ->
 
 
 def postings(indexed: DataFrame) -> DataFrame:
-    return indexed.select("id", "length", F.inline("terms")).select("term", "id", "tf", "length")
+    """One row per document and distinct term.
+
+    The outer form of ``inline`` keeps Spark from testing the array for emptiness in a filter of its own,
+    which would count the terms of every document a second time.
+    """
+    entries = indexed.select("id", "length", F.inline_outer("terms")).where("term is not null")
+    return entries.select("term", "id", "tf", "length")
 
 
 def corpus_totals(indexed: DataFrame) -> DataFrame:
@@ -98,7 +104,9 @@ def query_terms(indexed: DataFrame, queries: DataFrame) -> DataFrame:
 
     The document frequency is counted for the queried terms only, after a semi join.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(search_tokens("text"))).alias("term"))
+    asked = queries.select("qid", F.explode_outer(F.array_distinct(search_tokens("text"))).alias("term")).where(
+        "term is not null"
+    )
     n_docs = indexed.agg(F.count(F.lit(1))).scalar()
     frequency = (
         postings(indexed)

@@ -42,7 +42,7 @@ def nearby_counts(transactions: DataFrame, minutes: int = fixed.VELOCITY_MINUTES
     first, last = F.floor((F.col("us") - reach) / width), F.floor((F.col("us") + reach) / width)
     frame = Window.partitionBy("buyer_id", "bucket").orderBy("us").rangeBetween(-reach, reach)
     return (
-        moments.withColumn("bucket", F.explode(F.sequence(first, last)))
+        moments.withColumn("bucket", F.explode_outer(F.sequence(first, last)))
         .withColumn("nearby", F.sum("n").over(frame) - 1)
         .where(F.col("bucket") == F.floor(F.col("us") / width))
         .select("buyer_id", "created_at", "nearby")

@@ -78,7 +78,7 @@ def price_products(
 
 def price_curve(priced: DataFrame) -> DataFrame:
     """The response curve as one row per product and price point."""
-    return priced.select("product_id", F.inline("curve"))
+    return priced.select("product_id", F.inline_outer("curve"))
 
 
 def label_counts(priced: DataFrame, labels: Sequence[str] = tuple(fixed.PRICE_LABELS)) -> DataFrame:

@@ -137,7 +137,7 @@ def summarize_products(analysis: DataFrame, digits: int | None = 3) -> DataFrame
         analysis.select(
             "product_id",
             "likely_fake",
-            F.inline(F.concat(F.array(own), F.map_entries("aspects"))).alias("aspect", "score"),
+            F.inline_outer(F.concat(F.array(own), F.map_entries("aspects"))).alias("aspect", "score"),
         )
         .groupBy("product_id", "aspect")
         .agg(
@@ -190,7 +190,8 @@ def summarize_products(analysis: DataFrame, digits: int | None = 3) -> DataFrame
 
 def aspect_badges(summaries: DataFrame) -> DataFrame:
     """Aspects as rows in display order, with their polarity class."""
-    return summaries.select("product_id", F.posexplode("aspects").alias("position", "entry")).select(
+    listed = summaries.select("product_id", F.posexplode_outer("aspects").alias("position", "entry"))
+    return listed.where("position is not null").select(
         "product_id", "position", "entry.*", polarity_class(F.col("entry.avg_sentiment")).alias("polarity")
     )
 

@@ -29,6 +29,15 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "json") ->
     return reader.json(path) if fmt == "jsonl" else reader.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy work on a small input at least one partition per core.
+
+    A large table is read in more partitions than there are cores and comes back as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """The columnar embedding file (parallel ``ids`` and ``vectors``) as one row per item."""
     artifact = read_table(spark, "product_embeddings", path)
