@@ -235,17 +235,24 @@ PAIRS = (
 HYBRID_VIEWS = {**VIEWS, "docs": VIEWS["docs"] + " JOIN embeddings ON vec_id = doc_id"}
 
 
-def hybrid(columns: str, limit: int, alpha: float) -> str:
-    parts = [f"{n} AS ({HYBRID_VIEWS[n]})" for n in (SEARCH + " queries query_terms hits").split()]
-    parts += [
-        f"pairs AS ({PAIRS[1]})",
+def hybrid_steps(alpha: float) -> list[str]:
+    """From ``pairs(qid, id, kw, cs)`` to ``ranked``."""
+    return [
         """ext AS (SELECT qid, min(kw) AS kl, max(kw) AS kh, min(cs) AS cl, max(cs) AS ch FROM pairs GROUP BY qid)""",
         """scaled AS (SELECT p.*, CASE WHEN kh - kl < 1e-9 THEN 0 ELSE (kw - kl) / (kh - kl) END AS kn,
             CASE WHEN ch - cl < 1e-9 THEN 0 ELSE (cs - cl) / (ch - cl) END AS cn FROM pairs p JOIN ext USING (qid))""",
         f"fuse AS (SELECT *, round({alpha}e0 * kn + {1 - alpha}e0 * cn, 9) AS fused FROM scaled)",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id) AS rank FROM fuse)",
     ]
-    return "WITH " + ",\n".join(parts) + f"\nSELECT qid, id AS doc_id, rank, {columns} FROM ranked WHERE rank <= {limit}"
+
+
+def hybrid(columns: str, limit: int, alpha: float) -> str:
+    parts = [f"{n} AS ({HYBRID_VIEWS[n]})" for n in (SEARCH + " queries query_terms hits").split()]
+    parts += [f"pairs AS ({PAIRS[1]})", *hybrid_steps(alpha)]
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT qid, id AS doc_id, rank, {columns} FROM ranked "
+        f"JOIN documents ON doc_id = id WHERE rank <= {limit}"
+    )
 
 
 def rerank_steps(pool: str, limit: int, weights: Mapping[str, float]) -> list[tuple[str, str]]:
@@ -441,6 +448,31 @@ PHOTO_STEPS = [
     ),
 ]
 
+CATALOG_VIEWS = {
+    **VIEWS,
+    "docs": """SELECT id, regexp_extract_all(lower(title || ' ' || description), '[a-z0-9]+') AS toks
+        FROM products JOIN embeddings ON vec_id = id""",
+    "queries": """SELECT min(vec_id) AS qid, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS toks
+        FROM part JOIN embeddings ON vec_id = p_partkey GROUP BY p_name""",
+}
+CATALOG_SEARCH = (
+    "WITH "
+    + ",\n".join(
+        [f"{n} AS ({CATALOG_VIEWS[n]})" for n in ("products " + SEARCH + " queries query_terms hits").split()]
+        + [f"pairs AS ({PAIRS[1]})", *hybrid_steps(0.5)]
+        + [
+            f"{n} AS ({s})"
+            for n, s in rerank_steps(
+                "(SELECT qid, id, fused AS base_score, p.* EXCLUDE (id) FROM ranked JOIN products p USING (id) WHERE rank <= 30)",
+                12,
+                fixed.SEARCH_WEIGHTS,
+            )
+        ]
+    )
+    + f"\nSELECT qid, id, rank, title, {r9('base_score')} AS base_score, {r9('adjusted_score')} AS adjusted_score"
+    + " FROM reranked WHERE rating >= 2.9e0"
+)
+
 PHRASE_TERMS = sorted(set(SEARCH_PHRASE.split()))
 
 ORACLES: dict[str, str] = {
@@ -484,7 +516,7 @@ ORACLES: dict[str, str] = {
         12,
         0.5,
     ),
-    "hybrid_keyword_only": hybrid(r9_columns("fused"), 10, 1.0),
+    "hybrid_keyword_only": hybrid(r9_columns("fused") + ", lang, source", 10, 1.0),
     "hybrid_semantic_only": hybrid(r9_columns("fused"), 10, 0.0),
     "minmax_normalize": f"""SELECT event_id, event_type,
         {r9("CASE WHEN hi - lo < 1e-9 THEN 0 ELSE (value - lo) / (hi - lo) END")} AS normalized
@@ -730,6 +762,9 @@ ORACLES: dict[str, str] = {
         needs="cart_events products",
         recursive=True,
     ),
+    "catalog_search": CATALOG_SEARCH,
+    "columnar_embeddings": f"""SELECT vec_id, len(embedding) AS dim, {r6("embedding[1]::DOUBLE")} AS first
+        FROM embeddings""",
     "published_inputs": sql(
         f"""SELECT CAST(product_id AS VARCHAR) AS product_id, q0 AS reference_quantity, {r9("e")} AS elasticity,
         {r9("c")} AS marginal_cost, {r9("p0")} AS reference_price FROM pricing""",

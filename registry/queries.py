@@ -82,12 +82,12 @@ def bm25_batch(spark, sf):
     return found.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank")
 
 
-def _hybrid(spark, sf, limit, alpha=fixed.FUSION_ALPHA):
+def _hybrid(spark, sf, limit, alpha=fixed.FUSION_ALPHA, products=None):
     """Query text from ``benchmark``, query vector from the embedding with the same number."""
     known = views.vectors(spark, sf)
     index = search.build_index(views.documents(spark, sf), known)
     asked = views.search_queries(spark, sf).join(known.withColumnRenamed("id", "qid"), "qid")
-    return search.hybrid_search(index, asked, limit, alpha)
+    return search.hybrid_search(index, asked, limit, alpha, products=products)
 
 
 @query
@@ -108,7 +108,9 @@ def hybrid_search(spark, sf):
 
 @query
 def hybrid_keyword_only(spark, sf):
-    return _hybrid(spark, sf, 10, alpha=1.0).select("qid", F.col("id").alias("doc_id"), "rank", r9("fused").alias("fused"))
+    """With the columns of the found documents, joined after the best rows are known."""
+    found = _hybrid(spark, sf, 10, alpha=1.0, products=views.document_facts(spark, sf))
+    return found.select("qid", F.col("id").alias("doc_id"), "rank", r9("fused").alias("fused"), "lang", "source")
 
 
 @query
@@ -190,6 +192,24 @@ def search_page(spark, sf):
     return browse.sort_products(shown, "price-asc").select("qid", "id", "rank", "price", r9("rating").alias("rating"))
 
 
+@query
+def catalog_search(spark, sf):
+    """From a query to the page shown: the product names as queries, a pool by hybrid search, the pool
+    reranked, filtered and sorted for display."""
+    products = views.products(spark, sf)
+    known = views.vectors(spark, sf)
+    texts = products.select("id", text.search_text(F.col("title"), F.col("description")).alias("text"))
+    asked = views.name_queries(spark, sf)
+    pool = search.hybrid_search(
+        search.build_index(texts, known), asked, fixed.CANDIDATE_POOL, fixed.FUSION_ALPHA, products=products
+    )
+    ranked = ranking.rerank(pool.withColumnRenamed("fused", "base_score").drop("rank"))
+    shown = browse.sort_products(browse.filter_products(ranked, min_rating=2.9), "rating")
+    return shown.select(
+        "qid", "id", "rank", "title", r9("base_score").alias("base_score"), r9("adjusted_score").alias("adjusted_score")
+    )
+
+
 # --- browsing ----------------------------------------------------------------------------------
 
 
@@ -534,6 +554,19 @@ def cart_totals(spark, sf):
 # --- sources and sinks -------------------------------------------------------------------------
 
 
+@query
+def columnar_embeddings(spark, sf):
+    """Embeddings written as columnar JSON records and scanned back as rows."""
+    folder = shared_folder(spark)
+    records = tables.columnar_embeddings(views.vectors(spark, sf), "given", max_items=100)
+    tables.write_table(records, folder, fmt="json")
+    rows = tables.read_embeddings(spark, folder, fmt="jsonl")
+    first = F.get("vector", F.lit(0)).cast("double")
+    return rows.select(F.col("id").cast("long").alias("vec_id"), F.size("vector").alias("dim"), first.alias("first")).select(
+        "vec_id", "dim", r6("first").alias("first")
+    )
+
+
 @query
 def published_inputs(spark, sf):
     """Pricing inputs stored, published as JSON and scanned back with the declared schema."""

@@ -49,6 +49,20 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def document_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+
+
+def name_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Each product name as a query, with the vector of the first embedded product of that name."""
+    named = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return (
+        named.join(vectors(spark, sf), "id")
+        .groupBy("text")
+        .agg(F.min("id").alias("qid"), F.min_by("vector", "id").alias("vector"))
+    )
+
+
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     first_words = F.slice(search_tokens(F.col("text")), 1, 5)
     return table(spark, sf, "benchmark").select(

@@ -37,9 +37,13 @@ def cart_state(events: DataFrame) -> DataFrame:
     after_reset = F.col("reset").isNull() | (seq > F.col("reset"))
     overwrite = F.col("overwrite")
     live_overwrite = overwrite.isNotNull() & (F.col("reset").isNull() | (overwrite > F.col("reset")))
+    # Joined on the pair as one value: the sums then get a shuffle of their own, after a partial step, and
+    # adaptive execution may split the join of a line with very many events.
+    line = F.struct("cart_id", "product_id").alias("line")
     sums = (
         on_products.where(action == "add")
-        .join(marks, ["cart_id", "product_id"])
+        .select(line, "cart_id", "product_id", "seq", "quantity")
+        .join(marks.select(line, "reset", "overwrite", "overwritten"), "line")
         .where(after_reset)
         .groupBy("cart_id", "product_id")
         .agg(

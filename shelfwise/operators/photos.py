@@ -148,6 +148,11 @@ def attribute_photos(nouns: DataFrame, products: DataFrame, best: DataFrame) ->
     )
 
 
+def match_photos(nouns: DataFrame, candidates: DataFrame, products: DataFrame, **checks) -> DataFrame:
+    """Check the candidates, take the first good one per noun and credit it on the noun's products."""
+    return attribute_photos(nouns, products, best_candidates(with_checks(candidates, **checks)))
+
+
 def match_counts(nouns: DataFrame, products: DataFrame, best: DataFrame) -> DataFrame:
     """Nouns that have products: how many found a photo and how many did not."""
     present = products_of_nouns(nouns, products).select("noun").distinct()
@@ -162,11 +167,13 @@ def nouns_with_products(attributed: DataFrame, max_ids: int = 10_000) -> DataFra
     A noun with more than about ``max_ids`` products is written as several entries, so no entry grows with
     the catalog; reading them back gives the same rows.
     """
-    sizes = attributed.groupBy("noun").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / max_ids)
+    # the join key differs from the grouping key, so a hot noun is not kept together after the join
+    key = F.struct("noun").alias("key")
+    sizes = attributed.groupBy("noun").agg(F.count(F.lit(1)).alias("n")).select(key, "n")
     return (
-        attributed.join(sizes, "noun")
-        .withColumn("part", F.pmod(F.xxhash64("product_id"), parts))
+        attributed.withColumn("key", F.struct("noun"))
+        .join(sizes, "key")
+        .withColumn("part", F.pmod(F.xxhash64("product_id"), F.ceil(F.col("n") / max_ids)))
         .groupBy("noun", "part", "commons_title", "source_url", "artist", "license", "license_url", "extension")
         .agg(F.sort_array(F.collect_list("product_id")).alias("product_ids"))
         .drop("part")

@@ -38,13 +38,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """The columnar embedding file (parallel ``ids`` and ``vectors``) as one row per item."""
-    artifact = read_table(spark, "product_embeddings", path)
+def read_embeddings(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Columnar embedding records (parallel ``ids`` and ``vectors``) as one row per item."""
+    artifact = read_table(spark, "product_embeddings", path, fmt)
     pairs = F.inline(F.arrays_zip("ids", "vectors")).alias("id", "vector")
     return artifact.select(pairs)
 
 
+def columnar_embeddings(vectors: DataFrame, model: str, max_items: int = 1_000) -> DataFrame:
+    """``vectors(id, vector)`` as columnar records of about ``max_items`` items, so no record grows with the
+    table; ``read_embeddings`` takes one record or many."""
+    records = -(-vectors.count() // max_items)
+    item = F.struct("id", "vector")
+    return (
+        vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(records, 1))).alias("record"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+        .select(
+            F.lit(model).alias("model"),
+            F.size(F.get("items", F.lit(0))["vector"]).alias("dim"),
+            F.col("items.id").alias("ids"),
+            F.col("items.vector").alias("vectors"),
+        )
+    )
+
+
 def attribution_entries(documents: DataFrame) -> DataFrame:
     """``documents(value)``, JSON objects keyed by noun, to one row per entry with its position."""
     entries = F.posexplode(F.map_entries(F.from_json("value", ATTRIBUTION_MAP))).alias("position", "entry")
