@@ -21,7 +21,13 @@ SEARCH_PHRASE = "the best of rewh"
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    """Register a query; whole numbers come out as long, the type SQL counts in."""
+
+    def registered(spark: SparkSession, sf: str) -> DataFrame:
+        df = run(spark, sf)
+        return df.select(*[F.col(c).cast("long") if t == "int" else F.col(c) for c, t in df.dtypes])
+
+    QUERIES[run.__name__] = registered
     return run
 
 
@@ -271,7 +277,6 @@ def _analysis(spark, sf, digits: int | None = 3):
         views.ASPECTS,
         views.LEXICON,
         digits=digits,
-        keep=["is_fake"],
     )
 
 
@@ -333,7 +338,7 @@ def aspect_summary(spark, sf):
 
 @query
 def review_evaluation(spark, sf):
-    labelled = _analysis(spark, sf).where(F.col("is_fake").isNotNull())
+    labelled = _analysis(spark, sf).join(views.fake_labels(spark, sf), "review_id")
     return evaluate.evaluate_flags(labelled, "likely_fake", "is_fake", digits=9)
 
 
@@ -368,27 +373,27 @@ def velocity_six_hours(spark, sf):
     return fraud.velocity(views.event_transactions(spark, sf), minutes=360).select("id", "nearby", "velocity")
 
 
-def _fraud(spark, sf):
-    return fraud.score_fraud(views.transactions(spark, sf), high_value=50_000.0)
+def _fraud(transactions):
+    return fraud.score_fraud(transactions, high_value=50_000.0)
 
 
 @query
 def fraud_score(spark, sf):
-    return _fraud(spark, sf).select(
+    return _fraud(views.transactions(spark, sf)).select(
         "id", "velocity", "region_risk", "new_account_high_value", "fraud_score", "likely_fraud"
     )
 
 
 @query
 def fraud_report(spark, sf):
-    scores = fraud.fraud_scores_table(_fraud(spark, sf))
-    report = fraud.fraud_report(views.transactions(spark, sf), scores)
+    transactions = views.transactions(spark, sf)
+    report = fraud.fraud_report(transactions, fraud.fraud_scores_table(_fraud(transactions)))
     return report.select("id", "buyer_id", "amount", "fraud_score", "likely_fraud")
 
 
 @query
 def fraud_evaluation(spark, sf):
-    return evaluate.evaluate_flags(_fraud(spark, sf), "likely_fraud", "is_fraud", digits=9)
+    return evaluate.evaluate_flags(_fraud(views.transactions(spark, sf)), "likely_fraud", "is_fraud", digits=9)
 
 
 # --- inventory ---------------------------------------------------------------------------------

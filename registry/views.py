@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import Lexicon, search_tokens
+from shelfwise.sources.shared import write_shared
 from shelfwise.sources.tables import spread
 
 # A lexicon and aspect triggers of words that are frequent in the generated prose.
@@ -98,15 +99,19 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("is_fake"))
-    return long_texts(spark, sf).join(labels, "doc_id", "left").select(
+    return long_texts(spark, sf).select(
         F.col("doc_id").alias("id"),
         F.concat_ws("-", "lang", "source").alias("product_id"),
         F.floor(F.col("doc_id") / 5).alias("author"),
         F.col("text").alias("body"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 12).cast("int")).alias("created_at"),
         (F.col("n_chars") % 50).alias("helpful_votes"),
-        "is_fake",
+    )
+
+
+def fake_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").alias("review_id"), (F.col("quality") == 0).alias("is_fake")
     )
 
 
@@ -136,7 +141,8 @@ def event_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    """The transaction log as a stored table, which scoring and reports read more than once."""
+    lines, orders = spread(table(spark, sf, "lineitem"), "l_orderkey"), table(spark, sf, "orders")
     first_order = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf, "region").select("r_regionkey", "r_name")
@@ -152,7 +158,7 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
         .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("shipping_region"))
     )
-    return (
+    log = (
         lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
         .join(buyers, "o_custkey")
         .join(senders, "l_suppkey")
@@ -167,6 +173,7 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
             (F.col("l_returnflag") == "R").alias("is_fraud"),
         )
     )
+    return write_shared(log, "transactions")
 
 
 def inventory_history(spark: SparkSession, sf: str) -> DataFrame:

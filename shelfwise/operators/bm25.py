@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import bind, search_tokens, term_counts
 from shelfwise.operators.vectors import RANK_DIGITS
+from shelfwise.sources.shared import write_shared
 
 
 def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) -> DataFrame:
@@ -72,8 +73,8 @@ def search_text(
 ) -> DataFrame:
     """Best ``limit`` documents of ``docs(id, text)`` for one query text, with their BM25 score.
 
-    One pass aggregates the corpus totals and the document frequency of each query term, a second one
-    scores; both only carry the query's own terms. Documents without a match stay in with score 0.
+    The text is read once, into a narrow table with the length and the query's own terms of each document.
+    The totals and the scores then come from that table. Documents without a match stay in with score 0.
     """
     terms = sorted(set(re.findall(fixed.SEARCH_TOKEN_PATTERN, query.lower())))
     tf = [f"tf{i}" for i in range(len(terms))]
@@ -82,9 +83,8 @@ def search_text(
         hit = F.filter("terms", lambda t: t["term"] == term)
         return F.coalesce(F.get(hit, F.lit(0))["tf"], F.lit(0))
 
-    counted = index_documents(docs, terms).select(
-        "id", "length", *[occurrences(term).alias(name) for term, name in zip(terms, tf, strict=True)]
-    )
+    found = [occurrences(term).alias(name) for term, name in zip(terms, tf, strict=True)]
+    counted = write_shared(index_documents(docs, terms).select("id", "length", *found), "query_terms")
     totals = counted.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.avg("length").alias("avg_length"),

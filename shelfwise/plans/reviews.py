@@ -11,6 +11,7 @@ from shelfwise import fixed_values as fixed
 from shelfwise.functions.rounding import round_exact
 from shelfwise.functions.scores import polarity_class, weighted_sum
 from shelfwise.functions.text import Lexicon, aspect_opinions, generic_text_score, sentiment
+from shelfwise.sources.shared import write_shared
 
 DIGEST_BITS = 256
 
@@ -21,8 +22,11 @@ def text_copies(reviews: DataFrame, body: str = "body", min_copies: int = 1) ->
     Only the digest is shuffled, not the text, and a text with a third of all copies is counted down to one
     row per map task before the shuffle.
     """
-    digest = F.sha2(F.col(body), DIGEST_BITS)
-    counts = reviews.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    return _copies(reviews.select(F.sha2(F.col(body), DIGEST_BITS).alias("digest")), min_copies)
+
+
+def _copies(digests: DataFrame, min_copies: int) -> DataFrame:
+    counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     return counts.where(F.col("copies") >= min_copies)
 
 
@@ -90,37 +94,39 @@ def analyze_reviews(
 ) -> DataFrame:
     """One row per review of a known product: sentiment, aspect map, the three fake indicators, score, flag.
 
-    The text is read where it lies; once its scores are known it is dropped, so the joins with the copy
-    counts and the author bursts move narrow rows. Both joined sides hold only the flagged keys, one row
-    each, and Spark picks the join by their measured size. ``keep`` names review columns to carry along.
+    The text is read once. Its scores and its digest are written to a narrow table, and the copy counts, the
+    author bursts and the joins work on that. Both joined sides hold only the flagged keys, one row each, and
+    Spark picks the join by their measured size. ``keep`` names review columns to carry along.
     """
-    scored = with_text_scores(
-        reviews.join(products.select(F.col("id").alias("product_id"), "category"), "product_id"),
-        keywords,
-        lexicon,
-        digits,
-    ).select(
-        F.col("id").alias("review_id"),
-        "product_id",
-        "author",
-        "sentiment_score",
-        "aspects",
-        "generic_text",
-        "digest",
-        *keep,
+    categories = products.select(F.col("id").alias("product_id"), "category")
+    scored = write_shared(
+        with_text_scores(reviews.join(categories, "product_id", "left"), keywords, lexicon, digits).select(
+            F.col("id").alias("review_id"),
+            "product_id",
+            "category",
+            "author",
+            "created_at",
+            "sentiment_score",
+            "aspects",
+            "generic_text",
+            "digest",
+            *keep,
+        ),
+        "review_scores",
     )
-    copied = text_copies(reviews, min_copies=min_copies).select("digest", F.lit(1.0).alias("duplicate_text"))
-    bursting = author_bursts(reviews, **(burst or {})).where("burst")
+    copied = _copies(scored, min_copies).select("digest", F.lit(1.0).alias("duplicate_text"))
+    bursting = author_bursts(scored, **(burst or {})).where("burst")
     bursting = bursting.select("author", F.lit(1.0).alias("author_burst"))
     return (
-        scored.join(copied, "digest", "left")
+        scored.where("category is not null")
+        .join(copied, "digest", "left")
         .join(bursting, "author", "left")
         .fillna(0.0, ["duplicate_text", "author_burst"])
         .withColumn(
             "fake_score", weighted_sum([F.col(name) for name in weights], list(weights.values()), digits)
         )
         .withColumn("likely_fake", F.col("fake_score") >= threshold)
-        .drop("digest")
+        .drop("digest", "category", "created_at")
     )
 
 
