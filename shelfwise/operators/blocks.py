@@ -22,7 +22,7 @@ MAX_SHIPPED_QUERIES = 2_048
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 MAX_CELL_ROWS = 65_536
 MAX_BLOCK_ROWS = 1_024
-MAX_BLOCK_VALUES = 16_000_000
+MAX_BLOCK_VALUES = 4_000_000
 
 Work = Callable[[Iterator[pa.RecordBatch], pa.Table], Iterator[pa.RecordBatch]]
 
@@ -94,7 +94,11 @@ def id_array(column) -> np.ndarray:
 
 
 class TopRows:
-    """Best ``k`` rows per query by score, then by id; extra score matrices ride along."""
+    """Best ``k`` rows per query by score, then by id; extra score matrices ride along.
+
+    Rows below the k-th best score of any block seen so far cannot end up among the best, so only about ``k``
+    rows per query are ever held. A score of minus infinity leaves a row out.
+    """
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
@@ -103,7 +107,10 @@ class TopRows:
         self.pending = 0
 
     def add(self, ids: np.ndarray, score: np.ndarray, *extra: np.ndarray) -> None:
-        query, row = np.nonzero(score >= self.threshold[:, None])
+        if score.shape[1] >= self.k:
+            kth = np.partition(score, -self.k, axis=1)[:, -self.k]
+            self.threshold = np.maximum(self.threshold, kth)
+        query, row = np.nonzero((score >= self.threshold[:, None]) & (score > -np.inf))
         if not len(query):
             return
         self.parts.append((query, ids[row], score[query, row], *(m[query, row] for m in extra)))
@@ -124,7 +131,7 @@ class TopRows:
         full = np.bincount(query, minlength=len(self.threshold)) >= self.k
         lowest = np.full(len(self.threshold), np.inf)
         np.minimum.at(lowest, query, score)
-        self.threshold = np.where(full, lowest, -np.inf)
+        self.threshold = np.where(full, np.maximum(self.threshold, lowest), self.threshold)
 
     def columns(self) -> tuple[np.ndarray, ...] | None:
         if not self.parts:

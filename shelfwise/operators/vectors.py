@@ -44,15 +44,15 @@ def nearest(
             return
         qids = blocks.id_array(queries["qid"])
         matrix = blocks.vector_matrix(queries["vector"])
-        place = {q: i for i, q in enumerate(qids.tolist())}
+        by_id = np.argsort(qids)
         best = blocks.TopRows(len(qids), limit)
         for batch in blocks.row_blocks(batches, len(qids)):
             ids = blocks.id_array(batch.column("id"))
             score = np.round(matrix @ blocks.vector_matrix(batch.column("vector")).T, RANK_DIGITS)
             if exclude_self:
-                own = [(place[x], i) for i, x in enumerate(ids.tolist()) if x in place]
-                if own:
-                    score[tuple(np.array(own).T)] = np.nan
+                at = by_id[np.searchsorted(qids, ids, sorter=by_id).clip(max=len(qids) - 1)]
+                own = np.flatnonzero(qids[at] == ids)
+                score[at[own], own] = -np.inf
             best.add(ids, score)
         columns = best.columns()
         if columns is not None:
