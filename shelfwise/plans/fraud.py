@@ -29,8 +29,11 @@ def nearby_counts(transactions: DataFrame, minutes: int = fixed.VELOCITY_MINUTES
 
     Returns ``(buyer_id, created_at, nearby)``, one row per buyer and moment. Transactions are first
     counted per buyer and moment, with a partial count before the shuffle. Time is then cut into buckets
-    of a few window lengths, and a moment close to an edge also goes to the bucket beyond it. The sliding
-    frame thus runs per buyer and bucket: a buyer with a third of all rows spreads over all buckets.
+    of a few window lengths, and a moment close to an edge also goes to the bucket beyond it. The frames
+    thus run per buyer and bucket: a buyer with a third of all rows spreads over all buckets.
+
+    The count around a moment is what lies up to its end of the window less what lies before its start. Both
+    frames only grow, so Spark adds each row once; a frame that slides would be summed anew for every row.
     """
     reach = minutes * 60 * 1_000_000
     width = reach * BUCKET_WINDOWS
@@ -40,10 +43,12 @@ def nearby_counts(transactions: DataFrame, minutes: int = fixed.VELOCITY_MINUTES
         .withColumn("us", micros(F.col("created_at")))
     )
     first, last = F.floor((F.col("us") - reach) / width), F.floor((F.col("us") + reach) / width)
-    frame = Window.partitionBy("buyer_id", "bucket").orderBy("us").rangeBetween(-reach, reach)
+    order = Window.partitionBy("buyer_id", "bucket").orderBy("us")
+    up_to_end = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, reach))
+    before_start = F.sum("n").over(order.rangeBetween(Window.unboundedPreceding, -reach - 1))
     return (
         moments.withColumn("bucket", F.explode_outer(F.sequence(first, last)))
-        .withColumn("nearby", F.sum("n").over(frame) - 1)
+        .withColumn("nearby", up_to_end - F.coalesce(before_start, F.lit(0)) - 1)
         .where(F.col("bucket") == F.floor(F.col("us") / width))
         .select("buyer_id", "created_at", "nearby")
     )
