@@ -149,8 +149,8 @@ def sentiment(text: Column, lexicon: Lexicon = Lexicon(), negation_reach: int =
                 tokens, F.greatest(i - (negation_reach - 1), F.lit(1)), F.least(i, F.lit(negation_reach))
             )
             negated = F.exists(before, lambda w: w.isin(list(lexicon.negations)))
-            signed = F.when(negated, -_lookup(token, weights)).otherwise(_lookup(token, weights))
-            return F.when(token.isin(list(weights)), signed * scale)
+            sign = F.when(negated, -1.0).otherwise(1.0)
+            return F.when(token.isin(list(weights)), sign * _lookup(token, weights) * scale)
 
         return F.array_compact(F.transform(tokens, one))
 
@@ -175,24 +175,14 @@ def aspect_opinions(
     A sentence mentions an aspect when its lower-cased text contains one of the aspect's triggers,
     anywhere, also inside a word. The trigger table is a bounded parameter and travels as a literal.
     """
-    table = F.create_map(
-        *[
-            part
-            for name, aspects in keywords.items()
-            for part in (
-                F.lit(name),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(aspect).alias("aspect"),
-                            F.array(*[F.lit(t) for t in triggers]).alias("triggers"),
-                        )
-                        for aspect, triggers in aspects.items()
-                    ]
-                ),
-            )
+    pairs = []
+    for name, aspects in keywords.items():
+        entries = [
+            F.struct(F.lit(aspect).alias("aspect"), F.array(*[F.lit(t) for t in triggers]).alias("triggers"))
+            for aspect, triggers in aspects.items()
         ]
-    )
+        pairs += [F.lit(name), F.array(*entries)]
+    table = F.create_map(*pairs)
 
     def judged(wanted: Column) -> Column:
         """Which aspects each sentence mentions, and its score if it mentions any."""

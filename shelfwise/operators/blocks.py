@@ -34,11 +34,16 @@ def score_blocks(
     schema: str,
     max_queries: int = MAX_SHIPPED_QUERIES,
     max_cell_rows: int = MAX_CELL_ROWS,
+    narrow: Callable[[DataFrame, pa.Table], DataFrame] | None = None,
 ) -> DataFrame:
-    """Run ``work`` over all (rows, queries) blocks. ``rows`` has an ``id``, ``queries`` a ``qid``."""
+    """Run ``work`` over all (rows, queries) blocks. ``rows`` has an ``id``, ``queries`` a ``qid``.
+
+    ``narrow`` may drop what shipped queries do not need from the rows before they go to Python.
+    """
     shipped = queries.limit(max_queries + 1).toArrow()
     if shipped.num_rows <= max_queries and shipped.nbytes <= MAX_SHIPPED_BYTES:
-        return rows.mapInArrow(lambda batches: work(batches, shipped), schema)
+        narrowed = rows if narrow is None else narrow(rows, shipped)
+        return narrowed.mapInArrow(lambda batches: work(batches, shipped), schema)
 
     query_cells = -(-queries.count() // max_queries)
     row_cells = max(1, -(-rows.count() // max_cell_rows))

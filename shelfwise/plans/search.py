@@ -17,6 +17,7 @@ from shelfwise.operators.bm25 import corpus_totals, index_documents, query_terms
 from shelfwise.operators.vectors import RANK_DIGITS, top_per_query
 from shelfwise.sources.shared import write_shared
 
+MAX_LITERAL_TERMS = 5_000
 EXTREMES = ["bm25_low", "bm25_high", "cosine_low", "cosine_high"]
 
 
@@ -86,6 +87,14 @@ def _resolve(index: DataFrame, queries: DataFrame, *carried: str) -> DataFrame:
     return write_shared(resolved.withColumn("terms", F.coalesce("terms", no_terms)), "queries")
 
 
+def _asked_terms_only(rows: DataFrame, queries: pa.Table) -> DataFrame:
+    """Leave the terms that no query asks for out of the rows, unless very many are asked for."""
+    asked = pc.unique(blocks.list_entries(queries["terms"])[1].field("term")).to_pylist()
+    if len(asked) > MAX_LITERAL_TERMS:
+        return rows
+    return rows.withColumn("terms", F.filter("terms", lambda t: t["term"].isin(asked)))
+
+
 def bm25_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -112,7 +121,8 @@ def bm25_batch(
             yield pa.RecordBatch.from_arrays(arrays, ["qid", "id", "score"])
 
     schema = f"qid {_type_of(queries, 'qid')}, id {_type_of(index, 'id')}, score double"
-    local = blocks.score_blocks(index.select("id", "length", "terms"), resolved, work, schema, **sizes)
+    rows = index.select("id", "length", "terms")
+    local = blocks.score_blocks(rows, resolved, work, schema, narrow=_asked_terms_only, **sizes)
     return top_per_query(local, "score", limit)
 
 
@@ -155,9 +165,8 @@ def hybrid_search(
             arrays = [pa.array(c) for c in (block.qids, low[0], high[0], low[1], high[1])]
             yield pa.RecordBatch.from_arrays(arrays, ["qid", *EXTREMES])
 
-    span = blocks.score_blocks(
-        rows, resolved, extremes, f"qid {qid_type}, " + ", ".join(f"{c} double" for c in EXTREMES), **sizes
-    )
+    schema = f"qid {qid_type}, " + ", ".join(f"{c} double" for c in EXTREMES)
+    span = blocks.score_blocks(rows, resolved, extremes, schema, narrow=_asked_terms_only, **sizes)
     span = span.groupBy("qid").agg(
         *[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in EXTREMES]
     )
@@ -187,7 +196,8 @@ def hybrid_search(
             yield pa.RecordBatch.from_arrays(arrays, ["qid", "id", "fused", *names])
 
     schema = f"qid {qid_type}, id {id_type}, fused double, " + ", ".join(f"{c} double" for c in names)
-    local = blocks.score_blocks(rows, resolved.join(span, "qid"), fuse, schema, **sizes)
+    spanned = resolved.join(span, "qid")
+    local = blocks.score_blocks(rows, spanned, fuse, schema, narrow=_asked_terms_only, **sizes)
     ranked = top_per_query(local, "fused", limit).withColumn(
         "keyword_share", keyword_share(F.col("bm25_normalized"), F.col("semantic_normalized"), alpha)
     )
