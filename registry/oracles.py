@@ -737,6 +737,20 @@ ORACLES: dict[str, str] = {
         ORDER BY position) AS place FROM checked WHERE accepted) WHERE place = 1""",
         *PHOTO_STEPS,
     ),
+    "photo_pages": """WITH named AS (SELECT *, 'File:' || regexp_replace(url, '[./]', '_', 'g')
+            || ['.JPEG', '.png', '', '.', '.tar.Jpg'][page_id % 5 + 1] AS title FROM pages)
+        SELECT page_id AS position, title, CASE WHEN page_id % 2 = 0 THEN url || '?thumb' ELSE url END AS url,
+        CASE WHEN page_id % 3 <> 0 THEN 'page ' || page_id ELSE 'unknown' END AS artist,
+        CASE WHEN page_id % 3 <> 0 THEN 'CC0' ELSE 'unknown' END AS license, '' AS license_url,
+        ['.jpeg', '.png', '', '', '.jpg'][page_id % 5 + 1] AS suffix,
+        ['jpg', 'png', 'jpg', 'jpg', 'jpg'][page_id % 5 + 1] AS extension FROM named""",
+    "photo_match_counts": sql(
+        """SELECT count(*) FILTER (noun IN (SELECT noun FROM photo WHERE noun <> 'bolt')) AS matched,
+        count(*) FILTER (noun NOT IN (SELECT noun FROM photo WHERE noun <> 'bolt')) AS skipped
+        FROM (SELECT DISTINCT noun FROM noun_products)""",
+        *CREDIT_STEPS,
+        needs="products",
+    ),
     "noun_products": sql("SELECT noun, id FROM noun_products", *CREDIT_STEPS, needs="products"),
     "photo_attribution": sql("SELECT * FROM credit", *CREDIT_STEPS, needs="products"),
     "attribution_invert": sql(

@@ -495,17 +495,33 @@ def photo_match(spark, sf):
     return photos.best_candidates(_checked(spark, sf)).select("noun", "position", "title", "license")
 
 
+@query
+def photo_pages(spark, sf):
+    """The nested JSON of a photo search, made from the pages, taken apart again."""
+    found = photos.parse_pages(views.photo_responses(spark, sf))
+    return found.select(
+        "position",
+        "title",
+        "url",
+        photos.strip_tags(F.col("artist")).alias("artist"),
+        "license",
+        "license_url",
+        photos.extension_of(F.col("title")).alias("suffix"),
+        photos.photo_extension(F.col("title")).alias("extension"),
+    )
+
+
 @query
 def noun_products(spark, sf):
     return photos.products_of_nouns(views.nouns(spark), views.products(spark, sf))
 
 
-def _attributed(spark, sf):
-    """Photos for the product nouns: the page with the lowest number per category stands for the photo."""
+def _noun_photos(spark, sf):
+    """Photos for the product nouns: the page with the lowest number of those given to a noun."""
     pages = views.table(spark, sf, "pages")
     ids = [noun for noun, _ in views.NOUNS]
     noun = F.get(F.array(*[F.lit(n) for n in ids]), (F.col("page_id") % (len(ids) + 1)).cast("int"))
-    best = photos.best_candidates(
+    return photos.best_candidates(
         pages.select(
             noun.alias("noun"),
             F.col("page_id").alias("position"),
@@ -518,7 +534,16 @@ def _attributed(spark, sf):
             F.col("page_id").isNotNull().alias("accepted"),
         ).where(F.col("noun").isNotNull())
     )
-    return photos.attribute_photos(views.nouns(spark), views.products(spark, sf), best)
+
+
+def _attributed(spark, sf):
+    return photos.attribute_photos(views.nouns(spark), views.products(spark, sf), _noun_photos(spark, sf))
+
+
+@query
+def photo_match_counts(spark, sf):
+    best = _noun_photos(spark, sf).where(F.col("noun") != "bolt")
+    return photos.match_counts(views.nouns(spark), views.products(spark, sf), best)
 
 
 @query

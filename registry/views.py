@@ -238,5 +238,27 @@ def photo_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def photo_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as the JSON object a photo search returns; every third one without details."""
+    page_id, url = F.col("page_id"), F.col("url")
+    suffixes = F.array(*[F.lit(x) for x in [".JPEG", ".png", "", ".", ".tar.Jpg"]])
+    title = F.concat(F.lit("File:"), F.regexp_replace(url, "[./]", "_"), F.get(suffixes, (page_id % 5).cast("int")))
+
+    def entry(value):
+        return F.struct(value.alias("value"))
+
+    details = F.struct(
+        entry(F.lit("CC0")).alias("LicenseShortName"),
+        entry(F.concat(F.lit("<a href='x'>page</a> "), page_id)).alias("Artist"),
+    )
+    info = F.struct(
+        url.alias("url"),
+        F.when(page_id % 2 == 0, F.concat(url, F.lit("?thumb"))).alias("thumburl"),
+        F.when(page_id % 3 != 0, details).alias("extmetadata"),
+    )
+    page = F.to_json(F.struct(title.alias("title"), F.array(info).alias("imageinfo")))
+    return table(spark, sf, "pages").select(F.lit("any").alias("noun"), page_id.alias("position"), page.alias("page"))
+
+
 def nouns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOUNS, "noun string, category string")

@@ -99,6 +99,8 @@ def test_attribution_and_counts(spark, catalog, nouns):
     credited = photos.attribute_photos(nouns, catalog, best)
     rows = {r["product_id"]: r for r in credited.collect()}
     assert set(rows) == {"P1", "P2"}
+    matched = photos.match_photos(nouns, spark.createDataFrame([candidate()], SCHEMA), catalog)
+    assert sorted(matched.collect()) == sorted(credited.collect())
     assert rows["P1"]["artist"] == "Ann B" and rows["P1"]["extension"] == "jpg"
     assert tuple(photos.match_counts(nouns, catalog, best).first()) == (1, 1)
     (entry,) = photos.nouns_with_products(credited).collect()
