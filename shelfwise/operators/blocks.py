@@ -80,6 +80,9 @@ def vector_matrix(column) -> np.ndarray:
     """List column of equally long vectors as a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} and {lengths['max']} dimensions cannot be compared")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -11,7 +11,7 @@ from shelfwise import fixed_values as fixed
 from shelfwise.functions.rounding import round_exact
 from shelfwise.functions.scores import polarity_class, weighted_sum
 from shelfwise.functions.text import Lexicon, aspect_opinions, generic_text_score, sentiment
-from shelfwise.sources.shared import write_shared
+from shelfwise.sources.shared import broadcast_if_small, write_shared
 
 DIGEST_BITS = 256
 
@@ -94,11 +94,12 @@ def analyze_reviews(
 ) -> DataFrame:
     """One row per review of a known product: sentiment, aspect map, the three fake indicators, score, flag.
 
-    The text is read once. Its scores and its digest are written to a narrow table, and the copy counts, the
-    author bursts and the joins work on that. Both joined sides hold only the flagged keys, one row each, and
-    Spark picks the join by their measured size. ``keep`` names review columns to carry along.
+    The text is read once, and not shuffled as long as the categories of the products fit a checked
+    broadcast. Its scores and its digest are written to a narrow table, and the copy counts, the author bursts
+    and the joins work on that. Both joined sides hold only the flagged keys, one row each, and Spark picks the
+    join by their measured size. ``keep`` names review columns to carry along.
     """
-    categories = products.select(F.col("id").alias("product_id"), "category")
+    categories = broadcast_if_small(products.select(F.col("id").alias("product_id"), "category"))
     scored = write_shared(
         with_text_scores(reviews.join(categories, "product_id", "left"), keywords, lexicon, digits).select(
             F.col("id").alias("review_id"),

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD_BYTES = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shelfwise-{uuid.uuid4().hex}"
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a frame of plain columns for a broadcast join when its measured size allows it.
+
+    A larger one comes back as it is and Spark shuffles both sides. Worth the count where the other side of
+    the join carries long texts.
+    """
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    size = df.agg(F.sum(sum(widths, F.lit(ROW_OVERHEAD_BYTES)))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later passes read, and continue from the written table."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

@@ -160,6 +160,12 @@ def test_neighbours_equal_brute_force(frames, corpus, sizes):
         assert [x for (x,) in got[i]] == best(score, 4)
 
 
+def test_vectors_of_different_length_are_refused(spark):
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="dimensions cannot be compared"):
+        vectors.similar_items(mixed.coalesce(1)).collect()
+
+
 def test_neighbours_of_unknown_id_are_empty(spark, frames):
     ids = spark.createDataFrame([(999,)], "id long")
     assert vectors.similar_items(frames[1], ids).count() == 0

@@ -80,6 +80,17 @@ def test_publish(spark, tmp_path):
     assert not (tmp_path / "out" / "c").exists()
 
 
+def test_broadcast_depends_on_the_measured_size(spark):
+    frame = spark.createDataFrame([("P1", "Books"), ("P2", None)], "id string, category string")
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString()
+
+    assert hinted(shared.broadcast_if_small(frame, max_bytes=64 * 2 + 2 + 5 + 2))
+    assert not hinted(shared.broadcast_if_small(frame, max_bytes=64 * 2 + 2 + 5 + 1))
+    assert shared.broadcast_if_small(frame.limit(0)).count() == 0
+
+
 def test_shared_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared.shared_folder(spark).startswith(f"{root}/")
