@@ -22,9 +22,13 @@ def daily_series(history: DataFrame) -> DataFrame:
         F.max("stock_level").alias("stock"),
         F.bool_or("stockout").alias("stockout"),
     )
-    day = F.struct("date", F.weekday("date").alias("weekday"), "units", "stock", "stockout")
+    weekday = F.weekday("date")
+    day = F.struct("date", weekday.alias("weekday"), "units", "stock", "stockout")
+    weekday_means = [F.avg(F.when(weekday == k, F.col("units"))) for k in range(7)]
     return days.groupBy("product_id").agg(
         F.sort_array(F.collect_list(day)).alias("days"),
+        F.avg("units").alias("mean"),
+        F.array(*weekday_means).alias("weekday_means"),
         F.stddev_pop("units").alias("std_dev"),
         F.count_if("stockout").alias("stockout_days_observed"),
     )
@@ -33,19 +37,10 @@ def daily_series(history: DataFrame) -> DataFrame:
 def with_seasonal_index(series: DataFrame) -> DataFrame:
     """Adds ``seasonal_index``: seven factors from Monday on, mean units of the weekday over the mean of
     all days; 1 for a weekday without a day."""
-
-    def factors(mean: Column) -> Column:
-        base = F.when(mean == 0, fixed.NO_DEMAND).otherwise(mean)
-
-        def factor(weekday: Column) -> Column:
-            same = F.filter("days", lambda d: d["weekday"] == weekday)
-            units = F.transform(same, lambda d: d["units"])
-            return F.coalesce(bind(units, mean_of) / base, F.lit(1.0))
-
-        return F.transform(F.array(*[F.lit(w) for w in range(7)]), factor)
-
-    overall = bind(F.transform("days", lambda d: d["units"]), mean_of)
-    return series.withColumn("seasonal_index", bind(overall, factors))
+    base = F.when(F.col("mean") == 0, fixed.NO_DEMAND).otherwise(F.col("mean"))
+    return series.withColumn(
+        "seasonal_index", F.transform("weekday_means", lambda m: F.coalesce(m / base, F.lit(1.0)))
+    )
 
 
 def with_holt(series: DataFrame, alpha: float = fixed.HOLT_ALPHA, beta: float = fixed.HOLT_BETA) -> DataFrame:
