@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import token_files
+from shelfwise.llm import packing, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,10 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_files_round_trip(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files,)}
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed into sequences of 4,096 ids."""
+    return packing.pack(read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op7_packing)}
 ORACLES: dict[str, str] = {}
