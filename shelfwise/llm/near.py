@@ -35,7 +35,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_components(
-    items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, most_unequal_bits: int
+    items: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    most_unequal_bits: int,
+    members: Column | str = "members",
 ) -> DataFrame:
     """``id, component`` of the items that are linked with another one.
 
@@ -48,8 +52,9 @@ def linked_components(
     crowds = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowds = broadcast_if_small(write_shared(crowds, "crowds"))
     crowded = write_shared(buckets.join(crowds, "bucket"), "crowded")
-    members = broadcast_if_small(write_shared(crowded.select("id").distinct(), "members"))
-    sets = write_shared(sets_of(members), "sets")
+    asked = broadcast_if_small(write_shared(crowded.select("id").distinct(), "asked"))
+    sets = write_shared(sets_of(asked), "sets")
+    sets = sets.select("id", (F.col(members) if isinstance(members, str) else members).alias("members"))
 
     # the leader met in most bands first, then the other leaders, then the rest
     met = crowded.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("bands"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import minhash, packing, token_files
+from shelfwise.llm import lines, minhash, packing, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_files_round_trip(read(spark, sf, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line with the line that stays for it."""
+    return lines.line_classes(read(spark, sf, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents packed into sequences of 4,096 ids."""
     return packing.pack(read(spark, sf, "documents"))
@@ -27,7 +32,7 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op7_packing, op9_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op7_packing, op9_near_duplicates)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
