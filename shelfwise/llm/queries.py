@@ -57,4 +57,30 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN size USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_near_duplicates": _OP9}
+_OP5 = r"""
+WITH RECURSIVE line AS (
+  SELECT doc_id, i - 1 AS line_no, trim(w[i], ' ') AS line
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))
+  WHERE trim(w[i], ' ') <> ''),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM line),
+text AS (SELECT line, min(place) AS id FROM ranked GROUP BY line),
+shingle AS (
+  SELECT DISTINCT id, substring(line, i, 8) AS s
+  FROM (SELECT id, line, unnest(generate_series(1, greatest(length(line) - 7, 1))) AS i FROM text)),
+size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
+common AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach AS (
+  SELECT id, id AS other FROM text
+  UNION
+  SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other),
+class AS (SELECT id, min(other) AS first FROM reach GROUP BY id)
+SELECT r.doc_id, r.line_no, f.doc_id AS class_doc, f.line_no AS class_line,
+  r.doc_id = f.doc_id AND r.line_no = f.line_no AS kept
+FROM ranked r JOIN text t ON t.line = r.line JOIN class c ON c.id = t.id JOIN ranked f ON f.place = c.first
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": _OP5, "op9_near_duplicates": _OP9}
