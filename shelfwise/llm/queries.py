@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import lines, minhash, packing, token_files
+from shelfwise.llm import lines, minhash, packing, quality, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +27,17 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality scores of documents, learnt from the labels."""
+    return quality.quality_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op7_packing, op9_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op7_packing, op8_quality, op9_near_duplicates)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
