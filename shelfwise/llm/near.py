@@ -64,14 +64,13 @@ def linked_components(
     links = write_shared(verified(first, sets, percent), "links")
     found = write_shared(components(links), "found")
 
-    # all further pairs that a bucket holds between components, leaders of buckets before the others
-    for leaders in (True, False):
-        if leaders:
-            pairs = met.select("a", "b")
+    # what the other leaders link, then what other members of a bucket link between components
+    for step in ("leaders", "members"):
+        if step == "leaders":
+            more = verified(_apart(met.select("a", "b"), found), sets, percent)
         else:
-            pairs = _pairs_between(crowded, items, found, percent, most_unequal_bits)
-        apart = _apart(pairs, found)
-        more = write_shared(verified(apart, sets, percent), "links")
+            more = _links_between(crowded, items, found, sets, percent, most_unequal_bits)
+        more = write_shared(more, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = write_shared(components(links), "found")
@@ -88,23 +87,30 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.filter("component_a <> component_b").select("a", "b")
 
 
-def _pairs_between(
-    crowded: DataFrame, items: DataFrame, found: DataFrame, percent: int, most_unequal_bits: int
+def _links_between(
+    crowded: DataFrame, items: DataFrame, found: DataFrame, sets: DataFrame, percent: int, most_unequal_bits: int
 ) -> DataFrame:
-    """Pairs of one bucket in different components that neither leads it: sizes and sketches must allow a link."""
+    """Links within a bucket between different components, its leader aside.
+
+    The join's condition holds the whole test, so only links leave it: components, sizes and sketches first, then that
+    this is the first bucket which the two share, the full sets last.
+    """
     placed = _component(crowded.filter("n > 2 and id <> leader").select("bucket", "id"), found, "id", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split = split.filter("low <> high").select("bucket")
-    placed = placed.join(split, "bucket").join(items.select("id", "size", "sketch_a", "sketch_b"), "id")
-    placed = write_shared(placed, "placed")
+    marks = items.select("id", "size", "bands", "sketch_a", "sketch_b").join(sets, "id")
+    placed = write_shared(placed.join(split, "bucket").join(marks, "id"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     unequal = F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) + F.bit_count(
         F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b"))
     )
+    possible = (unequal <= most_unequal_bits) & sizes_allow(F.col("x.size"), F.col("y.size"), percent)
+    first_met = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
+    shared = F.size(F.array_intersect("x.members", "y.members"))
+    linked = similar(shared, F.size("x.members"), F.size("y.members"), percent)
     condition = (
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.component") < F.col("y.component"))
-        & (unequal <= most_unequal_bits)
-        & sizes_allow(F.col("x.size"), F.col("y.size"), percent)
+        & F.when(possible, F.when(first_met, linked).otherwise(False)).otherwise(False)
     )
-    return x.join(y, condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return x.join(y, condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
