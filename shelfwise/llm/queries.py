@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import lines, minhash, packing, quality, token_files
+from shelfwise.llm import language, licenses, lines, minhash, packing, quality, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_classes(read(spark, sf, "documents"))
 
 
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of each document, learnt from those of two folds in three."""
+    return language.identify_languages(read(spark, sf, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents packed into sequences of 4,096 ids."""
     return packing.pack(read(spark, sf, "documents"))
@@ -37,7 +42,12 @@ def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op7_packing, op8_quality, op9_near_duplicates)}
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases and notices of each document."""
+    return licenses.scan_licenses(read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
