@@ -186,7 +186,6 @@ def make_plan(
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """``docs(doc_id, text)`` as pieces, each numbered within its task among the pieces of its length."""
-    end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()),
         ("ids_crc32", pa.int64()), ("part", pa.int32()), ("number", pa.int64()),
@@ -197,15 +196,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity:
         part = TaskContext.get().partitionId()
         numbers = np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
             for a, b in tokens.in_batches(texts):
+                ids, ends = encoder.encode(texts[a:b])
+                ids = np.insert(ids, ends[1:], end_id).astype("<u4")
+                ends = (ends + np.arange(len(ends))).tolist()
                 rows = []
-                for doc_id, found in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
-                    found = memoryview(found + end)
-                    for piece, at in enumerate(range(0, len(found), 4 * capacity)):
-                        held = found[at : at + 4 * capacity]
-                        length = len(held) // 4
-                        rows.append((doc_id, piece, at // 4, length, zlib.crc32(held), part, numbers[length]))
+                for doc_id, begin, end in zip(doc_ids[a:b], ends[:-1], ends[1:], strict=True):
+                    for piece, at in enumerate(range(begin, end, capacity)):
+                        held = ids[at : min(at + capacity, end)]
+                        length = len(held)
+                        rows.append((doc_id, piece, at - begin, length, zlib.crc32(held), part, numbers[length]))
                         numbers[length] += 1
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

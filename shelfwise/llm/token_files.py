@@ -32,22 +32,19 @@ FILE_SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """``docs(doc_id, text)`` in their order as rows of the file format."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokens.tokenizer_path(tokenizer))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for a, b in tokens.in_batches(texts):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in ids], np.int32)
-                lists = pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
-                    pa.array(np.frombuffer(b"".join(ids), "<i4")),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b].cast(pa.int64()), pa.array(sizes), lists], schema=schema
-                )
+                ids, ends = encoder.encode(texts[a:b])
+                ids = np.insert(ids, ends[1:], end_id).astype(np.int32)
+                ends += np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids))
+                sizes = pa.array(np.diff(ends), pa.int32())
+                columns = [batch.column("doc_id")[a:b].cast(pa.int64()), sizes, lists]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
 

@@ -1,26 +1,34 @@
 """Token ids of whole texts by the ``tokenizers`` library, for use inside tasks.
 
 White space bounds every match of the two kinds of pre-tokenizers known here, so a text's ids are the ids of its
-words one after another. A worker remembers the ids of the words it has met, up to a bound, and asks the library
-only for new ones. Any other tokenizer file, and any text with unusual white space, is encoded whole.
+words one after another. A batch of texts is cut into words and its distinct words are found in Arrow; the library
+encodes those that the worker doesn't remember, up to a bound, and numpy puts the ids in place. Any other tokenizer
+file, and any text with unusual white space, is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Words that a worker remembers; beyond it, it begins anew.
-REMEMBERED = 400_000
-#: Texts that are encoded at a time, and their characters.
-BATCH_TEXTS, BATCH_CHARS = 512, 2_000_000
-
-_UNUSUAL = re.compile("[^\\S \n]|^[ \n]|[ \n]$|[ \n][ \n]|[\x00\x1c-\x1f]")
+#: Words that a worker remembers; beyond it, it begins anew and takes over what it meets again.
+REMEMBERED = 200_000
+#: Bytes of the texts that are encoded at a time; a longer text is a batch of its own.
+BATCH_BYTES = 4_000_000
+
+#: White space other than single spaces and line feeds between words, and what Python or the library alone count so.
+_OTHER = r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that are taken off the end of a word, a mark that stands between joined words, and words joined at a time.
+_MARKS, _STOP, JOINED = ".,;:!?", "\x01", 50
+_UNUSUAL = _OTHER + r"|^[ \n]|[ \n]$|[ \n][ \n]"
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -39,69 +47,125 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            self.words = _word_rule(json.load(file))
+            self.kind = _kind(json.load(file))
+        # whether an id begins a word of a joined text: it holds the space, or it is the stop between words
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.stop = None
+        if self.kind == "led":
+            self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        elif len(stop := self.tokenizer.encode(_STOP, add_special_tokens=False).ids) == 1:
+            self.stop = stop[0]
+            self.begins[self.stop] = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: Sequence[str]) -> list[bytes]:
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text, encoded as it is, as little-endian unsigned 32-bit integers."""
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if self.words is None:
-            return self._ids([t or "" for t in texts])
-        split = [self.words(t or "") for t in texts]
-        get = self.known.get
-        found = [None if w is None else list(map(get, w)) for w in split]
-        new = {k for w, ids in zip(split, found, strict=True) if w and None in ids for k, x in zip(w, ids, strict=True) if x is None}
-        if new:
-            self._learn(new)
-            get = self.known.get
-            for w, ids in zip(split, found, strict=True):
-                if ids and None in ids:
-                    ids[:] = [get(k) if x is None else x for k, x in zip(w, ids, strict=True)]
-        return [self._ids([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Add words; what was remembered before the last renewal is taken over when it is met again."""
-        if len(self.known) + len(new) > self.remembered:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's ids begin and end; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if self.kind is None:
+            odd = np.ones(len(texts), bool)
+        elif self.kind == "led":
+            odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.zeros(len(texts), bool)
+        usual = texts.filter(pa.array(~odd)) if odd.any() else texts
+        ids, sizes = self._by_words(usual)
+        if odd.any():
+            parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(usual) else []
+            whole = iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
+            rest = iter(parts)
+            docs = [np.frombuffer(next(whole), "<u4") if o else next(rest) for o in odd.tolist()]
+            ids, sizes = np.concatenate([np.zeros(0, np.uint32), *docs]), np.array([len(d) for d in docs], np.int64)
+        return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.kind == "led":
+            # a word carries the white space before it: "x" stands for " x", a null byte for the text's start
+            spaced = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), "")
+        else:
+            spaced = pc.replace_substring(texts, "\n", " ")
+        lists = pc.split_pattern(spaced, " ")
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        found = self._word_ids(words.dictionary.to_pylist())
+        lengths = np.array([len(x) for x in found], np.int64) // 4
+        values = np.frombuffer(b"".join(found), "<u4")
+        begins = np.cumsum(lengths) - lengths
+        counts = lengths[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        ids = values[np.repeat((begins[at] - ends[:-1]).astype(np.int32), counts) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. A word not met before is its letters and the marks behind them, where the
+        pre-tokenizer cuts anyway."""
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        ends = {w: stem for w in new if (stem := w.rstrip(_MARKS)) != w and stem and "A" <= stem[-1] <= "ɏ" and stem[-1].isalpha()}
+        bare = "\0" if self.kind == "led" else ""
+        wanted = {ends.get(w, w) for w in new}
+        wanted.update(bare + w[len(stem) :] for w, stem in ends.items())
+        learnt = {w: ids for w in wanted if (ids := self.known.get(w) or self.older.get(w)) is not None}
+        asked = [w for w in wanted if w not in learnt]
+        learnt.update(zip(asked, self._ask(asked), strict=True))
+        for w, stem in ends.items():
+            learnt[w] = learnt[stem] + learnt[bare + w[len(stem) :]]
+        if len(self.known) + len(learnt) > self.remembered:
             self.known, self.older = {}, self.known
-        asked = [k for k in new if k not in self.older]
-        self.known.update((k, self.older[k]) for k in new if k in self.older)
-        texts = [_chunk(k) for k in asked] if self.words is _led else asked
-        self.known.update(zip(asked, self._ids(texts), strict=True))
-
-
-def _led(text: str) -> list[str] | None:
-    """Words that carry the white space before them: ``x`` stands for " x", a null byte for the text's start."""
-    if not text:
-        return []
-    if _UNUSUAL.search(text):
-        return None
-    words = text.replace("\n", " \n").split(" ")
-    words[0] = "\0" + words[0]
-    return words
-
-
-def _chunk(key: str) -> str:
-    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
-
-
-def _free(text: str) -> list[str]:
-    """Words of a tokenizer that drops white space."""
-    return text.replace("\n", " ").split(" ")
-
-
-def _word_rule(spec: dict):
+        self.known.update(learnt)
+        return [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """Ids of words from the library, many in one text where the ids show the words' bounds."""
+        if self.kind == "led":
+            joined = [i for i, w in enumerate(words) if w and w[0] not in "\0\n"]
+        else:
+            joined = [i for i, w in enumerate(words) if w and _STOP not in w] if self.stop is not None else []
+        found: list[bytes | None] = [None] * len(words)
+        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        if self.kind == "led":
+            texts = ["".join(" " + words[i] for i in run) for run in runs]
+        else:
+            texts = ["".join(f"{_STOP} {words[i]} " for i in run) for run in runs]
+        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) == len(run):
+                data, skip = ids.tobytes(), 0 if self.kind == "led" else 1
+                bounds = zip((4 * (begins + skip)).tolist(), [*(4 * begins[1:]).tolist(), len(data)], strict=True)
+                for i, (a, b) in zip(run, bounds, strict=True):
+                    found[i] = data[a:b]
+        single = [i for i, ids in enumerate(found) if ids is None]
+        texts = [_chunk(words[i]) if self.kind == "led" else words[i] for i in single]
+        for i, ids in zip(single, self.whole(texts), strict=True):
+            found[i] = ids
+        return found
+
+
+def _chunk(word: str) -> str:
+    return word[1:] if word[:1] == "\0" else word if word[:1] == "\n" else " " + word
+
+
+def _kind(spec: dict) -> str | None:
+    """``led``: byte-level words that carry the space before them. ``free``: white space is dropped."""
     before, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
     if before is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-        return _led
+        return "led"
     steps = [x.get("type") for x in (before or {}).get("normalizers", [])]
     parts = pre.get("pretokenizers", [])
     if steps == ["NFC", "Replace", "Lowercase"] and parts and parts[0].get("behavior") == "Removed" and parts[0]["invert"]:
-        return _free
+        return "free"
     return None
 
 
@@ -112,14 +176,14 @@ def encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
-def in_batches(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+def in_batches(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of batches of texts that are short together."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
-        if i > start and (i - start >= BATCH_TEXTS or chars + size > BATCH_CHARS):
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > most:
             yield start, i
-            start, chars = i, 0
-        chars += size
-    if len(texts) > start:
-        yield start, len(texts)
+            start, held = i, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes)
