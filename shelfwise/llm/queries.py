@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language, licenses, lines, minhash, packing, quality, token_files
+from shelfwise.llm import decontamination, language, licenses, lines, minhash, packing, quality, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document that stand in a window of the benchmark."""
+    return decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as token files and read back."""
     return token_files.token_files_round_trip(read(spark, sf, "documents"))
@@ -47,7 +52,7 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
@@ -98,4 +103,34 @@ SELECT r.doc_id, r.line_no, f.doc_id AS class_doc, f.line_no AS class_line,
 FROM ranked r JOIN text t ON t.line = r.line JOIN class c ON c.id = t.id JOIN ranked f ON f.place = c.first
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": _OP5, "op9_near_duplicates": _OP9}
+_OP2 = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i
+        FROM item WHERE len(w) > 0)),
+size AS (SELECT DISTINCT n FROM item_window),
+doc_window AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, size WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item, i, d.n FROM doc_window d JOIN item_window b ON d.s = b.s AND d.n = b.n),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM hit),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9}
