@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, language, licenses, lines, minhash, packing, quality, token_files
+from shelfwise.llm import decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_files
 from shelfwise.llm.corpus import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text."""
+    return fingerprints.fingerprint_edits(read(spark, sf, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each document that stand in a window of the benchmark."""
     return decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -52,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
