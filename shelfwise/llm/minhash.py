@@ -7,7 +7,7 @@ Circulant MinHash needs two permutations of the shingle space (the integers belo
 the shingles, the second, shifted by k places, gives the k-th signature coordinate as its minimum over the set. Both
 are bijective integer mixings, so a coordinate costs one subtraction and one mixing. 125 of the 128 coordinates form
 25 bands of 5 rows; the lowest bits of all 128 are the sketch. At a similarity of 0.85 a pair misses every band
-with a probability of 4e-7, and the sketch test with 1e-8.
+with a probability of 4e-7 (5e-5 at 0.8), and the sketch test with less than 1e-6.
 
 Equal sets are grouped first, by a 128-bit digest, so only one document of them is banded; ``near.py`` confirms
 every link on full sets (of 64-bit shingle hashes).
@@ -19,6 +19,7 @@ which any may link; an empty table gives no rows; further columns of the input a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from shelfwise.sources.shared import broadcast_if_small, write_shared
 SHINGLE_WORDS = 5
 PERCENT = 85
 BANDS, ROWS, COORDINATES = 25, 5, 128
-MOST_UNEQUAL_BITS = 28
+#: Deviations above the expected number of unequal sketch bits at which a pair is still looked at.
+DEVIATIONS = 5.5
 #: Shingles whose coordinates are computed at a time, for the processor's cache.
 BLOCK = 1024
 
@@ -109,6 +111,12 @@ def bands(least: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
+def most_unequal_bits(percent: int, bits: int = COORDINATES) -> int:
+    """Sketch bits that a pair of the least similarity can differ in: a bit differs with half the chance of a coordinate."""
+    chance = (1 - percent / 100) / 2
+    return math.ceil(bits * chance + DEVIATIONS * math.sqrt(bits * chance * (1 - chance)))
+
+
 def sign_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest, bands, sketch_a, sketch_b`` of ``docs(doc_id, text)``."""
     schema = pa.schema([
@@ -171,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         asked = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return shingle_sets(asked)
 
-    found = broadcast_if_small(near.linked_components(items, sets_of, percent, MOST_UNEQUAL_BITS))
+    found = broadcast_if_small(near.linked_components(items, sets_of, percent, most_unequal_bits(percent)))
     component = F.coalesce("component", "copy_of", "doc_id")
     placed = copied.withColumn("id", F.coalesce("copy_of", "doc_id")).join(found, "id", "left")
     return placed.select(
@@ -180,3 +188,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the near copies: of each component the smallest ``doc_id`` stays, with all its columns."""
+    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
+    gone = broadcast_if_small(write_shared(gone, "gone"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

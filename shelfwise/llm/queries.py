@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_files
+from shelfwise.llm import decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_counts, token_files, tokens
 from shelfwise.llm.corpus import read
+from shelfwise.sources.shared import shared_folder, write_shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,25 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token totals of two tokenizer versions, after toxic documents were deleted from both."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    counts = [
+        write_shared(token_counts.count_tokens(docs, tokens.BYTE_BPE), "counts"),
+        token_counts.count_words(docs, r"\S+", "words"),
+    ]
+    removed = labels.filter("toxic = 1").select("doc_id")
+    return token_counts.maintained_totals(spark, f"{shared_folder(spark)}/rollup", counts, removed)
+
+
+def rollup_word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rollup over two kinds of words, which SQL can count too."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    counts = [token_counts.count_words(docs, r"[^ \n]+", "spaced"), token_counts.count_words(docs, "[A-Za-z]+", "letters")]
+    removed = labels.filter("toxic = 1").select("doc_id")
+    return token_counts.maintained_totals(spark, f"{shared_folder(spark)}/rollup", counts, removed)
+
+
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as token files and read back."""
     return token_files.token_files_round_trip(read(spark, sf, "documents"))
@@ -57,7 +77,7 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses, rollup_word_counts)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
@@ -138,4 +158,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9}
+_ROLLUP = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang, 'spaced' AS tokenizer_version,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \n]+')) AS n FROM documents
+  UNION ALL
+  SELECT doc_id, source, lang, 'letters', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) FROM documents)
+SELECT source, lang, tokenizer_version, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM counted WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+GROUP BY source, lang, tokenizer_version
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9, "rollup_word_counts": _ROLLUP}
