@@ -7,7 +7,8 @@ anchor. ``anchors`` gives them with their positions.
 
 A fingerprint has 64 coordinates: of the anchors' hashes the one nearest, by XOR, to a constant of the coordinate, of
 which the low 16 bits are kept. The share of equal coordinates estimates the Jaccard likeness of two texts' anchors.
-An empty text has the empty fingerprint, like another empty one and unlike all others.
+A text without anchors (an empty one, and a rare short one) has the empty fingerprint, like another such and unlike
+all others.
 
 Only DataFrame functions. Positions are generated and reduced within the task that holds the text, in generated code;
 no anchor is shuffled. For the neighbour in the order of ``doc_id``, rows are dealt by blocks of ids; a window looks
@@ -102,11 +103,6 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*df.columns, "number", *following)
 
 
-def _words_of_digest(digest: Column) -> list[Column]:
-    """A SHA-256 in hex as four longs, so that it can pass a numeric aggregation."""
-    return [F.conv(F.substring(digest, 16 * j + 1, 16), 16, -10).cast("long").alias(f"d{j}") for j in range(4)]
-
-
 def _likeness(left: str, right: str) -> Column:
     same = F.aggregate(F.zip_with(left, right, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     empty = F.size(left) + F.size(right)
@@ -127,30 +123,30 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.col("text").substr(F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("next_text").substr(F.lit(1), third)
     )
     key = ["block", "number"]
-    facts = ["doc_id", "tie", "n_chars"]
-    both = texts.select(*key, *facts, F.array("text", edited).alias("forms"))
-    both = both.withColumn("digest", F.sha2(F.get("forms", F.lit(1)), 256))
-    digest = _words_of_digest(F.col("digest"))
-    forms = both.select(*key, *facts, *digest, F.posexplode("forms").alias("form", "held"))
-    forms = forms.withColumn("points", F.encode("held", "UTF-32")).drop("held")
-    numbers = [*facts, *[f"d{j}" for j in range(4)]]
-    found = anchors(forms, [*key, "form", *numbers])
+    facts = ["doc_id", "tie", "n_chars", "edited_sha256"]
+    both = texts.select(*key, "doc_id", "tie", "n_chars", F.array("text", edited).alias("forms"))
+    forms = both.select(*key, F.posexplode("forms").alias("form", "held"))
+    forms = forms.select(*key, "form", F.encode("held", "UTF-32").alias("points"))
     minima = [F.min(F.col("anchor").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants(COORDINATES))]
     kept = [F.col(f"m{j}").bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("int") for j in range(COORDINATES)]
-    sketched = found.groupBy(*key, "form").agg(*[F.max(c).alias(c) for c in numbers], *minima)
-    sketched = sketched.select(*key, "form", *numbers, F.array(*kept).alias("marks"))
-    empty = forms.filter(F.length("points") == 0).select(*key, "form", *numbers, F.array().cast("array<int>").alias("marks"))
-    paired = sketched.unionByName(empty).groupBy(*key).agg(
-        *[F.max(c).alias(c) for c in numbers],
-        F.max(F.when(F.col("form") == 0, F.col("marks"))).alias("marks"),
-        F.max(F.when(F.col("form") == 1, F.col("marks"))).alias("edited_marks"),
+    sketched = anchors(forms, [*key, "form"]).groupBy(*key, "form").agg(*minima)
+    sketched = sketched.select(*key, "form", F.array(*kept).alias("marks"))
+    # every document has a row of facts, also one without an anchor
+    named = both.select(*key, "doc_id", "tie", "n_chars", F.sha2(F.get("forms", F.lit(1)), 256).alias("edited_sha256"))
+    no_marks = F.array().cast("array<int>")
+    paired = sketched.unionByName(named, allowMissingColumns=True).groupBy(*key).agg(
+        *[F.max(c).alias(c) for c in facts],
+        *[
+            F.coalesce(F.max(F.when(F.col("form") == form, F.col("marks"))), no_marks).alias(name)
+            for form, name in enumerate(("marks", "edited_marks"))
+        ],
     )
     placed = with_next(paired.drop(*key), ["marks"])
     text_of = lambda marks: F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(m)), KEPT_BITS // 4, "0")), "")
     return placed.select(
         "doc_id",
         "n_chars",
-        F.concat(*[F.lpad(F.lower(F.hex(f"d{j}")), 16, "0") for j in range(4)]).alias("edited_sha256"),
+        "edited_sha256",
         text_of("marks").alias("fingerprint"),
         text_of("edited_marks").alias("edited_fingerprint"),
         _likeness("marks", "edited_marks").alias("near_edited"),
