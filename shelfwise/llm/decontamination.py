@@ -79,9 +79,9 @@ def with_kept(df: DataFrame, gram: int, window: int) -> DataFrame:
     return df.withColumn("kept", F.array_distinct(name))
 
 
-def _short_grams(short: list[int]) -> list[Column]:
-    """Hashes of all runs of the short lengths, each with its length, so that lengths don't meet."""
-    return [F.transform(F.array_distinct(f"g{n}"), lambda x, n=n: F.xxhash64(F.lit(n), x)) for n in short]
+def _tagged(grams: Column, n: int) -> Column:
+    """Hashes of runs with their length, so that lengths don't meet."""
+    return F.transform(grams, lambda gram: F.xxhash64(F.lit(n), gram))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
@@ -110,7 +110,7 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
     worded = docs.select("doc_id", words_of("text").alias("words"))
     hashed = worded.select("doc_id", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     signed = with_kept(with_grams(hashed, lengths), gram, window)
-    signed = signed.select("doc_id", "n_words", F.explode_outer(F.concat("kept", *_short_grams(short))).alias("mark"))
+    signed = signed.select("doc_id", "n_words", F.explode_outer(F.concat("kept", *[_tagged(F.array_distinct(f"g{n}"), n) for n in short])).alias("mark"))
     wanted = broadcast_if_small(marks.select("mark").distinct().withColumn("met", F.lit(1)))
     met = signed.join(wanted, "mark", "left").groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.max("met").alias("met")
@@ -122,7 +122,7 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
     again = write_shared(again.select("doc_id", words_of("text").alias("words")), "suspects")
     again = again.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     again = with_grams(again, lengths)
-    tagged = [F.col(f"g{gram}"), *[F.transform(f"g{n}", lambda x, n=n: F.xxhash64(F.lit(n), x)) for n in short]]
+    tagged = [F.col(f"g{gram}"), *[_tagged(F.col(f"g{n}"), n) for n in short]]
     places = reduce(
         DataFrame.unionByName,
         [again.select("doc_id", F.xxhash64("words").alias("row"), F.posexplode(g).alias("at", "mark")) for g in tagged],

@@ -33,6 +33,8 @@ END_ID = 1
 #: Patterns enumerated in a round, documents in a pattern, rounds, and steps of the fit.
 PATTERNS, PATTERN_DOCUMENTS, ROUNDS, STEPS = 40_000, 6, 4, 150
 SEED = 7
+#: Shares of the pieces that patterns are tried for.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, number long"
 
 
@@ -156,34 +158,58 @@ def best_fit(counts: np.ndarray) -> Plan:
     return Plan([tuple(e[0]) for e in entries], [e[1] for e in entries])
 
 
-def make_plan(
-    counts: np.ndarray, size: int = PATTERNS, documents: int = PATTERN_DOCUMENTS, rounds: int = ROUNDS,
-    steps: int = STEPS, seed: int = SEED,
+def _plan_of_share(
+    counts: np.ndarray, share: float, size: int, documents: int, rounds: int, steps: int, seed: int
 ) -> Plan:
-    """``counts[n]`` pieces of length ``n``, for ``n`` up to the capacity, as patterns and their repeats."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
+    """Patterns for a share of each length, best fit for the rest."""
+    left = counts.copy()
     rng = np.random.default_rng(seed)
-    plan = Plan([], [])
     full = len(left) - 1
-    if left[full]:
-        plan = Plan([(full,)], [int(left[full])])
-        left[full] = 0
+    plan = Plan([(full,)], [int(left[full])]) if left[full] else Plan([], [])
+    left[full] = 0
     for _ in range(rounds):
-        if not left.any():
+        fitted = np.floor(left * share).astype(np.int64)
+        if not fitted.any():
             break
-        patterns = enumerate_patterns(left, size, documents, rng)
+        patterns = enumerate_patterns(fitted, size, documents, rng)
         patterns = patterns[patterns.sum(axis=1) == full]
         if not len(patterns):
             break
-        repeats = round_repeats(patterns, fit_repeats(patterns, left.astype(float), steps), left)
+        kept = left - fitted
+        repeats = round_repeats(patterns, fit_repeats(patterns, fitted.astype(float), steps), fitted)
+        left = fitted + kept
         used = np.flatnonzero(repeats)
         plan.lengths += [tuple(v for v in p if v) for p in patterns[used].tolist()]
         plan.repeats += repeats[used].tolist()
+        if share < 1:
+            break
     rest = best_fit(left)
     return Plan(plan.lengths + rest.lengths, plan.repeats + rest.repeats)
 
 
+def make_plan(
+    counts: np.ndarray, size: int = PATTERNS, documents: int = PATTERN_DOCUMENTS, rounds: int = ROUNDS,
+    steps: int = STEPS, seed: int = SEED, shares: tuple[float, ...] = SHARES,
+) -> Plan:
+    """``counts[n]`` pieces of length ``n``, for ``n`` up to the capacity, as patterns and their repeats.
+
+    What patterns leave over may fit together badly where most lengths are large. So patterns are tried for several
+    ``shares`` of the pieces, and the plan of the fewest sequences is taken, the largest share among equals; a plan
+    that reaches the bound of the lengths' sum ends the search.
+    """
+    counts = counts.astype(np.int64).copy()
+    counts[0] = 0
+    bound = -(-int((counts * np.arange(len(counts))).sum()) // (len(counts) - 1))
+    best = None
+    for share in shares:
+        plan = _plan_of_share(counts, share, size, documents, rounds, steps, seed)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= bound:
+            break
+    return best
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """``docs(doc_id, text)`` as pieces, each numbered within its task among the pieces of its length."""
     schema = pa.schema([
