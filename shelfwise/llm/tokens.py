@@ -26,8 +26,8 @@ BATCH_BYTES = 4_000_000
 
 #: White space other than single spaces and line feeds between words, and what Python or the library alone count so.
 _OTHER = r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Marks that are taken off the end of a word, a mark that stands between joined words, and words joined at a time.
-_MARKS, _STOP, JOINED = ".,;:!?", "\x01", 50
+#: Marks that are taken off the end of a word, and words joined at a time.
+_MARKS, JOINED = ".,;:!?", 50
 _UNUSUAL = _OTHER + r"|^[ \n]|[ \n]$|[ \n][ \n]"
 _encoders: dict[str, TextEncoder] = {}
 
@@ -42,21 +42,25 @@ def tokenizer_path(name: str) -> str:
 class TextEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             self.kind = _kind(json.load(file))
-        # whether an id begins a word of a joined text: it holds the space, or it is the stop between words
+        # joined words are told apart by ids that hold the space before a word, or that end one
         vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.stop = None
+        self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
         if self.kind == "led":
-            self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        elif len(stop := self.tokenizer.encode(_STOP, add_special_tokens=False).ids) == 1:
-            self.stop = stop[0]
-            self.begins[self.stop] = True
+            self.joiner = self.tokenizer
+            self.bounds[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        elif self.kind == "free":
+            # a word of ASCII letters is one piece that needs no normalizing but its lower case
+            self.joiner = Tokenizer(self.tokenizer.model)
+            split = pre_tokenizers.Split(" ", "removed")
+            letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.joiner.pre_tokenizer = pre_tokenizers.Sequence([split, letters])
+            self.bounds[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -130,21 +134,19 @@ class TextEncoder:
         """Ids of words from the library, many in one text where the ids show the words' bounds."""
         if self.kind == "led":
             joined = [i for i, w in enumerate(words) if w and w[0] not in "\0\n"]
+            text = lambda run: "".join(" " + words[i] for i in run)
         else:
-            joined = [i for i, w in enumerate(words) if w and _STOP not in w] if self.stop is not None else []
+            joined = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+            text = lambda run: " ".join(words[i].lower() for i in run)
         found: list[bytes | None] = [None] * len(words)
         runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        if self.kind == "led":
-            texts = ["".join(" " + words[i] for i in run) for run in runs]
-        else:
-            texts = ["".join(f"{_STOP} {words[i]} " for i in run) for run in runs]
-        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for run, encoded in zip(runs, self.joiner.encode_batch_fast(list(map(text, runs)), add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
-            begins = np.flatnonzero(self.begins[ids])
-            if len(begins) == len(run):
-                data, skip = ids.tobytes(), 0 if self.kind == "led" else 1
-                bounds = zip((4 * (begins + skip)).tolist(), [*(4 * begins[1:]).tolist(), len(data)], strict=True)
-                for i, (a, b) in zip(run, bounds, strict=True):
+            at = np.flatnonzero(self.bounds[ids]) + (self.kind == "free")
+            if len(at) == len(run):
+                data, cuts = ids.tobytes(), (4 * at).tolist()
+                cuts = [*cuts, len(data)] if self.kind == "led" else [0, *cuts]
+                for i, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
                     found[i] = data[a:b]
         single = [i for i, ids in enumerate(found) if ids is None]
         texts = [_chunk(words[i]) if self.kind == "led" else words[i] for i in single]
