@@ -146,8 +146,8 @@ def sign_documents(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``id, members`` of ``docs(doc_id, text)``."""
-    schema = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
+    """``id, held`` of ``docs(doc_id, text)``: the hashes of the shingles."""
+    schema = pa.schema([("id", pa.int64()), ("held", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 columns = [batch.column("doc_id")[at : at + 256], pa.array(sets, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, members array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, held array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from shelfwise.llm.graph import components
 from shelfwise.sources.shared import broadcast_if_small, write_shared
 
+#: Turns a column of stored sets into one of arrays.
+ToSet = Callable[[DataFrame, str], DataFrame]
+
 
 def similar(shared: Column, left: Column, right: Column, percent: int) -> Column:
     """100 * intersection >= percent * union, in whole numbers."""
@@ -25,12 +28,23 @@ def sizes_allow(left: Column, right: Column, percent: int) -> Column:
     return F.lit(100) * F.least(left, right) >= F.lit(percent) * F.greatest(left, right)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets, from ``sets(id, members)``, are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
+def as_stored(df: DataFrame, column: str) -> DataFrame:
+    """For sets that are stored as what they are."""
+    return df
+
+
+def _of_ids(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored sets of some ids, the others not shuffled."""
+    return stored.join(broadcast_if_small(ids.distinct()), "id", "left_semi")
+
+
+def verified(pairs: DataFrame, stored: DataFrame, percent: int, to_set: ToSet) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets, from ``stored(id, held)``, are similar enough."""
+    held = _of_ids(stored, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = held.select(F.col("id").alias("a"), F.col("held").alias("left"))
+    right = held.select(F.col("id").alias("b"), F.col("held").alias("right"))
+    both = to_set(to_set(pairs.join(left, "a").join(right, "b"), "left"), "right")
     shared = F.size(F.array_intersect("left", "right"))
-    both = pairs.join(left, "a").join(right, "b")
     return both.filter(similar(shared, F.size("left"), F.size("right"), percent)).select("a", "b")
 
 
@@ -39,7 +53,7 @@ def linked_components(
     sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
     most_unequal_bits: int,
-    members: Column | str = "members",
+    to_set: ToSet = as_stored,
 ) -> DataFrame:
     """``id, component`` of the items that are linked with another one.
 
@@ -53,23 +67,22 @@ def linked_components(
     crowds = broadcast_if_small(write_shared(crowds, "crowds"))
     crowded = write_shared(buckets.join(crowds, "bucket"), "crowded")
     asked = broadcast_if_small(write_shared(crowded.select("id").distinct(), "asked"))
-    sets = write_shared(sets_of(asked), "sets")
-    sets = sets.select("id", (F.col(members) if isinstance(members, str) else members).alias("members"))
+    stored = write_shared(sets_of(asked), "sets")
 
     # the leader met in most bands first, then the other leaders, then the rest
     met = crowded.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("bands"))
     met = write_shared(met.select(F.col("id").alias("b"), F.col("leader").alias("a"), "bands"), "met")
     first = met.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("best"))
     first = first.select((-F.col("best.a")).alias("a"), "b")
-    links = write_shared(verified(first, sets, percent), "links")
+    links = write_shared(verified(first, stored, percent, to_set), "links")
     found = write_shared(components(links), "found")
 
     # what the other leaders link, then what other members of a bucket link between components
     for step in ("leaders", "members"):
         if step == "leaders":
-            more = verified(_apart(met.select("a", "b"), found), sets, percent)
+            more = verified(write_shared(_apart(met.select("a", "b"), found), "apart"), stored, percent, to_set)
         else:
-            more = _links_between(crowded, items, found, sets, percent, most_unequal_bits)
+            more = _links_between(crowded, items, found, stored, percent, most_unequal_bits, to_set)
         more = write_shared(more, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -88,7 +101,13 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _links_between(
-    crowded: DataFrame, items: DataFrame, found: DataFrame, sets: DataFrame, percent: int, most_unequal_bits: int
+    crowded: DataFrame,
+    items: DataFrame,
+    found: DataFrame,
+    stored: DataFrame,
+    percent: int,
+    most_unequal_bits: int,
+    to_set: ToSet,
 ) -> DataFrame:
     """Links within a bucket between different components, its leader aside.
 
@@ -98,8 +117,10 @@ def _links_between(
     placed = _component(crowded.filter("n > 2 and id <> leader").select("bucket", "id"), found, "id", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split = split.filter("low <> high").select("bucket")
-    marks = items.select("id", "size", "bands", "sketch_a", "sketch_b").join(sets, "id")
-    placed = write_shared(placed.join(split, "bucket").join(marks, "id"), "placed")
+    placed = write_shared(placed.join(split, "bucket"), "placed")
+    marks = items.select("id", "size", "bands", "sketch_a", "sketch_b")
+    members = to_set(_of_ids(stored, placed.select("id")).withColumnRenamed("held", "members"), "members")
+    placed = write_shared(placed.join(_of_ids(marks, placed.select("id")).join(members, "id"), "id"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     unequal = F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) + F.bit_count(
         F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b"))
