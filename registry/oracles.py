@@ -30,7 +30,7 @@ VIEWS = {
     "totals": "SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lens",
     "dfs": "SELECT term, count(*) AS df FROM tfs GROUP BY term",
     "queries": """SELECT item_id AS qid,
-        list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 5) AS toks FROM benchmark""",
+        regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM benchmark""",
     "query_terms": "SELECT DISTINCT qid, unnest(toks) AS term FROM queries",
     "hits": """SELECT q.qid, t.id,
         sum(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0
@@ -67,9 +67,9 @@ VIEWS = {
         ON l_partkey = p_partkey""",
     "cart_events": """SELECT user_id AS cart_id, event_id AS seq,
         CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove'
-            ELSE CASE WHEN event_id % 4 = 0 THEN 'clear' ELSE 'add' END END AS action,
+            WHEN 'purchase' THEN 'clear' ELSE CASE WHEN event_id % 4 = 0 THEN 'clear' ELSE 'add' END END AS action,
         CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS product_id,
-        floor(value)::BIGINT % 4 AS quantity FROM events WHERE event_type <> 'purchase'""",
+        floor(value)::BIGINT % 4 AS quantity FROM events""",
 }
 
 
@@ -401,8 +401,8 @@ CREDIT_STEPS = [
     (
         "photo",
         f"""SELECT noun, arg_min(url, page_id) AS url, min(page_id) AS page_id FROM (
-            SELECT *, {NOUN_LIST}[page_id % {len(views.NOUNS) + 1} + 1] AS noun FROM pages)
-        WHERE noun IS NOT NULL GROUP BY noun""",
+            SELECT *, {NOUN_LIST}[page_id % {len(views.NOUNS)} + 1] AS noun FROM pages)
+        GROUP BY noun""",
     ),
     (
         "noun_products",
@@ -745,8 +745,8 @@ ORACLES: dict[str, str] = {
         ['.jpeg', '.png', '', '', '.jpg'][page_id % 5 + 1] AS suffix,
         ['jpg', 'png', 'jpg', 'jpg', 'jpg'][page_id % 5 + 1] AS extension FROM named""",
     "photo_match_counts": sql(
-        """SELECT count(*) FILTER (noun IN (SELECT noun FROM photo WHERE noun <> 'bolt')) AS matched,
-        count(*) FILTER (noun NOT IN (SELECT noun FROM photo WHERE noun <> 'bolt')) AS skipped
+        """SELECT count(*) FILTER (noun IN (SELECT noun FROM photo)) AS matched,
+        count(*) FILTER (noun NOT IN (SELECT noun FROM photo)) AS skipped
         FROM (SELECT DISTINCT noun FROM noun_products)""",
         *CREDIT_STEPS,
         needs="products",
@@ -777,8 +777,8 @@ ORACLES: dict[str, str] = {
         recursive=True,
     ),
     "catalog_search": CATALOG_SEARCH,
-    "columnar_embeddings": f"""SELECT vec_id, len(embedding) AS dim, {r6("embedding[1]::DOUBLE")} AS first
-        FROM embeddings""",
+    "columnar_embeddings": f"""SELECT vec_id, len(embedding) AS dim, place, {r6("embedding[place + 1]::DOUBLE")} AS value
+        FROM (SELECT *, unnest(range(len(embedding))) AS place FROM embeddings)""",
     "published_inputs": sql(
         f"""SELECT CAST(product_id AS VARCHAR) AS product_id, q0 AS reference_quantity, {r9("e")} AS elasticity,
         {r9("c")} AS marginal_cost, {r9("p0")} AS reference_price FROM pricing""",

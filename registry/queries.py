@@ -520,7 +520,7 @@ def _noun_photos(spark, sf):
     """Photos for the product nouns: the page with the lowest number of those given to a noun."""
     pages = views.table(spark, sf, "pages")
     ids = [noun for noun, _ in views.NOUNS]
-    noun = F.get(F.array(*[F.lit(n) for n in ids]), (F.col("page_id") % (len(ids) + 1)).cast("int"))
+    noun = F.get(F.array(*[F.lit(n) for n in ids]), (F.col("page_id") % len(ids)).cast("int"))
     return photos.best_candidates(
         pages.select(
             noun.alias("noun"),
@@ -532,7 +532,7 @@ def _noun_photos(spark, sf):
             F.lit("CC0").alias("license"),
             F.lit("").alias("license_url"),
             F.col("page_id").isNotNull().alias("accepted"),
-        ).where(F.col("noun").isNotNull())
+        )
     )
 
 
@@ -542,8 +542,7 @@ def _attributed(spark, sf):
 
 @query
 def photo_match_counts(spark, sf):
-    best = _noun_photos(spark, sf).where(F.col("noun") != "bolt")
-    return photos.match_counts(views.nouns(spark), views.products(spark, sf), best)
+    return photos.match_counts(views.nouns(spark), views.products(spark, sf), _noun_photos(spark, sf))
 
 
 @query
@@ -591,10 +590,10 @@ def columnar_embeddings(spark, sf):
     records = tables.columnar_embeddings(views.vectors(spark, sf), "given", max_items=100)
     tables.write_table(records, folder, fmt="json")
     rows = tables.read_embeddings(spark, folder, fmt="jsonl")
-    first = F.get("vector", F.lit(0)).cast("double")
-    return rows.select(F.col("id").cast("long").alias("vec_id"), F.size("vector").alias("dim"), first.alias("first")).select(
-        "vec_id", "dim", r6("first").alias("first")
-    )
+    places = rows.select(
+        F.col("id").cast("long").alias("vec_id"), F.size("vector").alias("dim"), F.posexplode("vector").alias("place", "value")
+    ).withColumn("value", F.col("value").cast("double"))
+    return places.select("vec_id", "dim", "place", r6("value").alias("value"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import Lexicon, search_tokens
+from shelfwise.functions.text import Lexicon
 from shelfwise.sources.shared import write_shared
 from shelfwise.sources.tables import spread
 
@@ -65,10 +65,7 @@ def name_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
-    first_words = F.slice(search_tokens(F.col("text")), 1, 5)
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"), F.array_join(first_words, " ").alias("text")
-    )
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,9 +206,10 @@ def cart_events(spark: SparkSession, sf: str) -> DataFrame:
     action = (
         F.when(kind == "click", "add").when(kind == "view", "set").when(kind == "error", "remove")
         .when(kind == "signup", F.when(F.col("event_id") % 4 == 0, "clear").otherwise("add"))
+        .when(kind == "purchase", "clear")
     )
     product = F.get_json_object("props", "$.k").cast("long") % 10
-    return table(spark, sf, "events").where(kind != "purchase").select(
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("cart_id"),
         F.col("event_id").alias("seq"),
         action.alias("action"),
@@ -223,13 +221,18 @@ def cart_events(spark: SparkSession, sf: str) -> DataFrame:
 def photo_candidates(spark: SparkSession, sf: str) -> DataFrame:
     licenses = F.array(*[F.lit(x) for x in ["CC0", " cc-by ", "GFDL", "Public domain"]])
     nouns = F.array(*[F.lit(x) for x in PHOTO_NOUNS])
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    body = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    return table(spark, sf, "pages").select(
+    # title and heading are taken out first, so that the page is not repeated for each noun
+    pages = table(spark, sf, "pages").select(
+        "page_id",
+        "url",
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("description"),
+    )
+    return pages.select(
         F.explode(nouns).alias("noun"),
         F.col("page_id").alias("position"),
-        title.alias("title"),
-        body.alias("description"),
+        "title",
+        "description",
         F.get(licenses, (F.col("page_id") % 4).cast("int")).alias("license"),
         F.lit("").alias("license_url"),
         F.concat(F.lit("<b>page</b> "), "page_id").alias("artist"),

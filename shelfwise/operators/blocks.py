@@ -5,7 +5,10 @@ query (its extremes, or its best ``k`` rows). Spark partitions the rows and merg
 
 * Up to ``MAX_SHIPPED_QUERIES`` queries travel to every task and the rows stay where they are.
 * More queries than that are cut into cells as well: rows and queries are hashed into a grid whose
-  cells are all of bounded size, and each cell is one task input. The result is the same.
+  cells are all of bounded size, in rows and in bytes, and each cell is one task input. Both sides of a cell
+  are large, so that neither is copied often. The result is the same.
+
+What is sent or collected is measured first, by an aggregate; nothing is collected to find out its size.
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_SHIPPED_QUERIES = 2_048
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 MAX_CELL_ROWS = 65_536
+MAX_CELL_QUERIES = 16_384
+MAX_CELL_BYTES = 256 * 1024 * 1024
+#: Bytes of an entry of a list: a number of a vector, a term with its figures.
+VALUE_BYTES, ENTRY_BYTES = 8, 48
 MAX_BLOCK_ROWS = 1_024
 MAX_BLOCK_VALUES = 4_000_000
 
@@ -34,19 +42,23 @@ def score_blocks(
     schema: str,
     max_queries: int = MAX_SHIPPED_QUERIES,
     max_cell_rows: int = MAX_CELL_ROWS,
+    max_cell_queries: int = MAX_CELL_QUERIES,
+    max_cell_bytes: int = MAX_CELL_BYTES,
     narrow: Callable[[DataFrame, pa.Table], DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``work`` over all (rows, queries) blocks. ``rows`` has an ``id``, ``queries`` a ``qid``.
 
     ``narrow`` may drop what shipped queries do not need from the rows before they go to Python.
     """
-    shipped = queries.limit(max_queries + 1).toArrow()
-    if shipped.num_rows <= max_queries and shipped.nbytes <= MAX_SHIPPED_BYTES:
+    n_queries, query_bytes = measure(queries)
+    if n_queries <= max_queries and query_bytes <= MAX_SHIPPED_BYTES:
+        shipped = queries.toArrow()
         narrowed = rows if narrow is None else narrow(rows, shipped)
         return narrowed.mapInArrow(lambda batches: work(batches, shipped), schema)
 
-    query_cells = -(-queries.count() // max_queries)
-    row_cells = max(1, -(-rows.count() // max_cell_rows))
+    n_rows, row_bytes = measure(rows)
+    query_cells = max(1, -(-n_queries // max_cell_queries), -(-query_bytes // max_cell_bytes))
+    row_cells = max(1, -(-n_rows // max_cell_rows), -(-row_bytes // max_cell_bytes))
 
     def cell(column: str, n: int):
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -68,6 +80,20 @@ def score_blocks(
     return row_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows, and about how many bytes they take."""
+
+    def width(field: T.StructField):
+        if isinstance(field.dataType, T.ArrayType):
+            nested = isinstance(field.dataType.elementType, (T.StructType, T.StringType))
+            return F.size(field.name) * F.lit(ENTRY_BYTES if nested else VALUE_BYTES)
+        return F.octet_length(field.name) if isinstance(field.dataType, T.StringType) else F.lit(VALUE_BYTES)
+
+    widths = [F.coalesce(F.greatest(width(f), F.lit(0)), F.lit(0)).cast("long") for f in df.schema.fields]
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(widths, F.lit(0).cast("long"))).alias("size")).first()
+    return found["n"], found["size"] or 0
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a matrix of ``width`` values per row stays within a fixed size."""
     n_rows = max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_VALUES // max(width, 1)))
@@ -77,13 +103,15 @@ def row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def vector_matrix(column) -> np.ndarray:
-    """List column of equally long vectors as a float64 matrix."""
+    """List column of equally long vectors of finite numbers as a float64 matrix; others are refused."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = pc.min_max(pc.list_value_length(column)).as_py()
     if lengths["min"] != lengths["max"]:
         raise ValueError(f"vectors of {lengths['min']} and {lengths['max']} dimensions cannot be compared")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not np.isfinite(flat).all():
+        raise ValueError("a vector with a null, infinite or undefined component cannot be compared")
     return flat.reshape(len(column), -1)
 
 
@@ -104,21 +132,29 @@ def id_array(column) -> np.ndarray:
 class TopRows:
     """Best ``k`` rows per query by score, then by id; extra score matrices ride along.
 
-    Rows below the k-th best score of any block seen so far cannot end up among the best, so only about ``k``
-    rows per query are ever held. A score of minus infinity leaves a row out.
+    Rows below the k-th best score of any block seen so far cannot end up among the best, and neither can those that
+    equal it but come after the k-th row's id, so only about ``k`` rows per query are ever held. A score of minus
+    infinity leaves a row out.
     """
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
         self.threshold = np.full(n_queries, -np.inf)
+        self.last_id: np.ndarray | None = None  # of the k-th row, where ``full``
+        self.full = np.zeros(n_queries, bool)
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.pending = 0
 
     def add(self, ids: np.ndarray, score: np.ndarray, *extra: np.ndarray) -> None:
         if score.shape[1] >= self.k:
             kth = np.partition(score, -self.k, axis=1)[:, -self.k]
+            self.full &= kth <= self.threshold
             self.threshold = np.maximum(self.threshold, kth)
-        query, row = np.nonzero((score >= self.threshold[:, None]) & (score > -np.inf))
+        wanted = score >= self.threshold[:, None]
+        if self.last_id is not None and self.full.any():
+            late = self.full[:, None] & (score == self.threshold[:, None]) & (ids[None, :] > self.last_id[:, None])
+            wanted &= ~late
+        query, row = np.nonzero(wanted & (score > -np.inf))
         if not len(query):
             return
         self.parts.append((query, ids[row], score[query, row], *(m[query, row] for m in extra)))
@@ -135,10 +171,11 @@ class TopRows:
         keep = order[place < self.k]
         self.parts = [tuple(c[keep] for c in columns)]
         self.pending = len(keep)
-        query, _, score = self.parts[0][:3]
+        query, ids, score = self.parts[0][:3]
         full = np.bincount(query, minlength=len(self.threshold)) >= self.k
-        lowest = np.full(len(self.threshold), np.inf)
-        np.minimum.at(lowest, query, score)
+        last = np.searchsorted(query, np.arange(len(self.threshold)), side="right") - 1
+        lowest = np.where(full, score[last], -np.inf)
+        self.last_id, self.full = ids[last], full & (lowest >= self.threshold)
         self.threshold = np.where(full, np.maximum(self.threshold, lowest), self.threshold)
 
     def columns(self) -> tuple[np.ndarray, ...] | None:

@@ -102,19 +102,15 @@ def search_text(
 def query_terms(indexed: DataFrame, queries: DataFrame) -> DataFrame:
     """Distinct terms of ``queries(qid, text)`` matched with the corpus: ``(qid, terms<term, idf>)``.
 
-    The document frequency is counted for the queried terms only, after a semi join.
+    Documents are counted by term before the join, with a partial step in each task, so a frequent term is one row
+    per task when it meets the queried ones.
     """
     asked = queries.select("qid", F.explode_outer(F.array_distinct(search_tokens("text"))).alias("term")).where(
         "term is not null"
     )
     n_docs = indexed.agg(F.count(F.lit(1))).scalar()
-    frequency = (
-        postings(indexed)
-        .select("term")
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    counted = postings(indexed).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = counted.join(asked.select("term").distinct(), "term", "left_semi")
     return (
         asked.join(frequency, "term")
         .withColumn("idf", idf(F.col("df"), n_docs))

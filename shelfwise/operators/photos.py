@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import ascii_words, significant_words
+from shelfwise.sources.shared import broadcast_if_small
 
 PAGE_SCHEMA = (
     "title string, imageinfo array<struct<url string, thumburl string, descriptionurl string, "
@@ -128,6 +129,8 @@ def best_candidates(checked: DataFrame) -> DataFrame:
 def products_of_nouns(nouns: DataFrame, products: DataFrame) -> DataFrame:
     """``nouns(noun, category)`` matched with the products of the category whose title contains the noun."""
     named = products.select("id", "category", "title")
+    # few categories: next to a small list of nouns the products stay where they are
+    nouns = broadcast_if_small(nouns.select("noun", "category"))
     return named.join(
         nouns,
         (named["category"] == nouns["category"]) & F.contains(named["title"], nouns["noun"]),

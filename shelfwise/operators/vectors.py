@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.operators import blocks
+from shelfwise.sources.shared import broadcast_if_small
 
 # Scores are rounded this far before they are ranked, so that rows with the same content tie on every
 # partitioning and the id decides.
@@ -96,4 +97,4 @@ def min_max_normalize(df: DataFrame, group: list[str], value: str, output: str)
     extremes = df.groupBy(*group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     span = F.col("_high") - F.col("_low")
     scaled = F.when(span < fixed.FLAT_RANGE, 0.0).otherwise((F.col(value) - F.col("_low")) / span)
-    return df.join(extremes, group).withColumn(output, scaled).drop("_low", "_high")
+    return df.join(broadcast_if_small(extremes), group).withColumn(output, scaled).drop("_low", "_high")

@@ -105,7 +105,8 @@ def fraud_scores_table(scored: DataFrame) -> DataFrame:
 
 def fraud_report(transactions: DataFrame, scores: DataFrame, limit: int = fixed.FRAUD_REPORT_ROWS) -> DataFrame:
     """The transactions with the highest scores; one without a score counts as 0."""
-    joined = transactions.join(
-        scores.select(F.col("transaction_id").alias("id"), "fraud_score", "likely_fraud"), "id", "left"
-    )
-    return joined.orderBy(F.coalesce("fraud_score", F.lit(0.0)).desc(), "id").limit(limit)
+    order = [F.coalesce("fraud_score", F.lit(0.0)).desc(), F.asc("id")]
+    named = scores.select(F.col("transaction_id").alias("id"), "fraud_score", "likely_fraud")
+    # ranked on two columns; the others are fetched for the ``limit`` rows of the report alone
+    top = transactions.select("id").join(named, "id", "left").orderBy(*order).limit(limit)
+    return transactions.join(F.broadcast(top), "id").orderBy(*order)

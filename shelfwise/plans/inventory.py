@@ -141,8 +141,10 @@ def supply_report(
     endless_last: bool = False,
 ) -> DataFrame:
     """The products that run out first. Endless supply is -1 and sorts first unless ``endless_last``."""
-    joined = forecasts.join(products.withColumnRenamed("id", "product_id"), "product_id", "left")
     order = [F.asc("days_of_supply"), F.asc("product_id")]
     if endless_last:
         order.insert(0, (F.col("days_of_supply") < 0).asc())
-    return joined.orderBy(*order).limit(limit)
+    # a unique id, so the join cannot change which rows come first: it needs the ``limit`` first ones alone
+    top = forecasts.orderBy(*order).limit(limit)
+    named = products.withColumnRenamed("id", "product_id").join(F.broadcast(top.select("product_id")), "product_id", "left_semi")
+    return top.join(named, "product_id", "left").orderBy(*order)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import bm25, embed, vectors
+from shelfwise.operators import blocks, bm25, embed, vectors
 from shelfwise.plans import search
 
 WORDS = "red blue steel lamp chair table desk soft warm hard light".split()
@@ -212,3 +212,40 @@ def test_align_matches_by_id(spark):
     products = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, title string")
     known = spark.createDataFrame([("b", [1.0]), ("z", [0.0])], "id string, vector array<double>")
     assert [tuple(r) for r in vectors.align(products, known).collect()] == [("b", "y", [1.0])]
+
+
+def test_best_rows_admit_ties_by_id_only():
+    ids, score = np.arange(400), np.zeros((2, 400))
+    score[1] = np.repeat([1.0, 0.0, 2.0, 1.0], 100)
+    for order in (np.arange(400), np.arange(400)[::-1], np.random.default_rng(0).permutation(400)):
+        best = blocks.TopRows(2, 5)
+        for at in range(0, 400, 40):
+            block = order[at : at + 40]
+            best.add(ids[block], score[:, block])
+        query, found, _ = best.columns()
+        assert found[query == 0].tolist() == [0, 1, 2, 3, 4]
+        assert found[query == 1].tolist() == [200, 201, 202, 203, 204]
+    best = blocks.TopRows(1, 2)
+    for block in (ids[300:340], ids[340:380], ids[:40]):
+        best.add(block, np.zeros((1, len(block))))
+    assert best.columns()[1].tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("sizes", [{}, SMALL_CELLS])
+def test_vectors_of_unfinite_components_are_refused(spark, bad, sizes):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(6, [bad, 1.0])]
+    known = spark.createDataFrame(rows, "id long, vector array<double>")
+    with pytest.raises(Exception, match="cannot be compared"):
+        vectors.nearest(known, known.withColumnRenamed("id", "qid"), 3, **sizes).collect()
+
+
+def test_cells_are_bounded_in_bytes(spark):
+    """Long texts make more cells, with the same result."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(200))) for i in range(30)], "id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1} " * 30) for i in range(9)], "qid long, text string")
+    index = search.build_index(docs)
+    shipped = search.bm25_batch(index, queries, limit=4).collect()
+    cells = search.bm25_batch(index, queries, limit=4, max_queries=2, max_cell_queries=4, max_cell_bytes=2_000).collect()
+    assert sorted(shipped) == sorted(cells) and len(cells) == 36
+    assert blocks.measure(index)[1] > 30 * 90 * blocks.ENTRY_BYTES / 2
