@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond it, it begins anew and takes over what it meets again.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Bytes of the texts that are encoded at a time; a longer text is a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 #: White space other than single spaces and line feeds between words, and what Python or the library alone count so.
 _OTHER = r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -128,6 +128,7 @@ class TextEncoder:
         if len(self.known) + len(learnt) > self.remembered:
             self.known, self.older = {}, self.known
         self.known.update(learnt)
+        pa.default_memory_pool().release_unused()
         return [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
     def _ask(self, words: list[str]) -> list[bytes]:
