@@ -532,6 +532,18 @@ ORACLES: dict[str, str] = {
             SELECT a.vec_id AS qid, b.vec_id AS id,
             round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
             FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 12""",
+    "similar_for_ids": f"""SELECT qid, id AS vec_id, rank, {r9("score")} AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+            SELECT a.vec_id AS qid, b.vec_id AS id,
+            round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 12""",
+    "search_manifest": sql(
+        f"""SELECT count(*) AS n_docs, max(len(embedding)) AS dim, {r9("avg(dl)")} AS avg_length,
+        {fixed.BM25_K1}::DOUBLE AS k1, {fixed.BM25_B}::DOUBLE AS b, {fixed.FUSION_ALPHA}::DOUBLE AS alpha
+        FROM lens JOIN embeddings ON vec_id = id""",
+        needs="docs lens",
+    ),
     "align_embeddings": f"""SELECT p_partkey AS id, p_name AS title,
         {r9("list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])")} AS squared_norm
         FROM part JOIN embeddings ON vec_id = p_partkey""",

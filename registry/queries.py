@@ -145,6 +145,25 @@ def knn_cosine(spark, sf):
     return near.select("qid", F.col("id").alias("vec_id"), "rank", r9("score").alias("score"))
 
 
+@query
+def similar_for_ids(spark, sf):
+    """Neighbours of the items that the benchmark numbers."""
+    ids = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    near = vectors.similar_items(views.vectors(spark, sf), ids, limit=fixed.NEIGHBOUR_POOL)
+    return near.select("qid", F.col("id").alias("vec_id"), "rank", r9("score").alias("score"))
+
+
+@query
+def search_manifest(spark, sf):
+    """The figures of an index that was written to a path and opened again, with the search parameters."""
+    path = f"{shared_folder(spark)}/index"
+    search.build_index(views.documents(spark, sf), views.vectors(spark, sf), path)
+    return search.index_figures(search.open_index(spark, path)).select(
+        "n_docs", "dim", r9("avg_length").alias("avg_length"),
+        *[F.lit(float(v)).alias(k) for k, v in {"k1": fixed.BM25_K1, "b": fixed.BM25_B, "alpha": fixed.FUSION_ALPHA}.items()],
+    )
+
+
 # --- ranking -----------------------------------------------------------------------------------
 
 

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
-from shelfwise.functions.text import Lexicon
+from shelfwise.functions.text import Lexicon, embedding_text
 from shelfwise.operators.embed import Encoder, embed_products, hashed_encoder
 from shelfwise.operators.evaluate import evaluate_flags
 from shelfwise.plans.fraud import fraud_scores_table, score_fraud
 from shelfwise.plans.inventory import forecast_inventory, reorder_count
 from shelfwise.plans.pricing import label_counts, price_products
 from shelfwise.plans.reviews import analyze_reviews, summarize_products
+from shelfwise.plans.search import build_index, index_figures
 from shelfwise.sources.shared import write_shared
 from shelfwise.sources.tables import columnar_embeddings, read_table, run_manifest, write_table
 
@@ -119,3 +120,13 @@ def embedding_job(
     counts = vectors.agg(F.count(F.lit(1)).alias("num_products"), F.max(F.size("vector")).alias("dim"))
     parameters = {"model": model, "embedded_fields": ["title", "description"]}
     write_table(run_manifest(counts, parameters, started), f"{target}/embeddings_manifest", "json")
+
+
+def search_job(spark: SparkSession, source: str, target: str, fmt: str = "json") -> None:
+    """``search_index`` of the products with the vectors of ``target/embeddings``, and ``search_manifest``."""
+    started = datetime.now(timezone.utc)
+    products = _input(spark, source, "products", fmt)
+    texts = products.select("id", embedding_text(F.col("title"), F.col("description")).alias("text"))
+    index = build_index(texts, spark.read.parquet(f"{target}/embeddings"), f"{target}/search_index")
+    parameters = {"k1": fixed.BM25_K1, "b": fixed.BM25_B, "alpha": fixed.FUSION_ALPHA, "limit": fixed.DEFAULT_LIMIT}
+    write_table(run_manifest(index_figures(index), parameters, started), f"{target}/search_manifest", "json")

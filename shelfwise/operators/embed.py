@@ -28,10 +28,12 @@ def hashed_encoder(dim: int = 64) -> Encoder:
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts, strict=True):
-            for token in re.findall(fixed.SEARCH_TOKEN_PATTERN, text.lower()):
-                at, sign = place(token)
-                row[at] += sign
+        found = [re.findall(fixed.SEARCH_TOKEN_PATTERN, text.lower()) for text in texts]
+        tokens = np.array([token for each in found for token in each], object)
+        code, distinct = pd.factorize(tokens)
+        if len(distinct):
+            at, sign = (np.array(x) for x in zip(*map(place, distinct), strict=True))
+            np.add.at(out, (np.repeat(np.arange(len(texts)), [len(each) for each in found]), at[code]), sign[code])
         return out
 
     return encode

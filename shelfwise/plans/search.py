@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
@@ -28,15 +28,30 @@ def check_arguments(limit: int, alpha: float, max_limit: int = fixed.MAX_LIMIT)
         raise ValueError(f"alpha must lie between 0 and 1, not {alpha}")
 
 
-def build_index(docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def build_index(docs: DataFrame, vectors: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """Write the search table ``(id, length, terms[, vector])`` once; all later passes read it.
 
-    With ``vectors(id, vector)`` the corpus is what both sides know, matched by id.
+    With ``vectors(id, vector)`` the corpus is what both sides know, matched by id. At a ``path`` the index stays
+    for later sessions (``open_index``); without one it lies in the shared folder of this one.
     """
     indexed = index_documents(docs)
     if vectors is not None:
         indexed = indexed.join(vectors.select("id", "vector").where("vector is not null"), "id")
-    return write_shared(indexed, "search_index")
+    if path is None:
+        return write_shared(indexed, "search_index")
+    indexed.write.mode("overwrite").parquet(path)
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that ``build_index`` wrote."""
+    return spark.read.parquet(path)
+
+
+def index_figures(index: DataFrame) -> DataFrame:
+    """One row: documents, mean length, and the dimensions of the vectors if the index has them."""
+    dim = F.max(F.size("vector")) if "vector" in index.columns else F.lit(None).cast("int")
+    return index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"), dim.alias("dim"))
 
 
 class _QueryBlock:

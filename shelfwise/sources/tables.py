@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from shelfwise.sources.schemas import ATTRIBUTION_MAP, SCHEMAS
 
 
+MAX_SPREAD_PARTITIONS = 64
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
@@ -32,10 +35,11 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "json") ->
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy work on a small input at least one partition per core.
 
-    A large table is read in more partitions than there are cores and comes back as it is, unshuffled.
+    Only an input of fewer than ``MAX_SPREAD_PARTITIONS`` partitions is shuffled, whatever the number of cores: at
+    128 MB each that is at most 8 GB.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= min(cores, MAX_SPREAD_PARTITIONS) else df.repartition(cores, key)
 
 
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

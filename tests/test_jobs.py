@@ -5,6 +5,7 @@ import json
 import pytest
 
 from shelfwise import jobs
+from shelfwise.plans import search
 
 PRODUCTS = [
     {"id": f"P{i}", "title": f"Compact Lamp {i}", "description": "good light", "category": "Electronics", "brand": "Acme",
@@ -103,3 +104,14 @@ def test_embedding_job(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/embeddings").count() == 3
     described = manifest(spark, f"{tmp_path}/embeddings_manifest")
     assert (described["num_products"], described["dim"], described["model"]) == (3, 64, "hashed-tokens")
+
+
+def test_search_job(spark, folder, tmp_path):
+    jobs.embedding_job(spark, folder, str(tmp_path))
+    jobs.search_job(spark, folder, str(tmp_path))
+    index = search.open_index(spark, str(tmp_path / "search_index"))
+    figures = spark.read.json(str(tmp_path / "search_manifest")).first()
+    assert figures["n_docs"] == index.count() > 0 and figures["dim"] == len(index.first()["vector"])
+    assert json.loads(figures["parameters"])["k1"] == 1.5
+    queries = spark.createDataFrame([(1, index.first()["terms"][0]["term"], index.first()["vector"])], "qid long, text string, vector array<double>")
+    assert search.hybrid_search(index, queries, 3).count() == min(3, index.count())
