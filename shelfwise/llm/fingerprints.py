@@ -69,9 +69,8 @@ def _next_blocks(blocks: DataFrame) -> DataFrame:
     placed = grouped.withColumn("next_block", F.lead("block").over(inside))
     tops = grouped.groupBy("group").agg(F.max("block").alias("top"))
     over = Window.orderBy(F.desc("group"))
-    tops = tops.select("group", F.lead("top").over(over).alias("next_top"))
-    highest = blocks.agg(F.max("block").alias("highest"))
-    tops = tops.join(F.broadcast(highest), F.lit(True)).select("group", F.coalesce("next_top", "highest").alias("next_top"))
+    following = F.coalesce(F.lead("top").over(over), F.first("top").over(over))
+    tops = tops.select("group", following.alias("next_top"))
     return placed.join(tops, "group").select("block", F.coalesce("next_block", "next_top").alias("next_block"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import random
 
+#: Also names that the operators use for columns of their own.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, line string, words string, gone string"
-#: Names that the operators use for columns of their own.
 
 
 def words(seed: int, count: int, prefix: str = "") -> list[str]:
