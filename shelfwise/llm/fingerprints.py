@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers.
 
-A k-mer (k = 15 code points) is an anchor when the smallest hash among its inner substrings (8 of 8 code points each)
-belongs to the first or the last of them. Whether a k-mer is an anchor depends on nothing around it, so equal
+A k-mer (15 bytes of UTF-8) is an anchor when the smallest hash among its inner substrings (8 of 8 bytes each) belongs
+to the first or the last of them. Whether a k-mer is an anchor depends on nothing around it, so equal
 passages have equal anchors, at the same distances, whatever was edited elsewhere. A text shorter than k is one
 anchor. ``anchors`` gives them with their positions.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.sources.shared import broadcast_if_small
+from shelfwise.sources.shared import broadcast_if_small, write_shared
 
 INNER, PLACES = 8, 8
 COORDINATES, KEPT_BITS = 64, 16
@@ -32,7 +32,6 @@ COORDINATES, KEPT_BITS = 64, 16
 BLOCK_BITS, GROUP_BITS = 8, 12
 SPREAD = 0x9E3779B97F4A7C15
 _NO_BLOCK = -(2**62)
-_BYTES = 4  # of a code point in UTF-32
 
 
 def _constants(count: int) -> list[int]:
@@ -42,19 +41,21 @@ def _constants(count: int) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 
 
-def anchors(df: DataFrame, keep: list[str], points: str = "points", inner: int = INNER, places: int = PLACES) -> DataFrame:
-    """``keep`` columns, ``position`` (code points from 0) and ``anchor`` hash of the UTF-32 text in ``points``."""
+def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INNER, places: int = PLACES) -> DataFrame:
+    """``keep`` columns, ``position`` (bytes from 0) and ``anchor`` hash of the binary column ``data``."""
     size = inner + places - 1
-    at = F.expr(f"sequence(0, greatest(0, length({points}) div {_BYTES} - {size}))")
-    spread = df.filter(F.length(points) > 0).select(*keep, points, F.explode(at).alias("position"))
-    part = lambda by, n: f"xxhash64(substring({points}, {_BYTES} * (position + {by}) + 1, {_BYTES * n}))"
+    at = F.expr(f"sequence(0, greatest(0, length({data}) - {size}))")
+    spread = df.filter(F.length(data) > 0).select(*keep, data, F.explode(at).alias("position"))
+    part = lambda by, n: f"xxhash64(substring({data}, position + {1 + by}, {n}))"
+    # the task's number is only there to keep the filter above the hashes, which it would else compute twice over
     hashed = spread.select(
-        *keep, points, "position", *[F.expr(part(j, inner)).alias(f"h{j}") for j in range(places)]
+        *keep, data, "position", *[F.expr(part(j, inner)).alias(f"h{j}") for j in range(places)],
+        F.spark_partition_id().alias("task"),
     )
     least = F.least(*[f"h{j}" for j in range(places)])
-    short = F.length(points) < _BYTES * size
+    short = F.length(data) < size
     edge = short | (F.col("h0") == least) | (F.col(f"h{places - 1}") == least)
-    return hashed.filter(edge).select(*keep, "position", F.expr(part(0, size)).alias("anchor"))
+    return hashed.filter(edge & (F.col("task") >= 0)).select(*keep, "position", F.expr(part(0, size)).alias("anchor"))
 
 
 def _ordered() -> list[Column]:
@@ -125,7 +126,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     facts = ["doc_id", "tie", "n_chars", "edited_sha256"]
     both = texts.select(*key, "doc_id", "tie", "n_chars", F.array("text", edited).alias("forms"))
     forms = both.select(*key, F.posexplode("forms").alias("form", "held"))
-    forms = forms.select(*key, "form", F.encode("held", "UTF-32").alias("points"))
+    forms = forms.select(*key, "form", F.col("held").cast("binary").alias("data"))
     minima = [F.min(F.col("anchor").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants(COORDINATES))]
     kept = [F.col(f"m{j}").bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("int") for j in range(COORDINATES)]
     sketched = anchors(forms, [*key, "form"]).groupBy(*key, "form").agg(*minima)
@@ -140,7 +141,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             for form, name in enumerate(("marks", "edited_marks"))
         ],
     )
-    placed = with_next(paired.drop(*key), ["marks"])
+    placed = with_next(write_shared(paired.drop(*key), "fingerprints"), ["marks"])
     text_of = lambda marks: F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(m)), KEPT_BITS // 4, "0")), "")
     return placed.select(
         "doc_id",

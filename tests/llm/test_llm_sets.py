@@ -171,14 +171,14 @@ def spark_hash(data):
 
 
 def anchor_hashes(text, inner=8, places=8):
-    data, size = text.encode("utf-32-be"), inner + places - 1
+    data, size = text.encode(), inner + places - 1
     if not text:
         return {}
     found = {}
-    for i in range(max(len(text) - size, 0) + 1):
-        hashes = [spark_hash(data[4 * (i + j) : 4 * (i + j + inner)]) for j in range(places)]
-        if len(text) < size or min(hashes) in (hashes[0], hashes[-1]):
-            found[i] = spark_hash(data[4 * i : 4 * (i + size)])
+    for i in range(max(len(data) - size, 0) + 1):
+        hashes = [spark_hash(data[i + j : i + j + inner]) for j in range(places)]
+        if len(data) < size or min(hashes) in (hashes[0], hashes[-1]):
+            found[i] = spark_hash(data[i : i + size])
     return found
 
 
@@ -223,7 +223,7 @@ def test_fingerprints_over_blocks_nulls_and_nothing(spark):
 def test_equal_passages_have_equal_anchors_anywhere(spark):
     passage = text(70, 40)
     frame = documents(spark, [(1, text(71, 9) + " " + passage), (2, passage + " " + text(72, 30))])
-    frame = frame.select("doc_id", F.encode("text", "UTF-32").alias("points"))
+    frame = frame.select("doc_id", F.col("text").cast("binary").alias("data"))
     found = defaultdict(dict)
     for r in fingerprints.anchors(frame, ["doc_id"]).collect():
         found[r["doc_id"]][r["position"]] = r["anchor"]
