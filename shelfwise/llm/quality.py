@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.sources.shared import write_shared
+from shelfwise.sources.shared import broadcast_if_small, write_shared
 
 #: Cosines, the kernel's width in units of the root of the number of statistics, ridge weight per row, and seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 0.6, 1e-4, 11
@@ -231,5 +231,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     Rows that share a ``doc_id`` stay if any of them is accepted.
     """
     scores = write_shared(quality_scores(docs, labels, threshold=threshold), "scores")
-    accepted = scores.groupBy("doc_id").agg(F.max("predicted").alias("accepted")).filter("accepted = 0 and doc_id is not null")
-    return docs.join(accepted.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rejected = scores.groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0 and doc_id is not null")
+    return docs.join(broadcast_if_small(rejected.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
