@@ -20,8 +20,8 @@ ToSet = Callable[[DataFrame, str], DataFrame]
 
 
 def similar(shared: Column, left: Column, right: Column, percent: int) -> Column:
-    """100 * intersection >= percent * union, in whole numbers."""
-    return F.lit(100) * shared >= F.lit(percent) * (left + right - shared)
+    """100 * intersection >= percent * union, in whole numbers; the intersection, which costs, stands there once."""
+    return F.lit(100 + percent) * shared >= F.lit(percent) * (left + right)
 
 
 def sizes_allow(left: Column, right: Column, percent: int) -> Column:
