@@ -2,7 +2,7 @@
 
 The work never grows with the square of a bucket. Members of a bucket are compared with its smallest member first;
 what that links becomes one component. Only members of one bucket that are then in different components are paired,
-and of those only pairs whose 128-bit sketches agree as far as linked sets do. Every link rests on the full sets.
+and of those only pairs whose 128-bit sketches agree as far as linked sets do (small sets are compared without). Every link rests on the full sets.
 """
 
 from __future__ import annotations
@@ -56,13 +56,14 @@ def linked_components(
     percent: int,
     most_unequal_bits: int,
     to_set: ToSet = as_stored,
+    sketched_from: int = 0,
 ) -> DataFrame:
     """``id, component`` of the items that are linked with another one.
 
     ``items(id, size, bands, sketch_a, sketch_b)``: distinct sets, the hashes of their bands (the band's number mixed
     in) and 128 signature bits. ``sets_of(ids)`` gives ``id, members`` of the asked items. A pair is linked when a
-    band agrees, at most ``most_unequal_bits`` of the sketches differ (tested from the second step on) and
-    100 * intersection >= ``percent`` * union.
+    band agrees, at most ``most_unequal_bits`` of the sketches differ (tested in the last step, and only between sets
+    of at least ``sketched_from`` members) and 100 * intersection >= ``percent`` * union.
     """
     buckets = items.select("id", F.explode("bands").alias("bucket"))
     crowds = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -84,7 +85,7 @@ def linked_components(
         if step == "leaders":
             more = verified(write_shared(_apart(met.select("a", "b"), found), "apart"), stored, percent, to_set)
         else:
-            more = _links_between(crowded, items, found, stored, percent, most_unequal_bits, to_set)
+            more = _links_between(crowded, items, found, stored, percent, most_unequal_bits, to_set, sketched_from)
         more = write_shared(more, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -110,6 +111,7 @@ def _links_between(
     percent: int,
     most_unequal_bits: int,
     to_set: ToSet,
+    sketched_from: int,
 ) -> DataFrame:
     """Links within a bucket between different components, its leader aside.
 
@@ -127,7 +129,8 @@ def _links_between(
     unequal = F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) + F.bit_count(
         F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b"))
     )
-    possible = (unequal <= most_unequal_bits) & sizes_allow(F.col("x.size"), F.col("y.size"), percent)
+    small = F.least("x.size", "y.size") < sketched_from
+    possible = (small | (unequal <= most_unequal_bits)) & sizes_allow(F.col("x.size"), F.col("y.size"), percent)
     first_met = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")
     shared = F.size(F.array_intersect("x.members", "y.members"))
     linked = similar(shared, F.size("x.members"), F.size("y.members"), percent)

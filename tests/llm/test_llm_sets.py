@@ -157,6 +157,19 @@ def test_line_classes_of_odd_rows(spark):
             assert d not in left
 
 
+def test_pairs_of_lines_near_the_threshold_all_meet(spark):
+    """One word of six letters replaced in lines of 137: a likeness of 0.82, and nothing else joins a pair."""
+    rng = random.Random(80)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(600):
+        line = letters(137)
+        rows += [(2 * i, line), (2 * i + 1, line[:60] + letters(6).upper() + line[66:])]
+    found = lines.line_classes(documents(spark, rows)).collect()
+    assert len(found) == 1200
+    assert {r["doc_id"] for r in found if r["class_doc"] != r["doc_id"] // 2 * 2} == set()
+
+
 def test_lines_of_every_odd_row_and_of_none(spark):
     docs = documents(spark)
     assert lines.line_classes(docs).count() == sum(bool(x.strip(" ")) for _, t in texts() for x in (t or "").split("\n"))
