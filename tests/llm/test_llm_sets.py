@@ -157,6 +157,33 @@ def test_line_classes_of_odd_rows(spark):
             assert d not in left
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    """Against the same rows under ids of their own: what is kept and cut is the same, in other rows at most."""
+    own = [f"{c} {text(60 + i, 12)}" for i, c in enumerate("abcdefghij")]
+    groups = {
+        7: ["\n".join(own[:3]), "\n".join([own[3], own[4], own[3]])],
+        8: [own[5] + "\n" + own[6], own[5] + "\n" + own[7]],
+        None: [own[8] + "\n\n" + own[8], "shared\n" + own[9] + "\nshared"],
+    }
+    rows = [(d, t) for d, held in groups.items() for t in held]
+    rows += [(d, t) for d, t in texts() if d in (14, 15, None)] + [(9, None), (9, None), (9, ""), (9, " \n")] + [(15, text(8, 25))]
+    docs = documents(spark, rows)
+    found = lines.line_classes(docs).collect()
+    every = [x.strip(" ") for _, t in rows for x in (t or "").split("\n") if x.strip(" ")]
+    assert len(found) == len(every)
+    assert sum(r["kept"] for r in found) == len(set(every))
+
+    cleaned = lines.drop_repeated_lines(docs).select("doc_id", "text").collect()
+    left = sorted(x.strip(" ") for r in cleaned for x in (r["text"] or "").split("\n") if x.strip(" "))
+    assert left == sorted(set(every))
+    of = lambda d: sorted(r["text"] for r in cleaned if r["doc_id"] == d)
+    assert of(7) == sorted([groups[7][0], "\n".join(own[3:5])])
+    assert "shared\n" + own[9] in of(None) and own[8] + "\n" in of(None) and text(7, 25) in of(None)
+    assert sorted(len(t) for t in of(8)) == sorted([len(groups[8][0]), len(own[7])]) or sorted(len(t) for t in of(8)) == sorted([len(groups[8][1]), len(own[6])])
+    assert of(15) == [text(8, 25)] and len(of(14)) == 2
+    assert sorted(map(repr, (r["text"] for r in cleaned if r["doc_id"] == 9))) == sorted(["None", "None", "''", repr(" \n")])
+
+
 def test_pairs_of_lines_near_the_threshold_all_meet(spark):
     """One word of six letters replaced in lines of 137: a likeness of 0.82, and nothing else joins a pair."""
     rng = random.Random(80)
