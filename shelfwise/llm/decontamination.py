@@ -12,8 +12,10 @@ counts is every window that agrees in all words. Only DataFrame functions are us
 after its size is measured; documents without a kept hash in common are not looked at again.
 
 Defined results: a null or empty text has no words and no hits; an item without words is no window; repeated items
-count each; rows that share a ``doc_id`` are one document, whose ``n_words`` is that of the longest and whose hits
-are those of all; an empty table gives no rows, an empty benchmark no hits; further columns are ignored.
+count each; an item without ``item_id`` counts as one without a name; rows that share a ``doc_id`` are one document,
+whose ``n_words`` is that of the longest and whose hits are those of all; a row without ``doc_id`` is reported without
+hits, as in the SQL, where null joins nothing, but ``drop_contaminated`` tells such rows apart by their text; an empty
+table gives no rows, an empty benchmark no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +98,9 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``; ``start`` counts words from 0.
     """
-    items = write_shared(benchmark_windows(benchmark, window, gram), "items")
+    # the number stands for an item in every join; its id is only a label
+    numbered = benchmark_windows(benchmark, window, gram).withColumn("number", F.monotonically_increasing_id())
+    items = write_shared(numbered, "items")
     short = sorted(r["n"] for r in items.filter(F.col("n") < window).select("n").distinct().collect())
     lengths = sorted({gram, *short})
     spread = with_kept(with_grams(items, lengths), gram, window)
@@ -104,8 +108,8 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
         lambda rest, n: F.when(F.col("n") == n, F.array(F.xxhash64(F.lit(n), F.get(f"g{n}", F.lit(0))))).otherwise(rest),
         short, F.col("kept"),
     )
-    marks = spread.select("item", "n", *[f"g{n}" for n in lengths], own_length.alias("kept"))
-    marks = write_shared(marks.select("item", "n", f"g{gram}", F.explode("kept").alias("mark")), "marks")
+    marks = spread.select("number", "n", *[f"g{n}" for n in lengths], own_length.alias("kept"))
+    marks = write_shared(marks.select("number", "n", f"g{gram}", F.explode("kept").alias("mark")), "marks")
 
     worded = docs.select("doc_id", words_of("text").alias("words"))
     hashed = worded.select("doc_id", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
@@ -131,15 +135,15 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
     index = F.when(F.col("n") < window, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.size(f"g{gram}") - 1), lambda i: F.get(f"g{gram}", i) == F.col("mark"))
     )
-    placed = marks.select("item", "mark", F.explode(index).alias("item_at"))
+    placed = marks.select("number", "mark", F.explode(index).alias("item_at"))
     diagonals = places.join(broadcast_if_small(placed), "mark").select(
-        "doc_id", "row", "item", (F.col("at") - F.col("item_at")).alias("shift")
+        "doc_id", "row", "number", (F.col("at") - F.col("item_at")).alias("shift")
     )
     diagonals = write_shared(diagonals.distinct(), "diagonals")
 
     rows = again.select("doc_id", F.xxhash64("words").alias("row"), F.col("words").alias("doc_words"))
     rows = rows.dropDuplicates(["doc_id", "row"])
-    both = diagonals.join(rows, ["doc_id", "row"]).join(broadcast_if_small(items.select("item", "n", F.col("words").alias("item_words"))), "item")
+    both = diagonals.join(rows, ["doc_id", "row"]).join(broadcast_if_small(items.select("number", "item", "n", F.col("words").alias("item_words"))), "number")
     # the item along the diagonal: 1 where the words agree, 0 elsewhere and outside the document
     first = F.greatest(F.col("shift"), F.lit(0))
     doc_part = F.slice("doc_words", first + 1, F.greatest(F.col("n") + F.least(F.col("shift"), F.lit(0)), F.lit(0)))
@@ -181,7 +185,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without those that hold a window of the benchmark; a row without ``doc_id`` stays."""
-    found = decontaminate(docs, benchmark, window, gram).filter("contaminated and doc_id is not null")
-    found = broadcast_if_small(write_shared(found.select("doc_id"), "contaminated"))
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those that hold a window of the benchmark; rows without ``doc_id`` are judged each by its text."""
+    by_text = F.concat(F.lit("text "), F.xxhash64("text").cast("string"), F.lit(" "), F.xxhash64(F.lit(1), "text").cast("string"))
+    key = F.coalesce(F.col("doc_id").cast("string"), by_text)
+    _, hits = hit_windows(docs.select(key.alias("doc_id"), "text"), benchmark, window, gram)
+    found = broadcast_if_small(write_shared(hits.select(F.col("doc_id").alias("key")).distinct(), "contaminated"))
+    # the row as one column, so that its names can't clash
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(found, "key", "left_anti").select("row.*")

@@ -223,6 +223,18 @@ def test_decontamination_of_odd_rows_and_empty_tables(spark):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).filter("contaminated").isEmpty()
 
 
+def test_decontamination_of_rows_without_ids(spark):
+    leak, other = text(96, 14), text(97, 6)
+    benchmark = spark.createDataFrame([(None, leak), (None, other), (3, other)], "item_id long, text string")
+    docs = documents(spark, [(1, "a " + leak), (2, other + " b"), (3, "c d"), (None, leak + " e"), (None, "clean f"), (None, None)])
+    found = {r["doc_id"]: r for r in decontamination.decontaminate(docs, benchmark).collect()}
+    # as in the SQL: items without a name count as one, and a document without an id meets nothing
+    assert {d: (r["n_hit"], r["n_items"]) for d, r in found.items()} == {1: (14, 1), 2: (6, 2), 3: (0, 0), None: (0, 0)}
+    kept = decontamination.drop_contaminated(docs, benchmark)
+    assert kept.schema == docs.schema
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == ["(3, 'c d')", "(None, 'clean f')", "(None, None)"]
+
+
 def test_license_places_against_brute_force(spark):
     rows = [
         (1, "Released Under the MIT License. x under the mit license"), (2, "apache license, version 2.0; CC-BY-NC"), (3, None), (4, ""),
