@@ -4,6 +4,8 @@ White space bounds every match of the two kinds of pre-tokenizers known here, so
 words one after another. A batch of texts is cut into words and its distinct words are found in Arrow; the library
 encodes those that the worker doesn't remember, up to a bound, and numpy puts the ids in place. Any other tokenizer
 file, and any text with unusual white space, is encoded whole.
+
+The library's defaults hold, without the special tokens that it would add: the name of one within a text is its one id.
 """
 
 from __future__ import annotations
@@ -45,7 +47,6 @@ class TextEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             self.kind = _kind(json.load(file))
         # joined words are told apart by ids that hold the space before a word, or that end one

@@ -35,6 +35,19 @@ def test_ids_by_words_equal_ids_of_whole_texts(name):
     assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 1]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_ids_equal_those_of_the_library_as_it_is(name):
+    from tokenizers import Tokenizer
+
+    path, mark = tokens.tokenizer_path(name), "<|endoftext|>"
+    held = [t for _, t in texts() if t and len(t) < 5000]
+    held += [mark, f"one {mark} two", f"one{mark}two three", f"end.{mark}\nnext", f"{mark}{mark}. A", f"a\n{mark}\n\nb {mark}, c", mark.upper() + " x"]
+    ids, ends = tokens.TextEncoder(path).encode(pa.array(held, pa.string()))
+    library = Tokenizer.from_file(path)
+    for t, a, b in zip(held, ends[:-1], ends[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = documents(spark)
     path = str(tmp_path / "files")
