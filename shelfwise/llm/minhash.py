@@ -170,8 +170,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copied = signed.join(copies, "digest", "left")
     alone = named.join(copies, "digest", "left").filter("copy_of is null or copy_of = doc_id")
     items = write_shared(
-        alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "bands", "sketch_a", "sketch_b")
-        .dropDuplicates(["id", "size"]),
+        alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "digest", "bands", "sketch_a", "sketch_b")
+        .dropDuplicates(["id", "digest"])
+        .drop("digest"),
         "items",
     )
 

@@ -106,6 +106,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    """Two texts of one document, with sets of equal size, and a near copy of each."""
+    own = [text(97, 60), text(98, 60)]
+    rows = [(1, own[0]), (1, own[1]), (2, own[0] + " more"), (3, own[1] + " more"), (4, text(99, 60))]
+    found = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_circulant_signature_estimates_similarity():
     rng = random.Random(1)
     shared = [rng.randrange(2**63) for _ in range(600)]
