@@ -24,14 +24,12 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Token totals of two tokenizer versions, after toxic documents were deleted from both."""
+    """Token totals of two tokenizers, the second's revised from counts of words, after toxic documents were deleted."""
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
-    counts = [
-        write_shared(token_counts.count_tokens(docs, tokens.BYTE_BPE), "counts"),
-        token_counts.count_words(docs, r"\S+", "words"),
-    ]
+    byte, word = (write_shared(token_counts.count_tokens(docs, t), "counts") for t in (tokens.BYTE_BPE, tokens.WORD_BPE))
+    counts = [byte, token_counts.count_words(docs, r"\S+", "words")]
     removed = labels.filter("toxic = 1").select("doc_id")
-    return token_counts.maintained_totals(spark, f"{shared_folder(spark)}/rollup", counts, removed)
+    return token_counts.maintained_totals(spark, f"{shared_folder(spark)}/rollup", counts, removed, {1: word})
 
 
 def rollup_word_counts(spark: SparkSession, sf: str) -> DataFrame:

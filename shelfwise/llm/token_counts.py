@@ -129,11 +129,19 @@ class Rollup:
         return batch
 
 
-def maintained_totals(spark: SparkSession, path: str, counts: list[DataFrame], removed: DataFrame) -> DataFrame:
-    """Totals after one batch of inserts for each of ``counts``, a repeated one, and the deletes of ``removed(doc_id)``."""
+def maintained_totals(
+    spark: SparkSession, path: str, counts: list[DataFrame], removed: DataFrame, revised: dict[int, DataFrame] | None = None
+) -> DataFrame:
+    """Totals after one batch of inserts for each of ``counts``, a repeated one, and the deletes of ``removed(doc_id)``.
+
+    Before the deletes, ``counts[i]`` is revised to ``revised[i]``, one batch each.
+    """
     rollup = Rollup(spark, path).create()
     for i, counted in enumerate([*counts, counts[0]]):
         rollup.commit(f"load-{i % len(counts)}", inserts(counted))
+    for i, newer in (revised or {}).items():
+        rollup.commit(f"revise-{i}", revisions(counts[i], newer))
+    counts = [(revised or {}).get(i, counted) for i, counted in enumerate(counts)]
     gone = removed.select("doc_id").distinct()
     for i, counted in enumerate(counts):
         rollup.commit(f"remove-{i}", deletes(counted.join(gone, "doc_id", "left_semi")))

@@ -187,6 +187,22 @@ def test_token_counts_follow_inserts_deletes_and_revisions(spark, tmp_path):
     assert not rollup.commit("load", token_counts.inserts(counts)) and rollup.create() and state(rollup) == expected
 
 
+def test_registered_counts_are_of_both_tokenizers(spark):
+    from shelfwise.llm.queries import QUERIES
+
+    toxic = {r["doc_id"] for r in read(spark, SF, "labels").filter("toxic = 1").collect()}
+    rows = [r for r in read(spark, SF, "documents").collect() if r["doc_id"] not in toxic]
+    expected = defaultdict(lambda: [0, 0])
+    for name in (tokens.BYTE_BPE, tokens.WORD_BPE):
+        found = tokens.TextEncoder(tokens.tokenizer_path(name)).whole([r["text"] or "" for r in rows])
+        for r, ids in zip(rows, found, strict=True):
+            total = expected[r["source"], r["lang"], name.rsplit(".", 1)[0]]
+            total[0] += 1
+            total[1] += len(ids) // 4
+    found = QUERIES["op3_token_counts"](spark, SF).collect()
+    assert {tuple(r)[:3]: list(r)[3:] for r in found} == expected
+
+
 def hits(docs, items, window=10):
     found = {}
     for d, t in docs:
