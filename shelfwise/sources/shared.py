@@ -16,15 +16,16 @@ ROW_OVERHEAD_BYTES = 64
 def shared_folder(spark: SparkSession) -> str:
     """A new sub-folder of ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a cluster the folder has to
-    be one that all executors reach.
+    Only a local session without that setting gets a folder of its own, which stays the context's checkpoint
+    directory; on a cluster the folder has to be one that all executors reach.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/shelfwise-{uuid.uuid4().hex}"
 
 
