@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_counts, token_files, tokens
+from shelfwise.llm import collocations, decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_counts, token_files, tokens
 from shelfwise.llm.corpus import read
 from shelfwise.sources.shared import shared_folder, write_shared
 
@@ -75,7 +75,12 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses, rollup_word_counts)}
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses, op11_collocations, rollup_word_counts)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
@@ -167,4 +172,36 @@ FROM counted WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
 GROUP BY source, lang, tokenizer_version
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9, "rollup_word_counts": _ROLLUP}
+_OP11 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded),
+suffix AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM placed),
+one AS (SELECT lang, x, count(*) AS f FROM suffix GROUP BY ALL),
+two AS (SELECT lang, x, y, count(*) AS f FROM suffix WHERE y IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, x, y, z, count(*) AS f FROM suffix WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+pairs AS (
+  SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, p.f AS l, q.f AS r,
+    1000000::HUGEINT * two.f * two.f // (p.f::HUGEINT * q.f) AS score
+  FROM two JOIN one p ON p.lang = two.lang AND p.x = two.x JOIN one q ON q.lang = two.lang AND q.x = two.y
+    LEFT JOIN longer ON longer.lang = two.lang AND longer.x = two.x AND longer.y = two.y
+  WHERE two.f >= 10 AND coalesce(100 * longer.f < 50 * two.f, true)),
+cut AS (
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, p.f AS l1, q.f AS r1, u.f AS l2, v.f AS r2,
+    1000000::HUGEINT * t.f * t.f // (p.f::HUGEINT * q.f) AS s1, 1000000::HUGEINT * t.f * t.f // (u.f::HUGEINT * v.f) AS s2
+  FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+    JOIN two u ON u.lang = t.lang AND u.x = t.x AND u.y = t.y JOIN one v ON v.lang = t.lang AND v.x = t.z),
+scored AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, phrase, a, if(s1 <= s2, l1, l2), if(s1 <= s2, r1, r2), least(s1, s2) FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9, "op11_collocations": _OP11, "rollup_word_counts": _ROLLUP}
