@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import collocations, decontamination, fingerprints, language, licenses, lines, minhash, packing, quality, token_counts, token_files, tokens
+from shelfwise.llm import collocations, decontamination, fingerprints, language, licenses, lines, minhash, packing, prefix_trie, quality, token_counts, token_files, tokens, toxicity
 from shelfwise.llm.corpus import read
 from shelfwise.sources.shared import shared_folder, write_shared
 
@@ -80,7 +80,17 @@ def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses, op11_collocations, rollup_word_counts)}
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the prefix trie over all conversations."""
+    return prefix_trie.conversation_trie(read(spark, sf, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity scores of documents, learnt from the labels."""
+    return toxicity.toxicity_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_token_files, op5_line_dedup, op6_language, op7_packing, op8_quality, op9_near_duplicates, op10_licenses, op11_collocations, op12_prefix_trie, op13_toxicity, rollup_word_counts)}
 
 _OP9 = r"""
 WITH RECURSIVE worded AS (
@@ -204,4 +214,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9, "op11_collocations": _OP11, "rollup_word_counts": _ROLLUP}
+_OP12 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(e ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), generate_series(1, 8)),
+      lambda c, step: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)) AS e FROM range(256) r(i))),
+turned AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+digest AS (
+  SELECT conv_id, turn, md5(concat(length(role), ':', role, text)) AS d, octet_length(encode(text)) AS b FROM turned),
+conv AS (
+  SELECT conv_id, list({'d': d, 'b': b} ORDER BY turn NULLS FIRST, d) AS t FROM digest GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, t, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) % 9 AS h
+  FROM conv, crc_table),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(q.t[1:p.h], []), p.t[p.h + 1:]) AS t
+  FROM hashed p LEFT JOIN conv q ON q.conv_id = p.conv_id - p.conv_id % 5),
+member AS (
+  SELECT conv_id, len(t) AS length, depth, array_to_string(list_transform(t[1:depth], lambda x: x.d), ',') AS node,
+    if(depth > 0, array_to_string(list_transform(t[1:depth - 1], lambda x: x.d), ','), NULL) AS parent, t[depth].b AS b
+  FROM rebuilt, LATERAL (SELECT unnest(generate_series(0, len(t))) AS depth)),
+node AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    if(depth > 0, (count(*) - 1) * any_value(b), 0) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+  FROM member GROUP BY node, depth),
+child AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY ALL),
+whole AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN child USING (node, depth)),
+above AS (
+  SELECT node AS top, depth AS top_depth, node, depth, parent FROM node
+  UNION ALL
+  SELECT p.node, p.depth, a.node, a.depth, p.parent FROM above a JOIN node p ON p.node = a.parent AND p.depth = a.top_depth - 1),
+under AS (
+  SELECT top AS node, top_depth AS depth, CAST(count_if(n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM above JOIN whole ON whole.node = above.node AND whole.depth = above.depth GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN under USING (node, depth) LEFT JOIN node p ON p.node = w.parent AND p.depth = w.depth - 1
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": _OP2, "op5_line_dedup": _OP5, "op9_near_duplicates": _OP9, "op11_collocations": _OP11, "op12_prefix_trie": _OP12, "rollup_word_counts": _ROLLUP}
