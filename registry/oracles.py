@@ -797,3 +797,38 @@ ORACLES: dict[str, str] = {
         needs="pricing",
     ),
 }
+
+CHANGED_VIEWS = {
+    **VIEWS,
+    "docs": f"""SELECT doc_id AS id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+        UNION ALL
+        SELECT {views.BENCHMARK_IDS} + item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark""",
+}
+
+
+def changed(body: str, needs: str) -> str:
+    return "WITH " + ",\n".join(f"{n} AS ({CHANGED_VIEWS[n]})" for n in needs.split()) + "\n" + body
+
+
+_RANKED = f"""SELECT qid, id AS doc_id, {r9("score")} AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        SELECT q.qid, l.id, round(coalesce(h.score, 0), 9) AS score FROM queries q JOIN lens l ON true
+        LEFT JOIN hits h ON h.qid = q.qid AND h.id = l.id)) WHERE rank <= 5"""
+_HITS = SEARCH + " queries query_terms hits"
+
+ORACLES |= {
+    "bm25_segments": sql(
+        f"""SELECT r.*, coalesce(p.postings, 0) AS postings FROM ({_RANKED}) r LEFT JOIN (
+            SELECT qid, CAST(sum(df) AS BIGINT) AS postings FROM query_terms JOIN dfs USING (term) GROUP BY qid) p USING (qid)""",
+        needs=_HITS,
+    ),
+    "changed_term_statistics": changed(
+        f"SELECT term, df, {r9('ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0))')} AS idf FROM dfs, totals", SEARCH
+    ),
+    "changed_search": changed(_RANKED, _HITS),
+    "merged_search": changed(_RANKED, _HITS),
+}
+
+#: Queries whose rows depend on how the data lies; the tests check what must hold of them.
+WITHOUT_SQL = {"segment_work"}

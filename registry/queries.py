@@ -11,6 +11,7 @@ from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
 from shelfwise.operators import bm25, browse, cart, embed, evaluate, photos, ranking, vectors
+from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
 from shelfwise.sources.shared import shared_folder
@@ -624,3 +625,54 @@ def published_inputs(spark, sf):
     return tables.read_table(spark, "pricing_inputs", f"{folder}/out/pricing_inputs", fmt="jsonl").select(
         "product_id", "reference_quantity", *[r9(c).alias(c) for c in ["elasticity", "marginal_cost", "reference_price"]]
     )
+
+
+# --- search over a kept index ------------------------------------------------------------------
+
+
+@query
+def bm25_segments(spark, sf):
+    """The ranking of ``bm25_batch`` from an index with block maxima, with the postings of each query's terms."""
+    index = SegmentIndex.create(spark, shared_folder(spark), views.documents(spark, sf))
+    found, work = index.search(views.search_queries(spark, sf), limit=5)
+    ranked = found.join(work, "qid", "left")
+    return ranked.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank", F.coalesce("postings", F.lit(0)).alias("postings"))
+
+
+@query
+def segment_work(spark, sf):
+    """How much of a query's postings the search read: one of few words, and whole texts."""
+    index = SegmentIndex.create(spark, shared_folder(spark), views.documents(spark, sf))
+    words = spark.createDataFrame([(-1, SEARCH_PHRASE)], "qid long, text string")
+    work = index.search(views.search_queries(spark, sf).unionByName(words), limit=5)[1]
+    return work.select("qid", "postings", "scored", (1 - F.col("scored") / F.col("postings")).alias("skipped"))
+
+
+def _changed_index(spark, sf):
+    """An index of all documents, then without those of low quality, then with the benchmark's texts beside them."""
+    index = SegmentIndex.create(spark, shared_folder(spark), views.documents(spark, sf))
+    labels = views.table(spark, sf, "labels")
+    index.delete(labels.filter("quality = 0").select(F.col("doc_id").alias("id")))
+    index.insert(views.search_queries(spark, sf).select((F.lit(views.BENCHMARK_IDS) + F.col("qid")).alias("id"), "text"))
+    return index
+
+
+@query
+def changed_term_statistics(spark, sf):
+    """Frequencies after inserts and deletes, from the signed changes alone."""
+    return _changed_index(spark, sf).term_statistics().select("term", "df", r9("idf").alias("idf"))
+
+
+@query
+def changed_search(spark, sf):
+    found, _ = _changed_index(spark, sf).search(views.search_queries(spark, sf), limit=5)
+    return found.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank")
+
+
+@query
+def merged_search(spark, sf):
+    """The same after all segments were merged into one."""
+    index = _changed_index(spark, sf)
+    index.merge()
+    found, _ = index.search(views.search_queries(spark, sf), limit=5)
+    return found.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank")

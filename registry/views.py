@@ -64,6 +64,10 @@ def name_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Benchmark texts as documents have ids from here on.
+BENCHMARK_IDS = 1_000_000_000
+
+
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
