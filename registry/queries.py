@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
-from shelfwise.operators import bm25, browse, cart, embed, evaluate, photos, ranking, vectors
+from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, ranking, vectors
 from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
@@ -676,3 +676,21 @@ def merged_search(spark, sf):
     index.merge()
     found, _ = index.search(views.search_queries(spark, sf), limit=5)
     return found.select("qid", F.col("id").alias("doc_id"), r9("score").alias("score"), "rank")
+
+
+# --- neighbours with pruning -------------------------------------------------------------------
+
+
+@query
+def knn_cells(spark, sf):
+    """The neighbours of ``knn_cosine`` by cells and bounds."""
+    near = cells.similar_items(views.vectors(spark, sf), limit=fixed.NEIGHBOUR_POOL)
+    return near.select("qid", F.col("id").alias("vec_id"), "rank", r9("score").alias("score"))
+
+
+@query
+def neighbour_work(spark, sf):
+    """Scores that the pruned search computed for each item, of those that all pairs would take."""
+    known = views.vectors(spark, sf)
+    work = cells.nearest(cells.build_cells(known), known.withColumnRenamed("id", "qid"), fixed.NEIGHBOUR_POOL)[1]
+    return work.withColumn("all_pairs", F.lit(known.where("vector is not null").count()))
