@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
-from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, ranking, vectors
+from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, quantized, ranking, vectors
 from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
@@ -694,3 +694,26 @@ def neighbour_work(spark, sf):
     known = views.vectors(spark, sf)
     work = cells.nearest(cells.build_cells(known), known.withColumnRenamed("id", "qid"), fixed.NEIGHBOUR_POOL)[1]
     return work.withColumn("all_pairs", F.lit(known.where("vector is not null").count()))
+
+
+def _quantized(spark, sf):
+    """About the best neighbours of every item whose id is divisible by 50, from an index of all items."""
+    known = views.vectors(spark, sf)
+    quantizer = quantized.fit(known)
+    index = quantized.build(known, quantizer)
+    probes = quantized.calibrate(known, index, quantizer, fixed.NEIGHBOUR_POOL)
+    asked = known.withColumnRenamed("id", "qid").filter("qid % 50 = 0")
+    return quantized.search(known, index, quantizer, asked, probes, fixed.NEIGHBOUR_POOL), vectors.nearest(known, asked, fixed.NEIGHBOUR_POOL)
+
+
+@query
+def quantized_neighbours(spark, sf):
+    found, _ = _quantized(spark, sf)
+    return found.select("qid", F.col("id").alias("vec_id"), "rank", r9("score").alias("score"))
+
+
+@query
+def quantized_recall(spark, sf):
+    """The index against all rows: whether nine of ten true neighbours were found."""
+    found, exact = _quantized(spark, sf)
+    return quantized.recall(found, exact).select("n_queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
