@@ -1,9 +1,9 @@
 """A keyword index of immutable segments with block maxima, kept up to date by signed changes.
 
-**Layout.** A segment is written once: its documents, dealt by range so that similar ones lie together, are numbered in
-``range`` blocks of ``RANGE_ROWS``; ``RANGES`` of those make a shelf. ``blocks`` has one row for each term and range with the
-postings and the largest part that any of them adds to a score, but for the idf. It is sorted by term, so a few terms
-read a few row groups. ``changes`` has the segment's contribution to the document frequencies, ``size`` the
+**Layout.** A segment is written once: its documents, sorted in their partition so that similar ones lie together, are
+numbered in ranges of ``RANGE_ROWS``; ``RANGES`` of those make a shelf. ``blocks`` has one row for each term and range with
+the postings and the largest part that any of them adds to a score, but for the idf. Each file is sorted by term, so a few
+terms read a few row groups. Nothing is shuffled to build them. ``changes`` has the segment's contribution to the document frequencies, ``size`` the
 one to the number and length of all documents.
 
 **Changes.** Inserted documents become a segment. Deleted ones become tombstones ``(segment, id)`` and negative changes,
@@ -20,7 +20,7 @@ below it is skipped with all its postings. Rounds grow until no range is left th
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import search_tokens
 from shelfwise.operators import blocks as arrow
-from shelfwise.operators.bm25 import idf, index_documents, length_norm
+from shelfwise.operators.bm25 import idf, index_documents
 from shelfwise.operators.vectors import RANK_DIGITS, top_per_query
 from shelfwise.sources.shared import broadcast_if_small, write_shared
 
@@ -76,9 +76,9 @@ class SegmentIndex:
     def insert(self, docs: DataFrame) -> None:
         """Add ``docs(id, text)``; an id that is there already is replaced. Ids are distinct in ``docs``."""
         state = self.state()
-        indexed = write_shared(index_documents(docs), "indexed")
-        buried = self._bury(state, indexed.select("id")) if state.segments else None
-        self._commit(state, "insert", added=[self._write_segment(indexed)], tombstones=buried)
+        name = self._write_segment(index_documents(docs))
+        buried = self._bury(state, self._docs([name]).select("id")) if state.segments else None
+        self._commit(state, "insert", added=[name], tombstones=buried)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove the documents of ``ids(id)``; unknown ones are ignored."""
@@ -99,29 +99,36 @@ class SegmentIndex:
         # the most frequent term tells languages and registers apart, the smallest hash brings near copies together
         best = F.array_max(F.transform("terms", lambda t: F.struct(t["tf"], t["term"])))["term"]
         least = F.array_min(F.transform("terms", lambda t: F.xxhash64(t["term"])))
-        order = [best.asc(), least.asc(), F.col("id").asc()]
-        dealt = indexed.repartitionByRange(*order).sortWithinPartitions(*order)
         number = F.monotonically_increasing_id()
         part, row = F.shiftright(number, _ROW_BITS), number.bitwiseAND((1 << _ROW_BITS) - 1)
         place = F.shiftleft(part, _PART_BITS) + F.floor(row / RANGE_ROWS).cast("long")
-        dealt.select("id", "length", "terms", place.alias("range")).write.parquet(f"{root}/docs")
+        ordered = indexed.sortWithinPartitions(best.asc(), least.asc(), F.col("id").asc())
+        ordered.select("id", "length", "terms", place.alias("range")).write.parquet(f"{root}/docs")
 
         docs = self.spark.read.parquet(f"{root}/docs")
-        # dealt by range once: grouping by range and term then needs no further exchange
-        entries = docs.repartition("range").select("range", "id", "length", F.inline_outer("terms")).where("term is not null")
         average = docs.agg(F.avg("length")).first()[0] or 0.0
-        part = F.col("tf") / (F.col("tf") + length_norm(F.col("length"), F.lit(average), self.k1, self.b))
-        blocks = entries.groupBy("range", "term").agg(
-            F.count(F.lit(1)).cast("int").alias("n"), F.max(part).alias("most"), F.lit(average).alias("average"),
-            F.collect_list(F.struct("id", "tf", "length")).alias("postings"),
-        )
-        blocks = write_shared(blocks, "blocks")
-        blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{root}/blocks")
+        self._invert(docs, average).sortWithinPartitions("term", "range").write.parquet(f"{root}/blocks")
+        blocks = self.spark.read.parquet(f"{root}/blocks")
         self._write_changes(f"{root}/changes", blocks.groupBy("term").agg(F.sum("n").cast("long").alias("df")))
         size = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length"))
         size.write.parquet(f"{root}/size")
         return name
 
+    def _invert(self, docs: DataFrame, average: float) -> DataFrame:
+        """Blocks of ``docs``, built where they lie.
+
+        A range that two tasks read has two blocks of a term: its bound is then a little high, its postings are whole.
+        """
+        k1, b = self.k1, self.b
+        shape = f"range long, term string, n int, most double, average double, postings array<struct<id:{self.id_type},tf:int,length:int>>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in arrow.row_blocks([batch], 1):
+                    yield from _blocks_of(part, average, k1, b)
+
+        return docs.select("id", "length", "terms", "range").mapInArrow(run, shape)
+
     def _write_changes(self, path: str, changes: DataFrame) -> None:
         changes.repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
 
@@ -286,6 +293,32 @@ class SegmentIndex:
         return pairs.join(best, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)).select("qid", "id", "score")
 
 
+def _blocks_of(docs: pa.RecordBatch, average: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Postings of adjacent documents by range and term."""
+    row, entries = arrow.list_entries(docs.column("terms"))
+    if not len(row):
+        return
+    term = entries.field("term").dictionary_encode()
+    code = term.indices.to_numpy(zero_copy_only=False)
+    place = docs.column("range").to_numpy()[row]
+    order = np.lexsort((code, place))
+    row, code, place = row[order], code[order], place[order]
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (code[1:] != code[:-1])])
+    tf = entries.field("tf").to_numpy(zero_copy_only=False)[order]
+    length = docs.column("length").to_numpy()[row]
+    part = tf / np.maximum(tf + k1 * (1 - b + b * length / max(average, 1e-300)), 1e-300)
+    bounds = np.r_[first, len(row)]
+    postings = pa.StructArray.from_arrays([docs.column("id").take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(length, pa.int32())], ["id", "tf", "length"])
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(place[first]), term.dictionary.take(pa.array(code[first])), pa.array(np.diff(bounds), pa.int32()),
+            pa.array(np.maximum.reduceat(part, first)), pa.array(np.full(len(first), average)),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), postings),
+        ],
+        ["range", "term", "n", "most", "average", "postings"],
+    )
+
+
 def _score_shelf(asked: pa.Table, entries: pa.Table, average: float, limit: int, k1: float, b: float, empty: pa.Table) -> pa.Table:
     """Scores of the documents in the asked ranges of a shelf; entries without a term list the deleted documents."""
     if not asked.num_rows or not entries.num_rows:
