@@ -12,10 +12,9 @@ counts is every window that agrees in all words. Only DataFrame functions are us
 after its size is measured; documents without a kept hash in common are not looked at again.
 
 Defined results: a null or empty text has no words and no hits; an item without words is no window; repeated items
-count each; an item without ``item_id`` counts as one without a name; rows that share a ``doc_id`` are one document,
-whose ``n_words`` is that of the longest and whose hits are those of all; a row without ``doc_id`` is reported without
-hits, as in the SQL, where null joins nothing, but ``drop_contaminated`` tells such rows apart by their text; an empty
-table gives no rows, an empty benchmark no hits; further columns are ignored.
+count each; an item without ``item_id`` counts as one without a name; every row is a document, also where rows share a
+``doc_id`` or have none: rows are told apart by their id and text, and equal ones have equal results; an empty table gives
+no rows, an empty benchmark no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,9 +93,10 @@ def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame
 
 
 def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Two frames: ``doc_id, n_words`` of every document, and ``doc_id, item, start, length`` of every window that occurs.
+    """Two frames: ``doc_id, n_words, copies`` of every document, and ``doc_id, item, start, length`` of every window that occurs.
 
-    ``docs(doc_id, text)``, ``benchmark(item_id, text)``; ``start`` counts words from 0.
+    ``docs(doc_id, text)``, ``benchmark(item_id, text)``; ``start`` counts words from 0. Rows of one ``doc_id`` must have
+    one text (``row_keys``); ``copies`` counts them.
     """
     # the number stands for an item in every join; its id is only a label
     numbered = benchmark_windows(benchmark, window, gram).withColumn("number", F.monotonically_increasing_id())
@@ -114,10 +114,10 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
     worded = docs.select("doc_id", words_of("text").alias("words"))
     hashed = worded.select("doc_id", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     signed = with_kept(with_grams(hashed, lengths), gram, window)
-    signed = signed.select("doc_id", "n_words", F.explode_outer(F.concat("kept", *[_tagged(F.array_distinct(f"g{n}"), n) for n in short])).alias("mark"))
+    signed = signed.select("doc_id", "n_words", F.posexplode_outer(F.concat("kept", *[_tagged(F.array_distinct(f"g{n}"), n) for n in short])).alias("place", "mark"))
     wanted = broadcast_if_small(marks.select("mark").distinct().withColumn("met", F.lit(1)))
     met = signed.join(wanted, "mark", "left").groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.max("met").alias("met")
+        F.max("n_words").alias("n_words"), F.max("met").alias("met"), F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("copies")
     )
     met = write_shared(met, "met")
 
@@ -161,12 +161,19 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gra
     hits = agree.select(
         "doc_id", "item", "first", F.least(F.col("n"), F.lit(window)).alias("length"), name, F.explode(starts).alias("at")
     ).select("doc_id", "item", (F.col("first") + F.col("at")).alias("start"), "length")
-    return met.select("doc_id", "n_words"), write_shared(hits, "hits")
+    return met.select("doc_id", "n_words", "copies"), write_shared(hits, "hits")
+
+
+def row_keys(docs: DataFrame) -> Column:
+    """A text's 128-bit hash with the row's ``doc_id``, if it has one."""
+    text = F.coalesce("text", F.lit(""))
+    return F.concat_ws(" ", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"), F.col("doc_id").cast("string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
-    words, hits = hit_windows(docs, benchmark, window, gram)
+    kind = dict(docs.dtypes)["doc_id"]
+    words, hits = hit_windows(docs.select(row_keys(docs).alias("doc_id"), "text"), benchmark, window, gram)
     covered = hits.select("doc_id", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at")).distinct()
     n_hit = covered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
     named = hits.select("doc_id", "item").distinct().groupBy("doc_id").agg(
@@ -174,8 +181,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     )
     hit = broadcast_if_small(write_shared(n_hit.join(named, "doc_id"), "hit"))
     none = F.lit(0).cast("long")
-    return words.join(hit, words["doc_id"].eqNullSafe(hit["doc_id"]), "left").select(
-        words["doc_id"],
+    hashes = F.substring_index("doc_id", " ", 2)
+    own_id = F.when(F.col("doc_id") != hashes, F.expr("substring(doc_id, length(substring_index(doc_id, ' ', 2)) + 2)")).cast(kind)
+    every = words.join(hit, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return every.select(
+        own_id.alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", none).alias("n_hit"),
         F.coalesce("n_items", none).alias("n_items"),
@@ -185,11 +195,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without those that hold a window of the benchmark; rows without ``doc_id`` are judged each by its text."""
-    by_text = F.concat(F.lit("text "), F.xxhash64("text").cast("string"), F.lit(" "), F.xxhash64(F.lit(1), "text").cast("string"))
-    key = F.coalesce(F.col("doc_id").cast("string"), by_text)
-    _, hits = hit_windows(docs.select(key.alias("doc_id"), "text"), benchmark, window, gram)
+    """``docs`` without those that hold a window of the benchmark; every row is judged by its own text."""
+    _, hits = hit_windows(docs.select(row_keys(docs).alias("doc_id"), "text"), benchmark, window, gram)
     found = broadcast_if_small(write_shared(hits.select(F.col("doc_id").alias("key")).distinct(), "contaminated"))
     # the row as one column, so that its names can't clash
-    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(row_keys(docs).alias("key"), F.struct(*docs.columns).alias("row"))
     return rows.join(found, "key", "left_anti").select("row.*")

@@ -2,13 +2,12 @@
 
 A k-mer (15 bytes of UTF-8) is an anchor when the smallest hash among its inner substrings (8 of 8 bytes each) belongs
 to the first or the last of them. Whether a k-mer is an anchor depends on nothing around it, so equal
-passages have equal anchors, at the same distances, whatever was edited elsewhere. A text shorter than k is one
-anchor. ``anchors`` gives them with their positions.
+passages have equal anchors, at the same distances, whatever was edited elsewhere. Seven k-mers in a row hold an anchor;
+in a text of fewer that has none, the k-mer of the smallest hash is one. A text shorter than k is one anchor. ``anchors`` gives them with their positions.
 
 A fingerprint has 64 coordinates: of the anchors' hashes the one nearest, by XOR, to a constant of the coordinate, of
 which the low 16 bits are kept. The share of equal coordinates estimates the Jaccard likeness of two texts' anchors.
-A text without anchors (an empty one, and a rare short one) has the empty fingerprint, like another such and unlike
-all others.
+Only an empty text has no anchor: its fingerprint is empty, like another such and unlike all others.
 
 Only DataFrame functions. Positions are generated and reduced within the task that holds the text, in generated code;
 no anchor is shuffled. For the neighbour in the order of ``doc_id``, rows are dealt by blocks of ids; a window looks
@@ -44,7 +43,14 @@ def _constants(count: int) -> list[int]:
 def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INNER, places: int = PLACES) -> DataFrame:
     """``keep`` columns, ``position`` (bytes from 0) and ``anchor`` hash of the binary column ``data``."""
     size = inner + places - 1
-    at = F.expr(f"sequence(0, greatest(0, length({data}) - {size}))")
+    # of a text with too few k-mers to be sure of an anchor the places are chosen before they are spread
+    few = f"length({data}) between {size} and {size + places - 3}"
+    hashes = ", ".join(f"xxhash64(substring({data}, p + {1 + j}, {inner}))" for j in range(places))
+    own = f"element_at(h, 1) = array_min(h) or element_at(h, {places}) = array_min(h)"
+    edges = f"filter(sequence(0, length({data}) - {size}), p -> exists(array(array({hashes})), h -> {own}))"
+    least = f"array_min(transform(sequence(0, length({data}) - {size}), p -> struct(xxhash64(substring({data}, p + 1, {size})) as hash, p as at))).at"
+    chosen = f"case when size({edges}) > 0 then {edges} else array({least}) end"
+    at = F.expr(f"case when {few} then {chosen} else sequence(0, greatest(0, length({data}) - {size})) end")
     spread = df.filter(F.length(data) > 0).select(*keep, data, F.explode(at).alias("position"))
     part = lambda by, n: f"xxhash64(substring({data}, position + {1 + by}, {n}))"
     # the task's number is only there to keep the filter above the hashes, which it would else compute twice over
@@ -54,7 +60,7 @@ def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INN
     )
     least = F.least(*[f"h{j}" for j in range(places)])
     short = F.length(data) < size
-    edge = short | (F.col("h0") == least) | (F.col(f"h{places - 1}") == least)
+    edge = short | F.expr(few) | (F.col("h0") == least) | (F.col(f"h{places - 1}") == least)
     return hashed.filter(edge & (F.col("task") >= 0)).select(*keep, "position", F.expr(part(0, size)).alias("anchor"))
 
 

@@ -143,7 +143,7 @@ FROM ranked r JOIN text t ON t.line = r.line JOIN class c ON c.id = t.id JOIN ra
 
 _OP2 = r"""
 WITH doc AS (
-  SELECT doc_id, regexp_extract_all(
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
@@ -158,17 +158,17 @@ item_window AS (
         FROM item WHERE len(w) > 0)),
 size AS (SELECT DISTINCT n FROM item_window),
 doc_window AS (
-  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
-  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, size WHERE len(w) >= n)),
-hit AS (SELECT doc_id, item, i, d.n FROM doc_window d JOIN item_window b ON d.s = b.s AND d.n = b.n),
-covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM hit),
-hits AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc, size WHERE len(w) >= n)),
+hit AS (SELECT r, item, i, d.n FROM doc_window d JOIN item_window b ON d.s = b.s AND d.n = b.n),
+covered AS (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS at FROM hit),
+hits AS (SELECT r, count(*) AS n_hit FROM covered GROUP BY r),
 items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM doc LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 _ROLLUP = r"""

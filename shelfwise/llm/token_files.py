@@ -1,8 +1,9 @@
 """Token-ID output: Parquet files of token lists that can be read by row range or by column.
 
-One row is one document: ``doc_id``, ``n_tokens`` and ``tokens`` (a list of 32-bit ids, the end id included). Files
+One row is one document: its ``row`` (a number that ascends over all files, with gaps between them), ``doc_id``, ``n_tokens``
+and ``tokens`` (a list of 32-bit ids, the end id included). Files
 hold ascending, disjoint ranges of ``doc_id``, so file names in order are the corpus in order. Token lists are
-dictionary-encoded (a vocabulary fits one dictionary), the two number columns delta-encoded, pages are cut by row
+dictionary-encoded (a vocabulary fits one dictionary), the number columns delta-encoded, pages are cut by row
 count, and the writer adds page indexes: a reader of some documents skips the pages of all others, and a reader of
 the metadata never touches the token pages.
 
@@ -26,12 +27,12 @@ from shelfwise.sources.shared import shared_folder, write_shared
 END_ID = 0
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_ROWS = 256
-FILE_SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
+FILE_SCHEMA = "row long, doc_id long, n_tokens int, tokens array<int>"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``docs(doc_id, text)`` in their order as rows of the file format."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+    """``docs(row, doc_id, text)`` in their order as rows of the file format."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokens.tokenizer_path(tokenizer))
@@ -43,10 +44,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
                 ends += np.arange(len(ends))
                 lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids))
                 sizes = pa.array(np.diff(ends), pa.int32())
-                columns = [batch.column("doc_id")[a:b].cast(pa.int64()), sizes, lists]
+                columns = [batch.column("row")[a:b], batch.column("doc_id")[a:b].cast(pa.int64()), sizes, lists]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, FILE_SCHEMA)
 
 
 def write_token_files(
@@ -63,6 +64,7 @@ def write_token_files(
     therefore reads texts at most, and encodes none.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.withColumn("row", F.monotonically_increasing_id())
     (
         encode_documents(ordered, tokenizer, end_id)
         .write.option("compression", "zstd")
@@ -70,6 +72,7 @@ def write_token_files(
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.enable.dictionary", "true")
+        .option("parquet.enable.dictionary#row", "false")
         .option("parquet.enable.dictionary#doc_id", "false")
         .option("parquet.enable.dictionary#n_tokens", "false")
         .parquet(path)
@@ -95,7 +98,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     The lists are read once. Places within a file come from a window over that file's narrow rows, the files' own
     places from one row per file.
     """
-    schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,22 +107,18 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             ends = lists.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
                 schema=schema,
             )
 
-    files = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "tokens")
-    rows = write_shared(files.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "digests")
-    # files hold disjoint ranges, so their first documents order them
-    before = Window.orderBy(F.asc_nulls_first("first")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("doc_id").alias("first")).select(
+    files = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "row", "doc_id", "tokens")
+    rows = write_shared(files.mapInArrow(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "digests")
+    # files hold disjoint ranges of rows, so their first rows order them
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min("row").alias("first")).select(
         "file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("file_start")
     )
-    inside = (
-        Window.partitionBy("file")
-        .orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(starts, "file").select(
         "doc_id",
         (F.col("file_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"),

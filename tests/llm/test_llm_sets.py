@@ -227,9 +227,25 @@ def anchor_hashes(text, inner=8, places=8):
         hashes = [spark_hash(data[i + j : i + j + inner]) for j in range(places)]
         if len(data) < size or min(hashes) in (hashes[0], hashes[-1]):
             found[i] = spark_hash(data[i : i + size])
+    if not found:
+        least, i = min((spark_hash(data[i : i + size]), i) for i in range(len(data) - size + 1))
+        found[i] = least
     return found
 
 
+def test_short_texts_have_a_fingerprint_of_their_own(spark):
+    rows = [(i, "".join(random.Random(i).choices("abcdefg hij", k=13 + i % 9))) for i in range(90)]
+    found = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_edits(documents(spark, rows)).collect()}
+    assert found == {d: fingerprint(t) for d, t in rows}
+    assert any(len(t) >= 15 and not any_edge(t) for _, t in rows) and len(set(found.values())) == len({t for _, t in rows})
+
+
+def any_edge(text, inner=8, places=8):
+    data, size = text.encode(), inner + places - 1
+    every = [[spark_hash(data[i + j : i + j + inner]) for j in range(places)] for i in range(len(data) - size + 1)]
+    return any(min(h) in (h[0], h[-1]) for h in every)
+
+
 def fingerprint(text):
     found = anchor_hashes(text).values()
     if not found:
