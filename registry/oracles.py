@@ -833,5 +833,41 @@ ORACLES |= {
         FROM ({ORACLES["knn_cosine"]}) WHERE qid % 50 = 0""",
 }
 
+_WHITESPACE = quoted(fixed.WHITESPACE)
+_SORTS = {"relevance": "rank NULLS FIRST", "rating": "rating DESC NULLS LAST", "price-asc": "price NULLS FIRST", "price-desc": "price DESC NULLS LAST"}
+
+
+def _placed(columns: str, source: str, modes: Sequence[str], last: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS sort, row_number() OVER (ORDER BY {_SORTS[m]}, id{last}) AS position, {columns} FROM {source}" for m in modes
+    )
+
+
+ORACLES |= {
+    "category_positions": sql(
+        _placed(f"id, price, {r9('rating')} AS rating", "products WHERE category = 'STANDARD' AND rating >= 2.5e0", ["rating", "price-asc", "price-desc"], ""),
+        needs="products",
+    ),
+    "search_positions": sql(
+        _placed("qid, id, rank", "reranked WHERE rating >= 2.9e0 AND price <= 2500", list(_SORTS), ", qid"), *CATEGORY_POOL, needs="products"
+    ),
+    "review_positions": sql(
+        """SELECT row_number() OVER (ORDER BY product_id NULLS FIRST, helpful_votes DESC, id) AS position, id, product_id, helpful_votes
+        FROM reviews""",
+        needs="reviews",
+    ),
+    "trigger_mentions": f"""WITH trig AS (
+            SELECT DISTINCT category, 'length ' || (length(w) % 7) AS aspect, w AS trigger
+            FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
+                (VALUES ('en'), ('fr'), ('de'), ('es')) c(category) WHERE length(w) >= 5),
+        cut AS (SELECT doc_id, lang, unnest(string_split_regex(text, '[.!?]+')) AS t FROM documents),
+        sentence AS (
+            SELECT doc_id, lang, row_number() OVER () AS s, lower(t) AS t FROM cut WHERE trim(t, {_WHITESPACE}) <> '')
+        SELECT doc_id, aspect, count(*) AS mentions FROM (
+            SELECT DISTINCT doc_id, s, aspect FROM sentence JOIN trig ON category = lang AND contains(t, trigger))
+        GROUP BY ALL""",
+    "holt_scan": ORACLES["holt_state"],
+}
+
 #: Queries whose rows depend on how the data lies; the tests check what must hold of them.
 WITHOUT_SQL = {"segment_work", "neighbour_work", "quantized_neighbours"}

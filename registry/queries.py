@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
-from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, quantized, ranking, vectors
+from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, quantized, ranking, trend, triggers, vectors
 from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
@@ -717,3 +718,47 @@ def quantized_recall(spark, sf):
     """The index against all rows: whether nine of ten true neighbours were found."""
     found, exact = _quantized(spark, sf)
     return quantized.recall(found, exact).select("n_queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
+# --- places in a whole order -------------------------------------------------------------------
+
+
+@query
+def category_positions(spark, sf):
+    """The products of a category page with their place under each sort."""
+    kept = browse.filter_products(browse.in_category(views.products(spark, sf), "standard"), min_rating=2.5).select("id", "price", "rating")
+    modes = [browse.positions(kept, mode).withColumn("sort", F.lit(mode)) for mode in ("rating", "price-asc", "price-desc")]
+    return reduce(DataFrame.unionByName, modes).select("sort", "position", "id", "price", r9("rating").alias("rating"))
+
+
+@query
+def search_positions(spark, sf):
+    """Ranked rows filtered for display, with their place under each sort and the rank they had."""
+    shown = browse.filter_products(_ranked_products(spark, sf), min_rating=2.9, max_price=2500.0).select("qid", "id", "rank", "price", "rating")
+    modes = [browse.positions(shown, mode, "qid").withColumn("sort", F.lit(mode)) for mode in browse.SORTS]
+    return reduce(DataFrame.unionByName, modes).select("sort", "position", "qid", "id", "rank")
+
+
+@query
+def review_positions(spark, sf):
+    """All reviews in the order of their products' pages."""
+    found = reviews.review_positions(views.reviews(spark, sf))
+    return found.select("position", "id", "product_id", "helpful_votes")
+
+
+# --- large tables of triggers, long series -----------------------------------------------------
+
+
+@query
+def trigger_mentions(spark, sf):
+    """Sentences of each document that mention an aspect, by a trigger for every longer word of the benchmark."""
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("text").alias("body"))
+    found = triggers.mentions(docs, views.trigger_table(spark, sf))
+    return found.groupBy(F.col("id").alias("doc_id"), "aspect").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query
+def holt_scan(spark, sf):
+    """Level and trend of ``holt_state``, from composed days."""
+    state = trend.holt_scan(trend.daily_demand(views.inventory_history(spark, sf)))
+    return state.select("product_id", r6("level").alias("level"), r6("trend").alias("trend"))

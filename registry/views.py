@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import Lexicon
+from shelfwise.functions.text import Lexicon, search_tokens
 from shelfwise.sources.shared import write_shared
 from shelfwise.sources.tables import spread
 
@@ -269,3 +269,10 @@ def photo_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def nouns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOUNS, "noun string, category string")
+
+
+def trigger_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of five letters or more of ``benchmark`` as a trigger in each language, with aspects by its length."""
+    words = table(spark, sf, "benchmark").select(F.explode(search_tokens("text")).alias("trigger")).filter(F.length("trigger") >= 5).distinct()
+    aspect = F.concat(F.lit("length "), (F.length("trigger") % 7).cast("string"))
+    return words.select(F.explode(F.array(*[F.lit(c) for c in ("en", "fr", "de", "es")])).alias("category"), aspect.alias("aspect"), "trigger")

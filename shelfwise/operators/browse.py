@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import slugify
+from shelfwise.operators.positions import number_rows
 
 SORTS = {
     "relevance": [F.asc, "rank"],
@@ -65,6 +66,12 @@ def sort_products(products: DataFrame, sort: str) -> DataFrame:
     return products.orderBy(direction(column), "id")
 
 
+def positions(products: DataFrame, sort: str, *more_keys: str) -> DataFrame:
+    """Products with their ``position`` in a sort, from 1. ``more_keys`` end ties of rows that share an id."""
+    direction, column = SORTS[sort]
+    return number_rows(products, [direction(column), F.asc("id"), *[F.asc(k) for k in more_keys]])
+
+
 def top_by(products: DataFrame, score: Column, limit: int) -> DataFrame:
     return products.orderBy(score.desc(), "id").limit(limit)
 

@@ -11,6 +11,7 @@ from shelfwise import fixed_values as fixed
 from shelfwise.functions.rounding import round_exact
 from shelfwise.functions.scores import polarity_class, weighted_sum
 from shelfwise.functions.text import Lexicon, aspect_opinions, generic_text_score, sentiment
+from shelfwise.operators.positions import number_rows
 from shelfwise.sources.shared import broadcast_if_small, write_shared
 
 DIGEST_BITS = 256
@@ -210,3 +211,8 @@ def product_reviews(reviews: DataFrame, analysis: DataFrame, product_id=None) ->
         F.col("review_id").alias("id"), "sentiment_score", "aspects", "fake_score", "likely_fake"
     )
     return wanted.join(scores, "id", "left").orderBy("product_id", F.desc("helpful_votes"), "id")
+
+
+def review_positions(reviews: DataFrame) -> DataFrame:
+    """Reviews with their ``position`` in the order of ``product_reviews`` over all products."""
+    return number_rows(reviews, [F.asc("product_id"), F.desc("helpful_votes"), F.asc("id")])
