@@ -7,8 +7,10 @@ score of a document is computed where the document lies, and no posting list is
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from shelfwise.functions.text import bind, search_tokens, term_counts
 from shelfwise.operators.vectors import RANK_DIGITS
 from shelfwise.sources.shared import write_shared
 
+#: Texts counted at a time.
+COUNTED_ROWS = 1_024
+
 
 def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) -> DataFrame:
     """``docs(id, text)`` to ``(id, length, terms)``. ``only_terms`` keeps just the terms asked for; the
@@ -35,6 +40,33 @@ def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) ->
     return docs.select("id", entry.alias("entry")).select("id", "entry.length", "entry.terms")
 
 
+def count_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``index_documents`` for a whole corpus, counted in Arrow batches.
+
+    Counting all words of long texts takes a hash table a text; array expressions have to sort the words.
+    """
+    token = re.compile(fixed.SEARCH_TOKEN_PATTERN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(at, COUNTED_ROWS)
+                lengths, sizes, terms, counts = [], [0], [], []
+                for text in part.column("text").to_pylist():
+                    found = token.findall(text.lower()) if text else []
+                    held = Counter(found)
+                    lengths.append(len(found))
+                    sizes.append(sizes[-1] + len(held))
+                    terms.extend(held)
+                    counts.extend(held.values())
+                entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lengths, pa.int32()), lists], ["id", "length", "terms"])
+
+    shape = f"id {dict(docs.dtypes)['id']}, length int, terms array<struct<term:string,tf:int>>"
+    return docs.select("id", "text").mapInArrow(run, shape)
+
+
 def postings(indexed: DataFrame) -> DataFrame:
     """One row per document and distinct term.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import search_tokens
 from shelfwise.operators import blocks as arrow
-from shelfwise.operators.bm25 import idf, index_documents
+from shelfwise.operators.bm25 import count_documents, idf
 from shelfwise.operators.vectors import RANK_DIGITS, top_per_query
 from shelfwise.sources.shared import broadcast_if_small, write_shared
 
@@ -76,7 +76,7 @@ class SegmentIndex:
     def insert(self, docs: DataFrame) -> None:
         """Add ``docs(id, text)``; an id that is there already is replaced. Ids are distinct in ``docs``."""
         state = self.state()
-        name = self._write_segment(index_documents(docs))
+        name = self._write_segment(count_documents(docs))
         buried = self._bury(state, self._docs([name]).select("id")) if state.segments else None
         self._commit(state, "insert", added=[name], tombstones=buried)
 

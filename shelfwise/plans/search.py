@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.scores import keyword_share
 from shelfwise.operators import blocks
-from shelfwise.operators.bm25 import corpus_totals, index_documents, query_terms
+from shelfwise.operators.bm25 import corpus_totals, count_documents, query_terms
 from shelfwise.operators.vectors import RANK_DIGITS, top_per_query
 from shelfwise.sources.shared import write_shared
 
@@ -34,7 +34,7 @@ def build_index(docs: DataFrame, vectors: DataFrame | None = None, path: str | N
     With ``vectors(id, vector)`` the corpus is what both sides know, matched by id. At a ``path`` the index stays
     for later sessions (``open_index``); without one it lies in the shared folder of this one.
     """
-    indexed = index_documents(docs)
+    indexed = count_documents(docs)
     if vectors is not None:
         indexed = indexed.join(vectors.select("id", "vector").where("vector is not null"), "id")
     if path is None:
@@ -64,8 +64,11 @@ class _QueryBlock:
         codes = pc.dictionary_encode(entries.field("term"))
         self.vocabulary = codes.dictionary
         self.code = codes.indices.to_numpy(zero_copy_only=False)
-        self.weight = entries.field("idf").to_numpy(zero_copy_only=False) * (k1 + 1)
-        self.with_terms, self.first_entry = np.unique(query, return_index=True)
+        # the entries by code: which queries ask for a term, and with what weight
+        order = np.argsort(self.code, kind="stable")
+        self.asking, self.weight = query[order], (entries.field("idf").to_numpy(zero_copy_only=False) * (k1 + 1))[order]
+        self.many = np.bincount(self.code, minlength=len(self.vocabulary))
+        self.first = np.cumsum(self.many) - self.many
         has_vectors = "vector" in queries.column_names
         self.vectors = blocks.vector_matrix(queries["vector"]) if has_vectors else None
         self.width = max(len(self.qids), len(self.code))
@@ -79,13 +82,13 @@ class _QueryBlock:
         tf = entries.field("tf").to_numpy(zero_copy_only=False)[known]
         length = batch.column("length").to_numpy(zero_copy_only=False)
         norm = self.k1 * (1 - self.b + self.b * length / self.avg_length)
-        saturated = np.zeros((len(self.vocabulary), batch.num_rows))
-        saturated[code, row] = tf / (tf + norm[row])
-        scores = np.zeros((len(self.qids), batch.num_rows))
-        if len(self.code):
-            parts = saturated[self.code] * self.weight[:, None]
-            scores[self.with_terms] = np.add.reduceat(parts, self.first_entry, axis=0)
-        return scores
+        # one number for each query that asks for a term and each row that holds it, added up by query and row
+        many = self.many[code]
+        entry = np.repeat(self.first[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        part = np.repeat(tf / (tf + norm[row]), many) * self.weight[entry]
+        place = self.asking[entry] * batch.num_rows + np.repeat(row, many)
+        added = np.bincount(place, part, len(self.qids) * batch.num_rows)  # of whole numbers, if there is nothing to add
+        return added.astype(float, copy=False).reshape(len(self.qids), batch.num_rows)
 
     def cosine(self, batch: pa.RecordBatch) -> np.ndarray:
         return self.vectors @ blocks.vector_matrix(batch.column("vector")).T

@@ -249,3 +249,13 @@ def test_cells_are_bounded_in_bytes(spark):
     cells = search.bm25_batch(index, queries, limit=4, max_queries=2, max_cell_queries=4, max_cell_bytes=2_000).collect()
     assert sorted(shipped) == sorted(cells) and len(cells) == 36
     assert blocks.measure(index)[1] > 30 * 90 * blocks.ENTRY_BYTES / 2
+
+
+def test_counted_in_batches_as_in_the_row(spark):
+    texts = [(1, "Red lamp, red LAMP red"), (2, None), (3, ""), (4, "?! "), (5, "\u212aelvin \u0130x \u00c9t\u00e9 7"), (6, "a " * 5_000 + "b")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    rows = [
+        sorted((r["id"], r["length"], tuple(sorted((t["term"], t["tf"]) for t in r["terms"]))) for r in frame.collect())
+        for frame in (bm25.index_documents(docs), bm25.count_documents(docs))
+    ]
+    assert rows[0] == rows[1]

@@ -111,7 +111,7 @@ def test_bounds_hold_when_the_mean_length_changes(spark, tmp_path, small_ranges)
 def test_a_segment_without_a_commit_is_not_read(spark, tmp_path):
     docs = corpus(8, 0, 30)
     index = SegmentIndex.create(spark, str(tmp_path / "index"), frame(spark, docs))
-    index._write_segment(segments.index_documents(frame(spark, corpus(9, 100, 10))))
+    index._write_segment(segments.count_documents(frame(spark, corpus(9, 100, 10))))
     assert index.totals().first()["n_docs"] == 30
     check(index, docs, spark)
 
