@@ -6,17 +6,18 @@ towards. Of each vector two numbers are kept: its length ``along`` the pivot, an
 cell and ``along``, the vectors are numbered and cut into shelves, which tasks read, and within them into blocks of one
 cell; a shelf's and a block's extremes bound the score of everything in them.
 
-**Search.** A query first visits the shelf with the highest bound. Its k-th best score there is a threshold; of the other
-shelves only those whose bound reaches it are visited. Within a shelf blocks come best first, and the threshold rises
-from block to block, so most are skipped where the vectors lie in clusters. Where they don't (uniform directions in many
-dimensions) nothing can be skipped, and a task multiplies matrices as ``vectors.nearest`` does. Scores and ties are those of
-``vectors.nearest``.
+**Search.** A query visits the shelf with the highest bound, then the second, then two, four, ... more in the order of
+their bounds, as long as those reach its k-th best score so far. So the rows that come back grow with the logarithm of the
+number of shelves. Within a shelf blocks come best first, and the threshold rises from block to block, so most are
+skipped where the vectors lie in clusters. Where they don't (uniform directions in many dimensions) nothing can be
+skipped, and a task multiplies matrices as ``vectors.nearest`` does. Scores and ties are those of ``vectors.nearest``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,24 +127,22 @@ def nearest(
         q_along, q_across = _query_parts(matrix, pivots)
         return np.maximum.reduceat(_bounds(q_along[:, cell], q_across[:, cell], low, high, across), starts, axis=1)
 
-    def first_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.row_blocks([batch], len(cell)):
-                best = numbers[shelf_bounds(blocks.vector_matrix(part.column("vector"))).argmax(axis=1)]
-                lowest = pa.array(np.full(part.num_rows, -np.inf))
-                yield pa.RecordBatch.from_arrays([part.column("qid"), part.column("vector"), lowest, pa.array(best)], ["qid", "vector", "threshold", "shelf"])
-
-    def other_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks.row_blocks([batch], len(cell)):
-                bounds = shelf_bounds(blocks.vector_matrix(part.column("vector")))
-                threshold = part.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                query, at = np.nonzero((bounds >= threshold[:, None]) & (numbers[None, :] != part.column("shelf").to_numpy()[:, None]))
-                rows = pa.array(query)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("qid").take(rows), part.column("vector").take(rows), pa.array(threshold[query]), pa.array(numbers[at])],
-                    ["qid", "vector", "threshold", "shelf"],
-                )
+    def visits_of(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The shelves of the places ``first`` to ``last`` in the order of their bounds, as far as those reach the threshold."""
+            for batch in batches:
+                for part in blocks.row_blocks([batch], len(cell)):
+                    bounds = shelf_bounds(blocks.vector_matrix(part.column("vector")))
+                    order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
+                    threshold = part.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    query, place = np.nonzero(np.take_along_axis(bounds, order, axis=1) >= threshold[:, None])
+                    rows = pa.array(query)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("qid").take(rows), part.column("vector").take(rows), pa.array(threshold[query]), pa.array(numbers[order[query, place]])],
+                        ["qid", "vector", "threshold", "shelf"],
+                    )
+
+        return run
 
     visit = f"qid {qid_type}, vector {vector_type}, threshold double, shelf long"
 
@@ -158,14 +157,26 @@ def nearest(
         return both.applyInArrow(lambda held, wanted: _score_shelf(held, wanted, pivots, limit, exclude_self, empty), shape)
 
     empty = targets.sparkSession.createDataFrame([], shape).toArrow()
-    first = write_shared(targets.mapInArrow(first_visits, visit), "visits")
-    found = write_shared(score(first), "found")
-    threshold = top_per_query(found, "score", limit).groupBy("qid").agg(F.min("score").alias("threshold"), F.count(F.lit(1)).alias("n"))
-    known = first.drop("threshold").join(threshold.filter(F.col("n") >= limit).drop("n"), "qid", "left")
-    others = write_shared(known.select("qid", "vector", "threshold", "shelf").mapInArrow(other_visits, visit), "visits")
-    both = found.unionByName(write_shared(score(others), "found"))
-    work = both.groupBy("qid", "shelf").agg(F.max("pairs").alias("pairs")).groupBy("qid").agg(F.sum("pairs").alias("pairs"))
-    return top_per_query(both.filter("id is not null").select("qid", "id", "score"), "score", limit), work
+    targets = write_shared(targets, "targets")
+    best, works, first, last = targets.sparkSession.createDataFrame([], shape).select("qid", "id", "score"), [], 0, 1
+    open_ = targets.withColumn("threshold", F.lit(None).cast("double"))
+    while first < len(numbers):
+        visits = write_shared(open_.mapInArrow(visits_of(first, last), visit), "visits")
+        if visits.isEmpty():
+            break  # bounds fall from place to place
+        found = write_shared(score(visits), "found")
+        works.append(found.groupBy("qid", "shelf").agg(F.max("pairs").alias("pairs")))
+        both = best.unionByName(found.filter("id is not null").select("qid", "id", "score"))
+        best = write_shared(top_per_query(both, "score", limit).drop("rank"), "best")
+        threshold = best.groupBy("qid").agg(F.min("score").alias("threshold"), F.count(F.lit(1)).alias("n"))
+        threshold = threshold.filter(F.col("n") >= limit).drop("n")
+        # a query that this round had nothing to visit for is done
+        open_ = targets.join(visits.select("qid").distinct(), "qid", "left_semi").join(threshold, "qid", "left")
+        first, last = last, 2 * last
+    if not works:
+        return top_per_query(best, "score", limit), best.select("qid", F.lit(0).cast("long").alias("pairs")).limit(0)
+    work = reduce(DataFrame.unionByName, works).groupBy("qid").agg(F.sum("pairs").alias("pairs"))
+    return top_per_query(best, "score", limit), work
 
 
 def _score_shelf(held: pa.Table, wanted: pa.Table, pivots: np.ndarray, limit: int, exclude_self: bool, empty: pa.Table) -> pa.Table:

@@ -14,6 +14,7 @@ from shelfwise.functions.scores import (
     velocity_indicator,
     weighted_sum,
 )
+from shelfwise.sources.shared import write_shared
 
 BUCKET_WINDOWS = 4
 
@@ -107,6 +108,11 @@ def fraud_report(transactions: DataFrame, scores: DataFrame, limit: int = fixed.
     """The transactions with the highest scores; one without a score counts as 0."""
     order = [F.coalesce("fraud_score", F.lit(0.0)).desc(), F.asc("id")]
     named = scores.select(F.col("transaction_id").alias("id"), "fraud_score", "likely_fraud")
+    # scores above 0 come before everything without a score: the report needs no other join if they fill it
+    first = write_shared(named.filter("fraud_score > 0").orderBy(*order).limit(limit), "top_scores")
+    found = write_shared(transactions.join(F.broadcast(first), "id").orderBy(*order).limit(limit), "report")
+    if found.count() == limit:
+        return found.orderBy(*order)
     # ranked on two columns; the others are fetched for the ``limit`` rows of the report alone
     top = transactions.select("id").join(named, "id", "left").orderBy(*order).limit(limit)
     return transactions.join(F.broadcast(top), "id").orderBy(*order)

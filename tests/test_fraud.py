@@ -85,6 +85,14 @@ def test_report_counts_a_missing_score_as_zero(spark):
     assert [r["id"] for r in fraud.fraud_report(rows, scores, 2).collect()] == ["t1", "t0"]
 
 
+def test_report_filled_by_scores_alone(spark):
+    rows = spark.createDataFrame([transaction(i) for i in range(5)], SCHEMA)
+    scores = [("t4", 0.9, True), ("t1", 0.4, False), ("t3", 0.4, False), ("gone", 0.95, True), ("t0", None, None)]
+    scores = spark.createDataFrame(scores, "transaction_id string, fraud_score double, likely_fraud boolean")
+    for limit, expected in ((2, ["t4", "t1"]), (3, ["t4", "t1", "t3"]), (5, ["t4", "t1", "t3", "t0", "t2"])):
+        assert [r["id"] for r in fraud.fraud_report(rows, scores, limit).collect()] == expected
+
+
 def test_published_shape(spark):
     table = fraud.fraud_scores_table(fraud.score_fraud(spark.createDataFrame([transaction(0)], SCHEMA)))
     row = table.first().asDict(recursive=True)
