@@ -867,6 +867,12 @@ ORACLES |= {
             SELECT DISTINCT doc_id, s, aspect FROM sentence JOIN trig ON category = lang AND contains(t, trigger))
         GROUP BY ALL""",
     "holt_scan": ORACLES["holt_state"],
+    "facet_selections": sql(
+        """SELECT s.facet || '=' || s.value AS selection, f.facet, f.value, count(*) AS n
+        FROM valued s JOIN valued f USING (id) GROUP BY ALL""",
+        ("valued", "SELECT id, 'brand' AS facet, brand AS value FROM products UNION ALL SELECT id, 'material', material FROM products"),
+        needs="products",
+    ),
 }
 
 #: Queries whose rows depend on how the data lies; the tests check what must hold of them.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
-from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, photos, quantized, ranking, trend, triggers, vectors
+from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, facet_index, photos, quantized, ranking, trend, triggers, vectors
 from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
@@ -762,3 +762,11 @@ def holt_scan(spark, sf):
     """Level and trend of ``holt_state``, from composed days."""
     state = trend.holt_scan(trend.daily_demand(views.inventory_history(spark, sf)))
     return state.select("product_id", r6("level").alias("level"), r6("trend").alias("trend"))
+
+
+@query
+def facet_selections(spark, sf):
+    """The facets of the current list for every single selection of a brand or a material."""
+    index = facet_index.build_facet_index(views.products(spark, sf))
+    chosen = index.bitmaps.select(F.concat_ws("=", "facet", "value").alias("selection"), "facet", "value").distinct()
+    return facet_index.facets_of(index, chosen)
