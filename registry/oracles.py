@@ -867,6 +867,15 @@ ORACLES |= {
             SELECT DISTINCT doc_id, s, aspect FROM sentence JOIN trig ON category = lang AND contains(t, trigger))
         GROUP BY ALL""",
     "holt_scan": ORACLES["holt_state"],
+    "name_containment": sql(
+        "SELECT noun, id FROM products JOIN names ON cat = category AND contains(title, noun)",
+        (
+            "names",
+            """SELECT DISTINCT noun, category AS cat FROM (
+            SELECT title AS noun, category FROM products UNION ALL SELECT unnest(string_split(title, ' ')), category FROM products)""",
+        ),
+        needs="products",
+    ),
     "facet_selections": sql(
         """SELECT s.facet || '=' || s.value AS selection, f.facet, f.value, count(*) AS n
         FROM valued s JOIN valued f USING (id) GROUP BY ALL""",

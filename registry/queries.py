@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import views
 from shelfwise import fixed_values as fixed
 from shelfwise.functions import text
-from shelfwise.operators import bm25, browse, cart, cells, embed, evaluate, facet_index, photos, quantized, ranking, trend, triggers, vectors
+from shelfwise.operators import bm25, browse, cart, cells, containment, embed, evaluate, facet_index, photos, quantized, ranking, trend, triggers, vectors
 from shelfwise.operators.segments import SegmentIndex
 from shelfwise.plans import fraud, inventory, pricing, reviews, search
 from shelfwise.sources import tables
@@ -770,3 +770,12 @@ def facet_selections(spark, sf):
     index = facet_index.build_facet_index(views.products(spark, sf))
     chosen = index.bitmaps.select(F.concat_ws("=", "facet", "value").alias("selection"), "facet", "value").distinct()
     return facet_index.facets_of(index, chosen)
+
+
+@query
+def name_containment(spark, sf):
+    """Products whose title contains a name, or a word of a name, that some product of the category has."""
+    products = views.products(spark, sf)
+    phrases = F.array_union(F.array("title"), F.split("title", " "))
+    names = products.select(F.explode(phrases).alias("noun"), "category").distinct()
+    return containment.products_of_nouns(names, products)
