@@ -40,17 +40,11 @@ def _constants(count: int) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 
 
-def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INNER, places: int = PLACES) -> DataFrame:
-    """``keep`` columns, ``position`` (bytes from 0) and ``anchor`` hash of the binary column ``data``."""
+def _candidates(df: DataFrame, keep: list[str], data: str, inner: int, places: int) -> DataFrame:
+    """``keep`` columns, ``position``, ``anchor`` and ``sure``: all anchors, and of a text with too few k-mers to be sure of
+    one also the other k-mers."""
     size = inner + places - 1
-    # of a text with too few k-mers to be sure of an anchor the places are chosen before they are spread
-    few = f"length({data}) between {size} and {size + places - 3}"
-    hashes = ", ".join(f"xxhash64(substring({data}, p + {1 + j}, {inner}))" for j in range(places))
-    own = f"element_at(h, 1) = array_min(h) or element_at(h, {places}) = array_min(h)"
-    edges = f"filter(sequence(0, length({data}) - {size}), p -> exists(array(array({hashes})), h -> {own}))"
-    least = f"array_min(transform(sequence(0, length({data}) - {size}), p -> struct(xxhash64(substring({data}, p + 1, {size})) as hash, p as at))).at"
-    chosen = f"case when size({edges}) > 0 then {edges} else array({least}) end"
-    at = F.expr(f"case when {few} then {chosen} else sequence(0, greatest(0, length({data}) - {size})) end")
+    at = F.expr(f"sequence(0, greatest(0, length({data}) - {size}))")
     spread = df.filter(F.length(data) > 0).select(*keep, data, F.explode(at).alias("position"))
     part = lambda by, n: f"xxhash64(substring({data}, position + {1 + by}, {n}))"
     # the task's number is only there to keep the filter above the hashes, which it would else compute twice over
@@ -60,8 +54,20 @@ def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INN
     )
     least = F.least(*[f"h{j}" for j in range(places)])
     short = F.length(data) < size
-    edge = short | F.expr(few) | (F.col("h0") == least) | (F.col(f"h{places - 1}") == least)
-    return hashed.filter(edge & (F.col("task") >= 0)).select(*keep, "position", F.expr(part(0, size)).alias("anchor"))
+    edge = short | (F.col("h0") == least) | (F.col(f"h{places - 1}") == least)
+    few = F.length(data) < size + places - 2
+    return hashed.filter((edge | few) & (F.col("task") >= 0)).select(*keep, "position", F.expr(part(0, size)).alias("anchor"), edge.alias("sure"))
+
+
+def anchors(df: DataFrame, keep: list[str], data: str = "data", inner: int = INNER, places: int = PLACES) -> DataFrame:
+    """``keep`` columns, ``position`` (bytes from 0) and ``anchor`` hash of the binary column ``data``.
+
+    ``keep`` tells the texts apart.
+    """
+    found = _candidates(df, keep, data, inner, places)
+    least = F.min(F.struct("anchor", "position")).alias("least")
+    bare = found.groupBy(*keep).agg(least, F.bool_or("sure").alias("sure")).filter("not sure").select(*keep, "least.position", "least.anchor")
+    return found.filter("sure").select(*keep, "position", "anchor").unionByName(bare)
 
 
 def _ordered() -> list[Column]:
@@ -135,15 +141,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     forms = forms.select(*key, "form", F.col("held").cast("binary").alias("data"))
     minima = [F.min(F.col("anchor").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants(COORDINATES))]
     kept = [F.col(f"m{j}").bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("int") for j in range(COORDINATES)]
-    sketched = anchors(forms, [*key, "form"]).groupBy(*key, "form").agg(*minima)
-    sketched = sketched.select(*key, "form", F.array(*kept).alias("marks"))
+    own_key = [*key, "form"]
+    sketched = _candidates(forms, own_key, "data", INNER, PLACES).groupBy(*own_key, "sure").agg(*minima, F.min("anchor").alias("least"))
+    lone = [F.col("least").bitwiseXOR(F.lit(c)).bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("int") for c in _constants(COORDINATES)]
+    sketched = sketched.select(*own_key, "sure", F.when(F.col("sure"), F.array(*kept)).otherwise(F.array(*lone)).alias("marks"))
     # every document has a row of facts, also one without an anchor
     named = both.select(*key, "doc_id", "tie", "n_chars", F.sha2(F.get("forms", F.lit(1)), 256).alias("edited_sha256"))
     no_marks = F.array().cast("array<int>")
     paired = sketched.unionByName(named, allowMissingColumns=True).groupBy(*key).agg(
         *[F.max(c).alias(c) for c in facts],
         *[
-            F.coalesce(F.max(F.when(F.col("form") == form, F.col("marks"))), no_marks).alias(name)
+            F.coalesce(*[F.max(F.when((F.col("form") == form) & sure, F.col("marks"))) for sure in (F.col("sure"), ~F.col("sure"))], no_marks).alias(name)
             for form, name in enumerate(("marks", "edited_marks"))
         ],
     )
