@@ -884,5 +884,13 @@ ORACLES |= {
     ),
 }
 
+ORACLES |= {
+    "kept_manifest": f"""SELECT count(*) AS num_documents, count(DISTINCT lang) AS num_languages,
+        '{{"limit": {fixed.DEFAULT_LIMIT}}}' AS parameters, true AS other_is_absent FROM documents""",
+    "blank_queries": f"SELECT qid, doc_id, rank, fused FROM ({ORACLES['hybrid_search']}) WHERE qid % 2 = 0",
+    "sorted_export": f"""SELECT product_id, current_stock, row_number() OVER (ORDER BY product_id) AS position
+        FROM ({ORACLES['inventory_forecast']})""",
+}
+
 #: Queries whose rows depend on how the data lies; the tests check what must hold of them.
 WITHOUT_SQL = {"segment_work", "neighbour_work", "quantized_neighbours"}

@@ -779,3 +779,36 @@ def name_containment(spark, sf):
     phrases = F.array_union(F.array("title"), F.split("title", " "))
     names = products.select(F.explode(phrases).alias("noun"), "category").distinct()
     return containment.products_of_nouns(names, products)
+
+
+# --- optional files, blank queries, sorted exports ---------------------------------------------
+
+
+@query
+def kept_manifest(spark, sf):
+    """A manifest written and read back, and one that was never written."""
+    folder = shared_folder(spark)
+    counts = views.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("num_documents"), F.count_distinct("lang").alias("num_languages"))
+    tables.write_table(tables.run_manifest(counts, {"limit": fixed.DEFAULT_LIMIT}), f"{folder}/manifest", "json")
+    absent = tables.read_manifest(spark, f"{folder}/other_manifest") is None
+    found = tables.read_manifest(spark, f"{folder}/manifest")
+    return found.select("num_documents", "num_languages", "parameters", F.lit(absent).alias("other_is_absent"))
+
+
+@query
+def blank_queries(spark, sf):
+    """``hybrid_search`` where every second query text was replaced by white space: those give no rows."""
+    known = views.vectors(spark, sf)
+    index = search.build_index(views.documents(spark, sf), known)
+    asked = views.search_queries(spark, sf).join(known.withColumnRenamed("id", "qid"), "qid")
+    asked = asked.withColumn("text", F.when(F.col("qid") % 2 == 1, F.lit(" \n\t")).otherwise(F.col("text")))
+    found = search.hybrid_search(index, asked, fixed.DEFAULT_LIMIT)
+    return found.select("qid", F.col("id").alias("doc_id"), "rank", r9("fused").alias("fused"))
+
+
+@query
+def sorted_export(spark, sf):
+    """Forecasts exported by product and read back, with the place of each row in the files."""
+    path = f"{shared_folder(spark)}/forecasts"
+    tables.write_table(_forecasts(spark, sf).select("product_id", "current_stock"), path, order_by="product_id")
+    return tables.file_positions(spark, path)

@@ -7,7 +7,7 @@ import platform
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.sources.schemas import ATTRIBUTION_MAP, SCHEMAS
@@ -90,6 +90,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", order_by: str |
     writer.json(path) if fmt == "json" else writer.parquet(path)
 
 
+def file_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a sorted Parquet export with their ``position`` in it, from 1: by the files' names, then by their rows."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each file
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_row") + 1)
+    return placed.drop("_file", "_row", "_start")
+
+
 def run_manifest(counts: DataFrame, parameters: Mapping[str, object], started_at: datetime | None = None) -> DataFrame:
     """One row that describes a run: the figures of the one-row frame ``counts``, the parameters, the time.
 
