@@ -15,8 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` as ``id, component``: each node with an edge, and the smallest node it reaches.
 
     Each round points the larger neighbours of a node, then the smaller ones, to its smallest neighbour. Both are a
-    minimum by node (with a partial step before the shuffle) joined back to the edges, so a node with very many
-    edges is never gathered. Rounds are cut by written tables; the loop ends when every edge leads from a node of
+    minimum by node (with a partial step before the shuffle) joined back to the edges. The join has one row a node on one
+    side, so that adaptive execution can split a node with very many edges on the other. Rounds are cut by written tables; the loop ends when every edge leads from a node of
     one edge to a node that is nobody's child. Loops and null ends are dropped.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -1,8 +1,9 @@
 """Links between near-duplicate sets: buckets of equal signature bands, exact Jaccard, components.
 
-The work never grows with the square of a bucket. Members of a bucket are compared with its smallest member first;
-what that links becomes one component. Only members of one bucket that are then in different components are paired,
-and of those only pairs whose 128-bit sketches agree as far as linked sets do (small sets are compared without). Every link rests on the full sets.
+Members of a bucket are compared with its smallest member first; what that links becomes one component. Only members of
+one bucket that are then in different components are paired, and of those only pairs whose 128-bit sketches agree as far as
+linked sets do (small sets are compared without). So copies cost no pairs; the last step still grows with the square of
+the members that share a bucket without being linked. Every link rests on the full sets.
 """
 
 from __future__ import annotations
