@@ -892,5 +892,38 @@ ORACLES |= {
         FROM ({ORACLES['inventory_forecast']})""",
 }
 
+_CHAIN_PHRASE = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in views.CHAIN_PHRASES.items())
+ORACLES["photo_pipeline"] = sql(
+    """SELECT CAST(id AS VARCHAR) AS product_id, noun, title AS commons_title, url AS source_url, 'page ' || position AS artist, license,
+        replace(extension[2:], 'jpeg', 'jpg') AS extension
+    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY noun DESC) AS last
+        FROM products p JOIN chosen c ON c.cat = p.category AND contains(p.title, c.noun)) named(
+            id, product_title, description, category, brand, material, price, rating, rating_count, created_at,
+            noun, cat, position, title, url, license, extension, last)
+    WHERE last = 1""",
+    (
+        "candidate",
+        f"""SELECT noun, cat, page_id AS position, 'File:' || regexp_extract(html, '<title>([^<]*)</title>', 1)
+            || [{listed(views.CHAIN_SUFFIXES)}][page_id % 5 + 1] AS title, url,
+        [{listed(views.CHAIN_LICENSES)}][page_id % 4 + 1] AS license,
+        lower(title || ' ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS body,
+        lower(regexp_extract(title, '(?s)(?:^|/)[^/]+(\\.[^./]+)$', 1)) AS extension,
+        CASE noun {_CHAIN_PHRASE} ELSE noun END AS phrase FROM pages, {NOUN_ROWS} AS n(noun, cat)""",
+    ),
+    (
+        "checked",
+        PHOTO_STEPS[1][1]
+        .replace("extension IN ('.html', 'none')", f"extension IN ({listed(fixed.PHOTO_EXTENSIONS)})")
+        .replace("lambda w: w <> 'the'", f"lambda w: w NOT IN ({listed(fixed.PHOTO_STOPWORDS)})")
+        .replace(listed(views.PHOTO_REJECTED), listed([f"File:{t}.png" for t in views.PHOTO_REJECTED])),
+    ),
+    (
+        "chosen",
+        """SELECT noun, cat, position, title, url, license, extension FROM (
+            SELECT *, row_number() OVER (PARTITION BY noun ORDER BY position) AS place FROM checked WHERE accepted) WHERE place = 1""",
+    ),
+    needs="products",
+)
+
 #: Queries whose rows depend on how the data lies; the tests check what must hold of them.
 WITHOUT_SQL = {"segment_work", "neighbour_work", "quantized_neighbours"}

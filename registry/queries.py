@@ -812,3 +812,21 @@ def sorted_export(spark, sf):
     path = f"{shared_folder(spark)}/forecasts"
     tables.write_table(_forecasts(spark, sf).select("product_id", "current_stock"), path, order_by="product_id")
     return tables.file_positions(spark, path)
+
+
+@query
+def photo_pipeline(spark, sf):
+    """The whole photo chain: answers of a search, checks, choice, products, the published file, and a credit for each product."""
+    entries = photos.photo_entries(
+        views.nouns(spark),
+        views.chain_responses(spark, sf),
+        views.products(spark, sf),
+        overrides=views.CHAIN_PHRASES,
+        rejected=[f"File:{t}.png" for t in views.PHOTO_REJECTED],
+        keywords=views.PHOTO_KEYWORDS,
+    )
+    path = f"{shared_folder(spark)}/attribution"
+    tables.write_attribution(entries, path)
+    # in a file entries follow their nouns, and the last one that names a product counts
+    read = tables.read_attribution(spark, path).withColumn("position", F.col("noun"))
+    return photos.invert_attribution(read).select("product_id", "noun", "commons_title", "source_url", "artist", "license", "extension")

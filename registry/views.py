@@ -271,6 +271,33 @@ def nouns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOUNS, "noun string, category string")
 
 
+#: What is searched for the product nouns, and the suffixes that titles of found photos get.
+CHAIN_PHRASES = {"ring": "the and", "widget": "of the", "red plate": "to", "rod": "that", "hot": "der", "bolt": "is it"}
+CHAIN_SUFFIXES = [".JPEG", ".png", ".gif", "", ".Jpg"]
+CHAIN_LICENSES = ["CC0", " cc-by ", "GFDL", "Public domain"]
+
+
+def chain_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """For each product noun, every page as the JSON object that a photo search returns."""
+    page_id, url = F.col("page_id"), F.col("url")
+
+    def picked(values: list[str]):
+        return F.get(F.array(*[F.lit(v) for v in values]), (page_id % len(values)).cast("int"))
+
+    def entry(value):
+        return F.struct(value.alias("value"))
+
+    title = F.concat(F.lit("File:"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), picked(CHAIN_SUFFIXES))
+    details = F.struct(
+        entry(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("ImageDescription"),
+        entry(picked(CHAIN_LICENSES)).alias("LicenseShortName"),
+        entry(F.concat(F.lit("<b>page</b> "), page_id)).alias("Artist"),
+    )
+    info = F.struct(url.alias("url"), url.alias("descriptionurl"), details.alias("extmetadata"))
+    found = table(spark, sf, "pages").select(page_id.alias("position"), F.to_json(F.struct(title.alias("title"), F.array(info).alias("imageinfo"))).alias("page"))
+    return found.withColumn("noun", F.explode(F.array(*[F.lit(n) for n, _ in NOUNS])))
+
+
 def trigger_table(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of five letters or more of ``benchmark`` as a trigger in each language, with aspects by its length."""
     words = table(spark, sf, "benchmark").select(F.explode(search_tokens("text")).alias("trigger")).filter(F.length("trigger") >= 5).distinct()

@@ -156,6 +156,11 @@ def match_photos(nouns: DataFrame, candidates: DataFrame, products: DataFrame, *
     return attribute_photos(nouns, products, best_candidates(with_checks(candidates, **checks)))
 
 
+def photo_entries(nouns: DataFrame, responses: DataFrame, products: DataFrame, **checks) -> DataFrame:
+    """From the answers of a photo search to the entries to publish: parse, check, choose, credit, and list the products."""
+    return nouns_with_products(match_photos(nouns, parse_pages(responses), products, **checks))
+
+
 def match_counts(nouns: DataFrame, products: DataFrame, best: DataFrame) -> DataFrame:
     """Nouns that have products: how many found a photo and how many did not."""
     present = products_of_nouns(nouns, products).select("noun").distinct()

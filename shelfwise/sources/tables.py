@@ -76,6 +76,20 @@ def read_attribution(spark: SparkSession, path: str) -> DataFrame:
     return attribution_entries(spark.read.text(path, wholetext=True))
 
 
+def write_attribution(entries: DataFrame, path: str) -> None:
+    """Entries as the keyed JSON that ``read_attribution`` reads, in the order of their nouns.
+
+    A noun has one entry in a file. Where ``nouns_with_products`` cut a noun's products into several entries, those are in
+    further files.
+    """
+    fields = ["commons_title", "source_url", "artist", "license", "license_url", "extension"]
+    entry = F.struct(*fields, F.col("product_ids").cast("array<string>").alias("product_ids")).alias("entry")
+    part = F.row_number().over(Window.partitionBy("noun").orderBy(F.get("product_ids", F.lit(0))))
+    numbered = entries.withColumn("part", part).select("part", "noun", entry)
+    documents = numbered.groupBy("part").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("noun", "entry"))))).alias("value"))
+    documents.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """The one object of a manifest file as a one-row frame, or ``None`` when there is no file."""
     if not _exists(spark, path):

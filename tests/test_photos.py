@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import embed, photos
+from shelfwise.sources import tables
 from shelfwise.sources.tables import attribution_entries
 
 SCHEMA = (
@@ -137,3 +138,12 @@ def test_pending_images(spark):
     done = spark.createDataFrame([("P1",)], "id string")
     assert [r["id"] for r in embed.pending_images(products, done).collect()] == ["P2"]
     assert embed.pending_images(products).count() == 2
+
+
+def test_published_entries_are_read_back(spark, tmp_path):
+    fields = "noun string, commons_title string, source_url string, artist string, license string, license_url string, extension string, product_ids array<long>"
+    rows = [("b", "t", "s", "a", "CC0", "", "jpg", [5, 7]), ("a", "u", "s", "a\"q", "pd", "x", "png", [1]), ("b", "t", "s", "a", "CC0", "", "jpg", [2, 3])]
+    path = str(tmp_path / "attribution")
+    tables.write_attribution(spark.createDataFrame(rows, fields), path)
+    read = [(r["position"], r["noun"], r["artist"], r["product_ids"]) for r in tables.read_attribution(spark, path).collect()]
+    assert sorted(read) == [(0, "a", "a\"q", ["1"]), (0, "b", "a", ["5", "7"]), (1, "b", "a", ["2", "3"])]
