@@ -137,11 +137,14 @@ def publish(
     destination: str,
     fmt: str = "parquet",
     optional: Iterable[str] = (),
+    formats: Mapping[str, str] | None = None,
 ) -> list[str]:
     """Copy stored tables to one place under their own names and return the names that were written.
 
-    ``sources`` maps a name to a Parquet path. All required sources are checked before the first is written.
+    ``sources`` maps a name to a path, ``formats`` a name to ``json`` where that path holds JSON lines, such as a manifest;
+    those stay JSON, the Parquet ones are written as ``fmt``. All required sources are checked before the first is written.
     """
+    formats = formats or {}
     skippable = set(optional)
     present = {name: _exists(spark, path) for name, path in sources.items()}
     missing = [name for name, found in present.items() if not found and name not in skippable]
@@ -149,5 +152,8 @@ def publish(
         raise FileNotFoundError(f"no table at {', '.join(sources[name] for name in missing)}")
     written = [name for name, found in present.items() if found]
     for name in written:
-        write_table(spark.read.parquet(sources[name]), f"{destination}/{name}", fmt)
+        if formats.get(name) == "json":
+            write_table(spark.read.json(sources[name]), f"{destination}/{name}", "json")
+        else:
+            write_table(spark.read.parquet(sources[name]), f"{destination}/{name}", fmt)
     return written

@@ -95,3 +95,14 @@ def test_shared_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared.shared_folder(spark).startswith(f"{root}/")
     assert shared.write_shared(spark.range(4), "n").count() == 4
+
+
+def test_manifests_are_published_as_json(spark, tmp_path):
+    counts = spark.createDataFrame([(3,)], "rows int")
+    tables.write_table(tables.run_manifest(counts, {"k": 1}), str(tmp_path / "manifest"), "json")
+    tables.write_table(counts, str(tmp_path / "counts"))
+    sources = {"manifest": str(tmp_path / "manifest"), "counts": str(tmp_path / "counts"), "gone": str(tmp_path / "gone")}
+    written = tables.publish(spark, sources, str(tmp_path / "out"), optional=["gone"], formats={"manifest": "json"})
+    assert sorted(written) == ["counts", "manifest"]
+    assert tables.read_manifest(spark, str(tmp_path / "out" / "manifest")).first()["rows"] == 3
+    assert spark.read.parquet(str(tmp_path / "out" / "counts")).first()["rows"] == 3
