@@ -259,3 +259,12 @@ def test_counted_in_batches_as_in_the_row(spark):
         for frame in (bm25.index_documents(docs), bm25.count_documents(docs))
     ]
     assert rows[0] == rows[1]
+
+
+def test_neighbours_in_cells_of_a_joined_table(spark, frames):
+    """Rows and queries of one join share their columns; past the shipped queries both go to one cogroup."""
+    _, known, _ = frames
+    aligned = vectors.align(known.select("id"), known)
+    cells = vectors.similar_items(aligned, limit=4, **SMALL_CELLS).collect()
+    assert sorted(cells) == sorted(vectors.similar_items(known, limit=4).collect())
+    assert len(cells) == 4 * known.count()
