@@ -14,6 +14,8 @@ from shelfwise.sources.schemas import ATTRIBUTION_MAP, SCHEMAS
 
 
 MAX_SPREAD_PARTITIONS = 64
+#: Rows that a task groups at a time.
+GROUPED_ROWS = 400_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -42,6 +44,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= min(cores, MAX_SPREAD_PARTITIONS) else df.repartition(cores, key)
 
 
+def deal(df: DataFrame, *keys: str, rows: int = GROUPED_ROWS) -> DataFrame:
+    """Rows of equal keys together, about ``rows`` in a partition, for a grouping that meets nearly as many keys as rows.
+
+    The partitions grow in number with the table, not in size; adaptive execution joins none of them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows)), *keys)
+
+
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Columnar embedding records (parallel ``ids`` and ``vectors``) as one row per item."""
     artifact = read_table(spark, "product_embeddings", path, fmt)

@@ -1,10 +1,13 @@
 import random
 import statistics
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from registry import views
 from shelfwise.plans import inventory
+from shelfwise.sources import tables
 
 MONDAY = date(2026, 1, 5)
 SCHEMA = "product_id string, date date, units_sold int, stock_level int, stockout boolean"
@@ -92,3 +95,16 @@ def test_report_order(spark):
 def test_reorder_count(spark):
     frame = spark.createDataFrame([(True,), (False,), (True,)], "needs_reorder boolean")
     assert tuple(inventory.reorder_count(frame).first()) == (3, 2)
+
+
+def test_days_are_grouped_in_partitions_by_number_of_rows(spark, tmp_path, monkeypatch):
+    """The rows of a day lie together from the start: no task's share grows with the table."""
+    lines = [(p, datetime(2024, 1, 1 + d), 1.0 + d, "R" if p == d else "N") for p in range(6) for d in range(5) for _ in range(2)]
+    folder = tmp_path / "in"
+    schema = "l_partkey long, l_shipdate timestamp, l_quantity double, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(str(folder / "lineitem.parquet"))
+    monkeypatch.setattr(tables.deal, "__kwdefaults__", {"rows": 5})
+    days = views.inventory_history(spark, str(folder)).groupBy("product_id", "date").agg(F.sum("units_sold").alias("units"))
+    assert days.rdd.getNumPartitions() == 12
+    found = {(r["product_id"], r["date"].day): r["units"] for r in days.collect()}
+    assert found == {(p, 1 + d): 2 + 2 * d for p in range(6) for d in range(5)}

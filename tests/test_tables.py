@@ -106,3 +106,11 @@ def test_manifests_are_published_as_json(spark, tmp_path):
     assert sorted(written) == ["counts", "manifest"]
     assert tables.read_manifest(spark, str(tmp_path / "out" / "manifest")).first()["rows"] == 3
     assert spark.read.parquet(str(tmp_path / "out" / "counts")).first()["rows"] == 3
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(1_000).select((F.col("id") % 50).alias("k"), "id")
+    dealt = tables.deal(rows, "k", rows=20)
+    places = dealt.withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("p").alias("n"), F.count("id").alias("rows"))
+    assert dealt.rdd.getNumPartitions() == 50
+    assert {(r["n"], r["rows"]) for r in places.collect()} == {(1, 20)}
