@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import embedding_text, image_prompt, image_seed
+from shelfwise.operators.blocks import text_slices
+
+#: Characters of the texts that the encoder gets at a time.
+ENCODED_CHARS = 500_000
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -46,18 +50,21 @@ def embed_texts(
 ) -> DataFrame:
     """``texts(id, text)`` to ``(id, vector)`` of unit length.
 
-    ``make_encoder`` runs once per task and loads the model there; the encoder then gets whole batches.
+    ``make_encoder`` runs once per task and loads the model there; the encoder then gets batches of many texts, which are
+    bounded in characters, so that its memory does not grow with the table or its texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
         for batch in batches:
-            raw = np.asarray(encode(batch["text"].fillna("").tolist()), dtype=float)
-            norm = np.linalg.norm(raw, axis=1, keepdims=True)
-            unit = raw / np.where(norm == 0, 1.0, norm)
-            if digits is not None:
-                unit = np.round(unit, digits)
-            yield pd.DataFrame({"id": batch["id"], "vector": list(unit)})
+            texts = batch["text"].fillna("").tolist()
+            for part in text_slices([len(t) for t in texts], ENCODED_CHARS):
+                raw = np.asarray(encode(texts[part]), dtype=float)
+                norm = np.linalg.norm(raw, axis=1, keepdims=True)
+                unit = raw / np.where(norm == 0, 1.0, norm)
+                if digits is not None:
+                    unit = np.round(unit, digits)
+                yield pd.DataFrame({"id": batch["id"].iloc[part], "vector": list(unit)})
 
     return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, vector array<double>")
 

@@ -268,3 +268,27 @@ def test_neighbours_in_cells_of_a_joined_table(spark, frames):
     cells = vectors.similar_items(aligned, limit=4, **SMALL_CELLS).collect()
     assert sorted(cells) == sorted(vectors.similar_items(known, limit=4).collect())
     assert len(cells) == 4 * known.count()
+
+
+def test_text_slices_are_bounded():
+    sizes = [3, 3, 9, 1, 1, 1, 1, 0]
+    parts = list(blocks.text_slices(sizes, 6, most_rows=3))
+    assert parts == [slice(0, 2), slice(2, 3), slice(3, 6), slice(6, 8)]
+    assert list(blocks.text_slices([], 6)) == []
+
+
+def test_encoder_gets_a_bounded_number_of_characters(spark):
+    """Long texts of one Arrow batch reach the encoder a few at a time."""
+
+    def make_encoder():
+        def encode(texts):
+            if sum(map(len, texts)) > 500_000:
+                raise ValueError("too many characters at a time")
+            return np.array([[float(len(t)), 1.0] for t in texts])
+
+        return encode
+
+    texts = spark.range(4, numPartitions=1).select("id", F.repeat(F.lit("ab "), 100_000).alias("text"))
+    found = embed.embed_texts(texts, make_encoder).collect()
+    assert [r["id"] for r in found] == [0, 1, 2, 3]
+    assert {tuple(r["vector"]) for r in found} == {(1.0, round(1 / 300_000, 6))}
