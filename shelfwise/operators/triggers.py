@@ -18,16 +18,19 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyarrow.compute import list_value_length
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.rounding import round_exact
 from shelfwise.functions.text import Lexicon, bind, mean_of, sentences, sentiment
-from shelfwise.operators.blocks import measure
+from shelfwise.operators.blocks import measure, text_slices
 from shelfwise.sources.shared import MAX_BROADCAST_BYTES
 
 #: Stands between the sentences of a text; where a text or a trigger holds it, ``INSTEAD`` does.
 BREAK, INSTEAD = "\uffff", "\ufffe"
+#: Sentences read at a time; each comes out once for every aspect that it mentions.
+READ_SENTENCES = 8_192
 #: An automaton takes some times the bytes of its triggers.
 PART_BYTES = MAX_BROADCAST_BYTES // 8
 
@@ -63,6 +66,26 @@ class Automaton:
         return sorted(found)
 
 
+def _read(automaton: Automaton, batch: pa.RecordBatch, most: int = READ_SENTENCES) -> Iterator[pa.RecordBatch]:
+    """Mentions of the texts of a batch, a few texts at a time: a sentence comes out once for each of its aspects."""
+    for part in text_slices(list_value_length(batch.column("lowered")).to_pylist(), most):
+        few = batch.slice(part.start, part.stop - part.start)
+        rows, numbers, aspects = [], [], []
+        categories, lowered = few.column("category").to_pylist(), few.column("lowered")
+        for i, category in enumerate(categories):
+            for number, aspect in automaton.mentions(category, lowered[i].as_py()):
+                rows.append(i)
+                numbers.append(number)
+                aspects.append(aspect)
+        lists, places = few.column("parts"), pa.array(rows, pa.int64())
+        starts = lists.offsets.take(places).to_numpy() - lists.offsets[0].as_py() if rows else []
+        content = lists.flatten().take(pa.array([s + n for s, n in zip(starts, numbers, strict=True)], pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [few.column("id").take(places), pa.array(numbers, pa.int32()), pa.array(aspects, pa.string()), content],
+            ["id", "sentence", "aspect", "content"],
+        )
+
+
 def _parts(triggers: DataFrame, part_bytes: int) -> list[pa.Table]:
     """The usable triggers in parts that fit a task, by a measurement of their size."""
     usable = triggers.select("category", "aspect", F.translate(F.lower("trigger"), BREAK, INSTEAD).alias("trigger"))
@@ -84,20 +107,7 @@ def mentions(texts: DataFrame, triggers: DataFrame, part_bytes: int = PART_BYTES
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(table)
             for batch in batches:
-                rows, numbers, aspects = [], [], []
-                categories, lowered = batch.column("category").to_pylist(), batch.column("lowered")
-                for i, category in enumerate(categories):
-                    for number, aspect in automaton.mentions(category, lowered[i].as_py()):
-                        rows.append(i)
-                        numbers.append(number)
-                        aspects.append(aspect)
-                lists, places = batch.column("parts"), pa.array(rows, pa.int64())
-                starts = lists.offsets.take(places).to_numpy() - lists.offsets[0].as_py() if rows else []
-                content = lists.flatten().take(pa.array([s + n for s, n in zip(starts, numbers, strict=True)], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(places), pa.array(numbers, pa.int32()), pa.array(aspects, pa.string()), content],
-                    ["id", "sentence", "aspect", "content"],
-                )
+                yield from _read(automaton, batch)
 
         return cut.mapInArrow(run, f"id {id_type}, sentence int, aspect string, content string")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,14 @@ def test_unusable_triggers_and_no_rows(spark):
     good = spark.createDataFrame([("x", "a", "WORD"), ("x", "b", "more")], TABLE)
     assert sorted((r["sentence"], r["aspect"], r["content"]) for r in triggers.mentions(texts, good).collect()) == [(0, "a", "some words"), (1, "b", "more")]
     assert triggers.aspect_scores(texts.limit(0), good).count() == 0
+
+
+def test_a_batch_is_read_a_few_texts_at_a_time():
+    table = pa.table({"category": ["en"], "aspect": ["a"], "trigger": ["x"]})
+    parts = [[f"X{i}", "none", "xx"] for i in range(10)]
+    lowered = [[s.lower() for s in each] for each in parts]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(10)), "category": ["en"] * 10, "parts": parts, "lowered": lowered})
+    read = list(triggers._read(triggers.Automaton(table), batch, most=6))
+    assert [b.num_rows for b in read] == [4] * 5
+    found = [tuple(r.values()) for r in pa.Table.from_batches(read).to_pylist()]
+    assert found == [(i, n, "a", parts[i][n]) for i in range(10) for n in (0, 2)]
