@@ -11,16 +11,18 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.text import bind, search_tokens, term_counts
+from shelfwise.operators.blocks import text_slices
 from shelfwise.operators.vectors import RANK_DIGITS
 from shelfwise.sources.shared import write_shared
 
-#: Texts counted at a time.
-COUNTED_ROWS = 1_024
+#: Texts counted at a time, and their bytes.
+COUNTED_ROWS, COUNTED_BYTES = 1_024, 2_000_000
 
 
 def index_documents(docs: DataFrame, only_terms: Sequence[str] | None = None) -> DataFrame:
@@ -49,8 +51,9 @@ def count_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, COUNTED_ROWS):
-                part = batch.slice(at, COUNTED_ROWS)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for rows in text_slices(sizes, COUNTED_BYTES, COUNTED_ROWS):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 lengths, sizes, terms, counts = [], [0], [], []
                 for text in part.column("text").to_pylist():
                     found = token.findall(text.lower()) if text else []

@@ -102,7 +102,9 @@ class SegmentIndex:
         number = F.monotonically_increasing_id()
         part, row = F.shiftright(number, _ROW_BITS), number.bitwiseAND((1 << _ROW_BITS) - 1)
         place = F.shiftleft(part, _PART_BITS) + F.floor(row / RANGE_ROWS).cast("long")
-        ordered = indexed.sortWithinPartitions(best.asc(), least.asc(), F.col("id").asc())
+        # as columns: a sort by expressions over all terms would compute them anew in every comparison
+        keyed = indexed.select("id", "length", "terms", best.alias("best"), least.alias("least"))
+        ordered = keyed.sortWithinPartitions("best", "least", "id")
         ordered.select("id", "length", "terms", place.alias("range")).write.parquet(f"{root}/docs")
 
         docs = self.spark.read.parquet(f"{root}/docs")

@@ -146,3 +146,18 @@ def test_few_terms_are_a_condition_on_the_files(spark, tmp_path):
     asked = spark.createDataFrame([("w1",), ("w2",)], "term string")
     plan = index._blocks(index.state(), asked)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [w1,w2])]" in plan
+
+
+def test_documents_are_sorted_by_columns(spark, tmp_path, monkeypatch):
+    """An expression as sort key is computed in every comparison."""
+    docs = spark.createDataFrame([(i, "b a a" if i % 2 else "c d") for i in range(8)], "id long, text string")
+    keys, plain = [], type(docs).sortWithinPartitions
+
+    def sort(self, *columns, **more):
+        keys.append(columns)
+        return plain(self, *columns, **more)
+
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", sort)
+    index = SegmentIndex.create(spark, str(tmp_path / "sorted"), docs)
+    assert keys and all(isinstance(c, str) for each in keys for c in each)
+    assert index.totals().first()["n_docs"] == 8
