@@ -205,8 +205,13 @@ def _score_shelf(held: pa.Table, wanted: pa.Table, pivots: np.ndarray, limit: in
         if not len(open_):
             continue
         rows = slice(starts[block], ends[block])
-        score = np.round(asked[open_] @ matrix[rows].T, RANK_DIGITS)
+        score = asked[open_] @ matrix[rows].T
         pairs[open_] += score.shape[1]
+        # most queries have no row here that reaches their threshold; what lies below it cannot raise it either
+        near = np.flatnonzero(score.max(axis=1) >= threshold[open_] - SLACK)
+        if not len(near):
+            continue
+        open_, score = open_[near], np.round(score[near], RANK_DIGITS)
         if exclude_self:
             score[qids[open_][:, None] == ids[rows][None, :]] = -np.inf
         query, row = np.nonzero((score >= threshold[open_][:, None]) & (score > -np.inf))

@@ -1,6 +1,7 @@
 """Neighbours with metric pruning against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from test_search import by_query
@@ -91,3 +92,27 @@ def test_equal_sql(spark):
     assert compare(registered.QUERIES["knn_cells"](spark, sf), connect(sf), oracles.ORACLES["knn_cells"]) is None
     work = registered.QUERIES["neighbour_work"](spark, sf).collect()
     assert all(0 < r["pairs"] <= r["all_pairs"] for r in work)
+
+
+def test_blocks_below_the_threshold_are_not_ranked(monkeypatch):
+    rows = np.random.default_rng(3).normal(size=(256, 16))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    pivots = rows[:1]
+    along, across = cells.split(rows[16:], pivots, np.zeros(240, int))
+    held = pa.table({
+        "id": np.arange(240), "vector": rows[16:].tolist(), "cell": np.zeros(240, np.int32), "along": along, "across": across,
+        "position": np.arange(240),
+    })
+    best = np.sort(np.round(rows[:16] @ rows[16:].T, cells.RANK_DIGITS), axis=1)[:, -3:]
+    wanted = pa.table({"qid": np.arange(1000, 1016), "vector": rows[:16].tolist(), "threshold": best[:, -1], "shelf": np.zeros(16, np.int64)})
+    shape = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("shelf", pa.int64()), ("pairs", pa.int64())])
+    ranked, plain = [], np.partition
+
+    def partition(a, *rest, **more):
+        ranked.append(len(a))
+        return plain(a, *rest, **more)
+
+    monkeypatch.setattr(cells.np, "partition", partition)
+    found = cells._score_shelf(held, wanted, pivots, 3, False, shape.empty_table())
+    assert sorted(found["score"].to_pylist()) == sorted(best[:, -1])
+    assert sum(ranked) == 16  # each query once, in the block of its best row
