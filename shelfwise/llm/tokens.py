@@ -14,6 +14,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ BATCH_BYTES = 2_000_000
 _OTHER = r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Marks that are taken off the end of a word, and words joined at a time.
 _MARKS, JOINED = ".,;:!?", 50
+#: Letters up to U+024F, as the last of a text.
+_LETTER_LAST = "[" + "".join(c for c in map(chr, range(ord("A"), 0x250)) if c.isalpha()) + r"]\z"
 _UNUSUAL = _OTHER + r"|^[ \n]|[ \n]$|[ \n][ \n]"
 _encoders: dict[str, TextEncoder] = {}
 
@@ -63,8 +66,7 @@ class TextEncoder:
             self.joiner.pre_tokenizer = pre_tokenizers.Sequence([split, letters])
             self.bounds[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _no_ids(), _no_ids()
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text, encoded as it is, as little-endian unsigned 32-bit integers."""
@@ -100,61 +102,134 @@ class TextEncoder:
             spaced = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(spaced, " ")
         words = lists.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        found = self._word_ids(words.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in found], np.int64) // 4
-        values = np.frombuffer(b"".join(found), "<u4")
-        begins = np.cumsum(lengths) - lengths
-        counts = lengths[at]
+        ids, counts = self._word_ids(words.dictionary.cast(pa.string())).take(words.indices.to_numpy())
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        ids = values[np.repeat((begins[at] - ends[:-1]).astype(np.int32), counts) + np.arange(ends[-1], dtype=np.int32)]
         return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words. A word not met before is its letters and the marks behind them, where the
-        pre-tokenizer cuts anyway."""
-        found = list(map(self.known.get, words))
-        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        if not new:
-            return found
-        ends = {w: stem for w in new if (stem := w.rstrip(_MARKS)) != w and stem and "A" <= stem[-1] <= "ɏ" and stem[-1].isalpha()}
-        bare = "\0" if self.kind == "led" else ""
-        wanted = {ends.get(w, w) for w in new}
-        wanted.update(bare + w[len(stem) :] for w, stem in ends.items())
-        learnt = {w: ids for w in wanted if (ids := self.known.get(w) or self.older.get(w)) is not None}
-        asked = [w for w in wanted if w not in learnt]
-        learnt.update(zip(asked, self._ask(asked), strict=True))
-        for w, stem in ends.items():
-            learnt[w] = learnt[stem] + learnt[bare + w[len(stem) :]]
-        if len(self.known) + len(learnt) > self.remembered:
-            self.known, self.older = {}, self.known
-        self.known.update(learnt)
-        pa.default_memory_pool().release_unused()
-        return [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-
-    def _ask(self, words: list[str]) -> list[bytes]:
+    def _word_ids(self, words: pa.Array) -> Ids:
+        """Ids of distinct words. They stay in Arrow and numpy: most words are rare, and each would be several objects."""
+        known = self.known
+        at = _places(words, known.words)
+        new = at < 0
+        if new.any():
+            learnt = self._learn(words.filter(pa.array(new)))
+            at[new] = len(known.words) + np.arange(new.sum())
+            both = known.plus(learnt)
+            if len(both.words) > self.remembered:
+                self.known, self.older = learnt, known
+            else:
+                self.known = both
+            known = both
+            pa.default_memory_pool().release_unused()
+        return Ids(words, *known.take(at))
+
+    def _learn(self, new: pa.Array) -> Ids:
+        """Ids of words not met before, in their order, and behind them those of their parts.
+
+        Such a word is its letters and the marks behind them, where the pre-tokenizer cuts anyway.
+        """
+        stems = pc.utf8_rtrim(new, characters=_MARKS)
+        ended = pc.and_(pc.not_equal(stems, new), pc.match_substring_regex(stems, _LETTER_LAST))
+        marks = _behind(new.filter(ended), stems.filter(ended))
+        if self.kind == "led":
+            marks = pc.binary_join_element_wise("\0", marks, "")
+        first = pc.if_else(ended, stems, new)
+        wanted = pc.unique(pa.concat_arrays([first, marks]))
+        in_known, in_older = _places(wanted, self.known.words), _places(wanted, self.older.words)
+        unknown = (in_known < 0) & (in_older < 0)
+        held = self.known.plus(self.older)
+        at = np.where(in_known >= 0, in_known, len(self.known.words) + in_older)
+        at[unknown] = len(held.words) + np.arange(unknown.sum())
+        parts = Ids(wanted, *held.plus(self._ask(wanted.filter(pa.array(unknown)))).take(at))
+
+        two = ended.to_numpy(zero_copy_only=False)
+        begins = np.arange(len(new)) + np.cumsum(two) - two
+        places = np.zeros(len(new) + two.sum(), np.int64)
+        places[begins] = _places(first, wanted)
+        places[begins[two] + 1] = _places(marks, wanted)
+        values, counts = parts.take(places)
+        found = Ids(new, values, np.add.reduceat(counts, begins))
+        more = np.flatnonzero((in_known < 0) & (_places(wanted, new) < 0))
+        return found.plus(Ids(wanted.take(pa.array(more)), *parts.take(more)))
+
+    def _ask(self, words: pa.Array) -> Ids:
         """Ids of words from the library, many in one text where the ids show the words' bounds."""
         if self.kind == "led":
-            joined = [i for i, w in enumerate(words) if w and w[0] not in "\0\n"]
-            text = lambda run: "".join(" " + words[i] for i in run)
+            starts = pc.or_(pc.starts_with(words, "\0"), pc.starts_with(words, "\n"))
+            joined = pc.and_(pc.invert(starts), pc.greater(pc.binary_length(words), 0))
         else:
-            joined = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
-            text = lambda run: " ".join(words[i].lower() for i in run)
-        found: list[bytes | None] = [None] * len(words)
-        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        for run, encoded in zip(runs, self.joiner.encode_batch_fast(list(map(text, runs)), add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, "<u4")
-            at = np.flatnonzero(self.bounds[ids]) + (self.kind == "free")
-            if len(at) == len(run):
-                data, cuts = ids.tobytes(), (4 * at).tolist()
-                cuts = [*cuts, len(data)] if self.kind == "led" else [0, *cuts]
-                for i, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
-                    found[i] = data[a:b]
-        single = [i for i, ids in enumerate(found) if ids is None]
-        texts = [_chunk(words[i]) if self.kind == "led" else words[i] for i in single]
-        for i, ids in zip(single, self.whole(texts), strict=True):
-            found[i] = ids
-        return found
+            joined = pc.ascii_is_alpha(words)
+        chosen = words.filter(joined)
+        cuts = np.append(np.arange(0, len(chosen), JOINED), len(chosen)).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), chosen if self.kind == "led" else pc.ascii_lower(chosen)), " ")
+        if self.kind == "led":
+            runs = pc.binary_join_element_wise(" ", runs, "")
+        encoded = [np.array(x.ids, "<u4") for x in self.joiner.encode_batch_fast(runs.to_pylist(), add_special_tokens=False)]
+        values, sizes = np.concatenate([np.zeros(0, "<u4"), *encoded]), np.array([len(x) for x in encoded], np.int64)
+        bound = self.bounds[values]
+        ends = np.cumsum(sizes)
+        seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(bound)])
+        # as many bounds as words, one of them where the run begins or ends
+        outer = np.append(bound, False)[ends - sizes if self.kind == "led" else ends - 1]
+        clear = (seen[ends] - seen[ends - sizes] == np.diff(cuts)) & (sizes > 0) & outer
+        keep = np.repeat(clear, sizes)
+        values, at = values[keep], np.flatnonzero(bound[keep])
+        counts = np.diff(np.append(at, len(values)) if self.kind == "led" else np.concatenate([np.zeros(1, np.int64), at + 1]))
+
+        by_run = joined.to_numpy(zero_copy_only=False).copy()
+        by_run[by_run] = np.repeat(clear, np.diff(cuts))
+        single = np.flatnonzero(~by_run)
+        texts = words.take(pa.array(single)).to_pylist()
+        whole = self.whole([_chunk(w) for w in texts] if self.kind == "led" else texts)
+        order = np.zeros(len(words), np.int64)
+        order[np.flatnonzero(by_run)], order[single] = np.arange(len(counts)), len(counts) + np.arange(len(single))
+        values = np.concatenate([values, np.frombuffer(b"".join(whole), "<u4")])
+        counts = np.concatenate([counts, np.array([len(x) // 4 for x in whole], np.int64)])
+        return Ids(words, *_take(values, counts, order))
+
+
+@dataclass(frozen=True)
+class Ids:
+    """Distinct words and their ids: ``values`` of one word after another, ``counts`` of each."""
+
+    words: pa.Array
+    values: np.ndarray
+    counts: np.ndarray
+
+    def plus(self, other: Ids) -> Ids:
+        columns = [(self.values, other.values), (self.counts, other.counts)]
+        return Ids(pa.concat_arrays([self.words, other.words]), *map(np.concatenate, columns))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _take(self.values, self.counts, at)
+
+
+def _no_ids() -> Ids:
+    return Ids(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+
+def _take(values: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``values``, one after another, and their lengths."""
+    begins, taken = np.cumsum(counts) - counts, counts[at]
+    ends = np.cumsum(taken)
+    shift = (begins[at] - ends + taken).astype(np.int32)
+    return values[np.repeat(shift, taken) + np.arange(taken.sum(), dtype=np.int32)], taken
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each of ``words`` stands ``among`` others, -1 for none."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _behind(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows the stem in each word."""
+    sizes, cut = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, stems))
+    # bytes of a word: its stem's, then those behind it
+    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    counts = np.stack([cut, sizes - cut], axis=1).ravel()
+    found, lengths = _take(data, counts, np.arange(1, len(counts), 2))
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(found)))
 
 
 def _chunk(word: str) -> str:

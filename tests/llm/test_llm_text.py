@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -36,6 +37,22 @@ def test_ids_by_words_equal_ids_of_whole_texts(name):
     assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 1]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_new_words_take_no_python_step_each(name):
+    encoder = tokens.TextEncoder(tokens.tokenizer_path(name))
+    letters = "bcdfghjklmnpqrst"
+    held = [f"{a}{b}o{c}" for a in letters for b in letters for c in letters]
+    text = pa.array([" ".join(w + "." * (i % 3 == 0) for i, w in enumerate(held))])
+    steps = []
+    sys.setprofile(lambda frame, event, arg: steps.append(event) if event in ("call", "c_call") else None)
+    try:
+        ids, _ = encoder.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert len(steps) < len(held)
+    assert ids.astype("<u4").tobytes() == encoder.whole(text.to_pylist())[0]
+
+
 @pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
 def test_ids_equal_those_of_the_library_as_it_is(name):
     from tokenizers import Tokenizer
