@@ -134,7 +134,8 @@ class TextEncoder:
         if self.kind == "led":
             marks = pc.binary_join_element_wise("\0", marks, "")
         first = pc.if_else(ended, stems, new)
-        wanted = pc.unique(pa.concat_arrays([first, marks]))
+        coded = pa.concat_arrays([first, marks]).dictionary_encode()
+        wanted, code = coded.dictionary, coded.indices.to_numpy()
         in_known, in_older = _places(wanted, self.known.words), _places(wanted, self.older.words)
         unknown = (in_known < 0) & (in_older < 0)
         held = self.known.plus(self.older)
@@ -145,8 +146,7 @@ class TextEncoder:
         two = ended.to_numpy(zero_copy_only=False)
         begins = np.arange(len(new)) + np.cumsum(two) - two
         places = np.zeros(len(new) + two.sum(), np.int64)
-        places[begins] = _places(first, wanted)
-        places[begins[two] + 1] = _places(marks, wanted)
+        places[begins], places[begins[two] + 1] = code[: len(new)], code[len(new) :]
         values, counts = parts.take(places)
         found = Ids(new, values, np.add.reduceat(counts, begins))
         more = np.flatnonzero((in_known < 0) & (_places(wanted, new) < 0))
