@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -24,15 +25,17 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond it, it begins anew and takes over what it meets again.
 REMEMBERED = 120_000
-#: Bytes of the texts that are encoded at a time; a longer text is a batch of its own.
-BATCH_BYTES = 2_000_000
+#: Bytes of the texts that are encoded at a time, each distinct word once; a longer text is a batch of its own.
+BATCH_BYTES = 6_000_000
 
 #: White space other than single spaces and line feeds between words, and what Python or the library alone count so.
 _OTHER = r"[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Marks that are taken off the end of a word, and words joined at a time.
-_MARKS, JOINED = ".,;:!?", 50
-#: Letters up to U+024F, as the last of a text.
-_LETTER_LAST = "[" + "".join(c for c in map(chr, range(ord("A"), 0x250)) if c.isalpha()) + r"]\z"
+#: Marks that are taken off the end of a word (an apostrophe may begin a piece of its own kind), and words joined at a time.
+_MARKS, JOINED = "".join(c for c in string.punctuation if c != "'"), 50
+#: Letters up to U+024F, as the last of a text. Those that stay one letter in lower case make a word that is one piece.
+_LETTERS = [c for c in map(chr, range(ord("A"), 0x250)) if c.isalpha()]
+_LETTER_LAST = "[" + "".join(_LETTERS) + r"]\z"
+_ONLY_LETTERS = r"\A[" + "".join(c for c in _LETTERS if len(c.lower()) == 1) + r"]+\z"
 _UNUSUAL = _OTHER + r"|^[ \n]|[ \n]$|[ \n][ \n]"
 _encoders: dict[str, TextEncoder] = {}
 
@@ -51,7 +54,10 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.kind = _kind(json.load(file))
+            spec = json.load(file)
+        self.kind = _kind(spec)
+        names = {c for token in spec.get("added_tokens") or [] for c in token["content"]}
+        self.marks = "".join(c for c in _MARKS if c not in names)
         # joined words are told apart by ids that hold the space before a word, or that end one
         vocabulary = self.tokenizer.get_vocab()
         self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -59,7 +65,7 @@ class TextEncoder:
             self.joiner = self.tokenizer
             self.bounds[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         elif self.kind == "free":
-            # a word of ASCII letters is one piece that needs no normalizing but its lower case
+            # a word of letters is one piece that needs no normalizing but its lower case
             self.joiner = Tokenizer(self.tokenizer.model)
             split = pre_tokenizers.Split(" ", "removed")
             letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -128,7 +134,7 @@ class TextEncoder:
 
         Such a word is its letters and the marks behind them, where the pre-tokenizer cuts anyway.
         """
-        stems = pc.utf8_rtrim(new, characters=_MARKS)
+        stems = pc.utf8_rtrim(new, characters=self.marks)
         ended = pc.and_(pc.not_equal(stems, new), pc.match_substring_regex(stems, _LETTER_LAST))
         marks = _behind(new.filter(ended), stems.filter(ended))
         if self.kind == "led":
@@ -158,10 +164,10 @@ class TextEncoder:
             starts = pc.or_(pc.starts_with(words, "\0"), pc.starts_with(words, "\n"))
             joined = pc.and_(pc.invert(starts), pc.greater(pc.binary_length(words), 0))
         else:
-            joined = pc.ascii_is_alpha(words)
+            joined = pc.match_substring_regex(words, _ONLY_LETTERS)
         chosen = words.filter(joined)
         cuts = np.append(np.arange(0, len(chosen), JOINED), len(chosen)).astype(np.int32)
-        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), chosen if self.kind == "led" else pc.ascii_lower(chosen)), " ")
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), chosen if self.kind == "led" else pc.utf8_lower(chosen)), " ")
         if self.kind == "led":
             runs = pc.binary_join_element_wise(" ", runs, "")
         encoded = [np.array(x.ids, "<u4") for x in self.joiner.encode_batch_fast(runs.to_pylist(), add_special_tokens=False)]

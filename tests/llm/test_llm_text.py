@@ -53,6 +53,30 @@ def test_new_words_take_no_python_step_each(name):
     assert ids.astype("<u4").tobytes() == encoder.whole(text.to_pylist())[0]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_words_with_other_letters_and_marks_are_not_coded_one_by_one(name, monkeypatch):
+    encoder = tokens.TextEncoder(tokens.tokenizer_path(name))
+    letters = "bcdfghjklmnpqrst"
+    held = [f"{a}é{b}{c}ß" for a in letters for b in letters for c in letters]
+    text = pa.array([" ".join(w + ("%%%", ")", "")[i % 3] for i, w in enumerate(held))])
+    single, whole = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda words: single.extend(words) or whole(words))
+    ids, _ = encoder.encode(text)
+    assert len(single) < len(held) / 4
+    assert ids.astype("<u4").tobytes() == whole(text.to_pylist())[0]
+
+
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_every_letter_and_mark_by_words(name):
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    held = [f"x{c} {c} {c}x {c}{c.lower()}" for c in letters]
+    held += [f"one{a}{b} two{b} {a}three{a}" for a in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in ".'<|=\u0338"]
+    encoder = tokens.TextEncoder(tokens.tokenizer_path(name))
+    ids, ends = encoder.encode(pa.array(held))
+    for t, w, a, b in zip(held, encoder.whole(held), ends[:-1], ends[1:], strict=True):
+        assert ids[a:b].astype("<u4").tobytes() == w, t
+
+
 @pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
 def test_ids_equal_those_of_the_library_as_it_is(name):
     from tokenizers import Tokenizer
