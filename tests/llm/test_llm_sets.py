@@ -11,7 +11,7 @@ from odd import documents, empty, text, texts, words
 from pyspark.sql import functions as F
 
 from compare import compare, connect
-from shelfwise.llm import fingerprints, graph, lines, minhash
+from shelfwise.llm import fingerprints, graph, lines, minhash, near
 from shelfwise.llm.corpus import read
 from shelfwise.llm.queries import ORACLES, QUERIES
 
@@ -205,6 +205,22 @@ def test_pairs_of_lines_near_the_threshold_all_meet(spark):
     assert {r["doc_id"] for r in found if r["class_doc"] != r["doc_id"] // 2 * 2} == set()
 
 
+def test_full_sets_of_a_crowd_are_shuffled_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh ") for _ in range(120)] for _ in range(4)]
+    rows = [(i, "\n".join("".join(b[:k] + [rng.choice("xyz")] + b[k + 1 :]) for k in rng.sample(range(120), 2)))
+            for i, b in enumerate(base * 12)]
+    written = []
+    real = near.write_shared
+    monkeypatch.setattr(near, "write_shared", lambda df, name: written.append((name, dict(df.dtypes))) or real(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in lines.line_classes(docs).collect()}
+    assert found == line_classes(rows)
+    # the members of the buckets are written as lines, not as the hashes of their shingles
+    assert [types["members"] for name, types in written if "members" in types] == ["string"]
+    assert len([n for n, _ in written if n == "links"]) > near.PARTS
+
+
 def test_lines_of_every_odd_row_and_of_none(spark):
     docs = documents(spark)
     assert lines.line_classes(docs).count() == sum(bool(x.strip(" ")) for _, t in texts() for x in (t or "").split("\n"))

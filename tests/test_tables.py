@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date, datetime, timezone
 
 import pytest
@@ -114,3 +115,20 @@ def test_rows_are_dealt_by_their_number(spark):
     places = dealt.withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("p").alias("n"), F.count("id").alias("rows"))
     assert dealt.rdd.getNumPartitions() == 50
     assert {(r["n"], r["rows"]) for r in places.collect()} == {(1, 20)}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    rows = spark.range(10_000).groupBy((F.col("id") % 100).alias("key")).count()
+    before, setting = files(), spark.conf.get(shared.SHUFFLE_CLEANUP)
+    written = shared.write_shared(rows, "rows")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(shared.SHUFFLE_CLEANUP) == setting
+    assert written.agg(F.sum("count")).first()[0] == 10_000
