@@ -91,6 +91,29 @@ def test_near_duplicates_in_a_crowd(spark, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_a_crowd_over_many_cells_has_the_same_links(spark, monkeypatch):
+    """Buckets of more members than a cell holds; Spark is not left to cut them into pieces that meet in pairs."""
+    base = words(31, 150)
+    rows = [(i, edited(base, 700 + i, 3 + i % 5)) for i in range(120)]
+    skew, written, real = "spark.sql.adaptive.skewJoin.enabled", [], near.write_shared
+    before = spark.conf.get(skew)
+    monkeypatch.setattr(near, "write_shared", lambda df, name: written.append((name, spark.conf.get(skew))) or real(df, name))
+    monkeypatch.setattr(near, "CELL_ROWS", 7)
+    found = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == near_components(rows, 85)[0]
+    assert [on for name, on in written if name == "links"].count("false") == near.PARTS
+    assert spark.conf.get(skew) == before
+
+
+def test_cells_hold_every_pair_once(spark):
+    rows = spark.range(50).selectExpr("id", "5 as bucket", "4 as cells")
+    cells = [r.asDict() for r in near._dealt(rows).collect()]
+    assert len(cells) == 200
+    met = [(x["id"], y["id"]) for x in cells for y in cells
+           if x["cell"] == y["cell"] and x["id"] < y["id"] and min(x["slot"], y["slot"]) * 4 + max(x["slot"], y["slot"]) == x["cell"]]
+    assert len(met) == len(set(met)) == 50 * 49 // 2
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = documents(spark)
     found = minhash.near_duplicates(docs).collect()
