@@ -228,6 +228,30 @@ def test_pairs_of_lines_near_the_threshold_all_meet(spark):
     assert {r["doc_id"] for r in found if r["class_doc"] != r["doc_id"] // 2 * 2} == set()
 
 
+def test_coordinates_are_the_minima_over_all_shingles(spark):
+    """Regions first, then all of them: as if each shingle had met all 80 constants; a region's shingles meet five."""
+    line = " ".join(["some", "words", "of", "a", "line", "that", "is", "long", "enough", "for", "two", "regions", "or", "more"])
+    lined = spark.createDataFrame([(1, 0, line), (1, 1, "short"), (2, 0, "ab" * 90)], "doc_id long, line_no int, line string")
+    signed = lines.sign_lines(lined)
+    found = {(r["doc_id"], r["line_no"]): r for r in signed.collect()}
+    own = lines._constants(5)
+    for d, n, x in lined.collect():
+        points = x.encode("utf-32-be")
+        at = range(max(len(x) - 8 + 1, 1))
+        hashes = [xxhash.xxh64_intdigest(points[4 * i : 4 * i + 32], seed=42) for i in at]
+        least = [min(signed64(h ^ (j // 5 << 60 | own[j % 5])) for h in hashes) for j in range(80)]
+        assert found[d, n]["size"] == len(hashes)
+        low = [least[j * 80 // 32] & 15 for j in range(32)]
+        assert found[d, n]["sketch_a"] == signed64(sum(v << 4 * i for i, v in enumerate(low[:16])))
+        assert found[d, n]["sketch_b"] == signed64(sum(v << 4 * i for i, v in enumerate(low[16:])))
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert "region" in plan and plan.count(str(own[3])) == 1
+
+
+def signed64(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
 def test_full_sets_of_a_crowd_are_shuffled_in_parts(spark, monkeypatch):
     rng = random.Random(5)
     base = [[rng.choice("abcdefgh ") for _ in range(120)] for _ in range(4)]
