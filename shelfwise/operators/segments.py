@@ -39,6 +39,8 @@ from shelfwise.sources.shared import broadcast_if_small, write_shared
 
 #: Documents in a range, and ranges in a shelf, which is what a task scores at a time.
 RANGE_ROWS, RANGES = 16, 128
+#: Postings that a task inverts at a time; a range stays whole.
+INVERTED_POSTINGS = 250_000
 #: Ranges scored in the first round, in multiples of the limit, and how much more in each further one.
 FIRST_RANGES, GROWTH = 4, 64
 #: Asked terms up to which they are a condition on the files, so that Parquet skips row groups.
@@ -126,7 +128,7 @@ class SegmentIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in arrow.row_blocks([batch], 1):
+                for part in _whole_ranges(batch, INVERTED_POSTINGS):
                     yield from _blocks_of(part, average, k1, b)
 
         return docs.select("id", "length", "terms", "range").mapInArrow(run, shape)
@@ -295,6 +297,18 @@ class SegmentIndex:
         return pairs.join(best, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)).select("qid", "id", "score")
 
 
+def _whole_ranges(docs: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``docs`` in parts of at most ``most`` postings, or of one range."""
+    if not docs.num_rows:
+        return
+    place = docs.column("range").to_numpy()
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    held = pc.fill_null(pc.list_value_length(docs.column("terms")), 0).to_numpy(zero_copy_only=False)
+    ends = np.r_[first, docs.num_rows].tolist()
+    for ranges in arrow.text_slices(np.add.reduceat(held, first).tolist(), most):
+        yield docs.slice(ends[ranges.start], ends[ranges.stop] - ends[ranges.start])
+
+
 def _blocks_of(docs: pa.RecordBatch, average: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
     """Postings of adjacent documents by range and term."""
     row, entries = arrow.list_entries(docs.column("terms"))

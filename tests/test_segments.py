@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from test_search import best, by_query, scores
 
@@ -141,6 +143,35 @@ def test_work_of_the_registered_query(spark):
     assert sum(r["skipped"] for r in rows) > 0
 
 
+def test_postings_are_inverted_a_few_ranges_at_a_time(monkeypatch):
+    """A batch of many documents is cut at the ends of its ranges; the blocks are those of the whole batch."""
+    rng = random.Random(7)
+    terms = [[{"term": w, "tf": rng.randint(1, 5)} for w in rng.sample(WORDS, rng.randint(0, 30))] for _ in range(500)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    columns = [pa.array(range(500)), pa.array([40] * 500, pa.int32()), pa.array(terms, kind), pa.array([i // 16 for i in range(500)])]
+    batch = pa.RecordBatch.from_arrays(columns, ["id", "length", "terms", "range"])
+    parts = list(segments._whole_ranges(batch, 1000))
+    assert sum(p.num_rows for p in parts) == 500 and len(parts) > 5
+    assert all(pc.sum(pc.list_value_length(p.column("terms"))).as_py() <= 1000 for p in parts)
+    assert len([r for p in parts for r in set(p.column("range").to_pylist())]) == 32
+
+    def blocks(docs):
+        return sorted((r for d in docs for b in segments._blocks_of(d, 40.0, 1.2, 0.75) for r in b.to_pylist()), key=lambda r: (r["range"], r["term"]))
+
+    assert blocks(parts) == blocks([batch])
+    assert [p.num_rows for p in segments._whole_ranges(batch, 1)] == [16] * 31 + [4]
+    # the index cuts its batches so
+    real, seen = segments._whole_ranges, []
+    monkeypatch.setattr(segments, "_whole_ranges", lambda b, most: seen.append(most) or real(b, most))
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: list(run(iter([batch])))
+
+    SegmentIndex(None, "unused")._invert(Docs(), 40.0)
+    assert seen == [segments.INVERTED_POSTINGS]
+
+
 def test_few_terms_are_a_condition_on_the_files(spark, tmp_path):
     index = SegmentIndex.create(spark, str(tmp_path / "index"), frame(spark, corpus(11, 0, 50)))
     asked = spark.createDataFrame([("w1",), ("w2",)], "term string")
