@@ -268,6 +268,63 @@ def test_full_sets_of_a_crowd_are_shuffled_in_parts(spark, monkeypatch):
     assert len([n for n, _ in written if n == "links"]) > near.PARTS
 
 
+def test_marks_of_lines_rule_out_no_link(spark):
+    """Every pair at or above the threshold passes, of few, many and repeated shingles; most of the others don't."""
+    rng = random.Random(41)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    held = ["ab" * n for n in (20, 40, 90)] + ["ab" * 40 + "c", "abcdefghijk " * 9, "abcdefghijk " * 12, "tiny", "tiny line"]
+    for size in (12, 30, 60, 140, 400):
+        for _ in range(12):
+            base = letters(size)
+            cut = rng.randrange(size)
+            held += [base, base[:cut] + letters(2) + base[cut:], base + letters(max(1, size // 12))]
+    held = [x for x in dict.fromkeys(x.strip(" ") for x in held) if x]
+    lined = spark.createDataFrame([(i, 0, x) for i, x in enumerate(held)], "doc_id long, line_no int, line string")
+    counts = lines._hash_blocks(lined.select("doc_id", "line").repartition("doc_id"), ["doc_id"], ["line"], 8)
+    marks = lines.sign_lines(lined).join(counts.selectExpr("doc_id", "size(line) as n"), "doc_id").cache()
+    sets = [{x[i : i + 8] for i in range(max(len(x) - 7, 1))} for x in held]
+    assert {r["doc_id"]: r["n"] for r in marks.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    both = marks.alias("x").crossJoin(marks.alias("y")).filter("x.doc_id < y.doc_id")
+    passed = {(r[0], r[1]) for r in both.filter(lines._can_be_linked("x", "y", 80)).select("x.doc_id", "y.doc_id").collect()}
+    marks.unpersist()
+    every = [(a, b) for b in range(len(held)) for a in range(b)]
+    linked = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(linked) > 60 and linked <= passed
+    assert len(passed - linked) < 0.1 * len(every)
+
+
+def test_stages_of_lines_are_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes, which is far slower."""
+    docs = read(spark, SF, "documents")
+    pairs = docs.selectExpr("doc_id as a", "doc_id as b", "text as left", "text as right")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (
+            lines.sign_lines(lines.split_lines(docs)),
+            lines._hash_blocks(pairs, ["a", "b"], ["left", "right"], 8),
+        ):
+            frame.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize: *(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_pair_of_lines_is_compared_once(spark, monkeypatch):
+    """What the leader met most doesn't link isn't compared again with the other leaders."""
+    rng = random.Random(43)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    bases = [letters(150) for _ in range(12)]
+    rows = [(20 * i + k, b[: 150 - 9 * k] + letters(9 * k)) for i, b in enumerate(bases) for k in range(8)]
+    compared, real = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *a, **k: compared.append([tuple(r) for r in pairs.select("a", "b").collect()]) or real(pairs, *a, **k))
+    found = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in lines.line_classes(documents(spark, rows)).collect()}
+    assert found == line_classes(rows)
+    first, others = compared
+    assert first and others and not {*first} & {*others}
+
+
 def test_lines_of_every_odd_row_and_of_none(spark):
     docs = documents(spark)
     assert lines.line_classes(docs).count() == sum(bool(x.strip(" ")) for _, t in texts() for x in (t or "").split("\n"))
